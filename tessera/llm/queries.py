@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, media, quality, simhash, toxicity
+from . import bpe, decontaminate, langid, lm, media, quality, secrets, simhash, spread, toxicity
 from .common import read
 
 
@@ -21,6 +21,17 @@ def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, metadata=["n_chars"])
 
 
+def op2_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(secrets.labelled_tokens(docs, "doc_id", "text", sample_docs=4000)))
+
+
+def op3_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spread.drop_spread_lines(read(spark, sf_dir, "documents"), min_sites=5)
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "n_lines", "n_dropped", F.length(text).cast("long").alias("kept_chars"), F.sha2(text, 256).alias("kept_sha256"))
+
+
 def op4_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(read(spark, sf_dir, "documents"))
 
@@ -39,6 +50,10 @@ def op7_toxicity_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op8_lm_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"), vocabulary())
+
+
 def op9_langid_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs))
@@ -48,5 +63,5 @@ def op10_decontam_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op4_media_tiles, op5_simhash_vptree, op6_bpe_codec, op7_toxicity_automata, op9_langid_subword, op10_decontam_index)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_secret_markov, op3_line_spread, op4_media_tiles, op5_simhash_vptree, op6_bpe_codec, op7_toxicity_automata, op8_lm_attention, op9_langid_subword, op10_decontam_index)}
+ORACLES: dict[str, str] = {"op3_line_spread": spread.ORACLE}

@@ -101,10 +101,8 @@ class Tree:
                 q, prefix, left = q[on], prefix[on], left[on]
             q, lo, hi = (np.concatenate(x) for x in zip(*ready))
             size = hi - lo
-            stops = np.cumsum(size)
             for a in range(0, len(q), 65536):  # a node may hold many points: pairs are made in blocks
                 yield from self._compare(queries, q[a : a + 65536], lo[a : a + 65536], size[a : a + 65536], radius)
-            del stops
 
     def _compare(self, queries, q, lo, size, radius, most: int = 4_000_000):
         cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1).tolist(), len(q)]
@@ -214,7 +212,131 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named.join(groups, "__root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The document of least id of every component, with all its columns; rows that share that id are the same document, one stays."""
-    kept = near_duplicates(docs, id_col, text_col, radius).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__k")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__k"])).drop("__k").dropDuplicates([id_col])
+# ---- word-shingle similarity: wide fingerprints, size bands, an exact check
+
+
+WIDE, MARGIN = 4, 8  # 64-bit words of a wide fingerprint; bits allowed beyond the expected distance
+
+
+def shingles(text: bytes, size: int) -> list[bytes]:
+    words = text.lower().split()
+    return [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
+
+
+def wide_fingerprint(text: bytes, size: int) -> tuple[np.ndarray, int]:
+    """256 bits of the set of shingles as four signed longs, and the number of distinct shingles."""
+    parts = set(shingles(text, size))
+    if not parts:
+        return np.zeros(WIDE, np.int64), 0
+    digest = xxhash.xxh3_128_digest
+    raw = np.frombuffer(b"".join([digest(p, 1) + digest(p, 2) for p in parts]), np.uint8).reshape(-1, 32)
+    counts = np.zeros(256, np.int64)
+    for at in range(0, len(raw), 2048):
+        counts += np.unpackbits(raw[at : at + 2048], axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(raw)).view(np.int64), len(parts)
+
+
+def most_bits(similarity: float) -> int:
+    """Bits that sets of this Jaccard similarity differ in on average (angle of 2 J / (1 + J)), and a margin of about 1.4 deviations."""
+    return round(64 * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + MARGIN
+
+
+def band_links(home: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Edges of a forest that spans all pairs within `most` bits, near pairs first; pairs are compared in blocks of 256 queries."""
+    place = {}
+    number = lambda v: place.setdefault(v, len(place))
+    h, q = np.array([number(v) for v in ids.tolist()]), np.array([number(v) for v in query_ids.tolist()])
+    root, names, edges = np.arange(len(place)), list(place), []
+    for at in range(0, len(q), 256):
+        block, own = queries[at : at + 256], q[at : at + 256]
+        apart = np.bitwise_count(block[:, :1] ^ home[None, :, 0]).astype(np.int16)
+        row, col = np.nonzero(apart <= most // 2)  # a quarter of the bits may hold half of all differences, far beyond chance
+        far = apart[row, col].astype(np.int64)
+        for w in range(1, WIDE):
+            far += np.bitwise_count(block[row, w] ^ home[col, w])
+        near = (far <= most) & (own[row] != h[col])
+        row, col, far = row[near], col[near], far[near]
+        while len(row):
+            apart_ = root[own[row]] != root[h[col]]
+            row, col, far = row[apart_], col[apart_], far[apart_]
+            order = np.lexsort((far, row))
+            first = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])] if len(row) else order
+            for k in first[np.argsort(far[first], kind="stable")].tolist():
+                a, b = int(own[row[k]]), int(h[col[k]])
+                x, y = root[a], root[b]
+                if x != y:
+                    root[root == max(x, y)] = min(x, y)
+                    edges.append((names[a], names[b]))
+    return edges
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, group: int = 20_000) -> DataFrame:
+    """(id, component_id): documents linked where the sets of word shingles have a Jaccard similarity of `similarity` or more.
+
+    Such sets differ by at most the factor 1/similarity in size, so only neighbouring bands of size meet; a band of over
+    `group` texts is dealt into groups that meet pair by pair in tasks of their own. A task sends on a spanning forest of its links,
+    nearest first, and the links are then checked on the texts. The 256-bit radius leaves triangle bounds no branch to prune,
+    which is why bands stand in for the tree here. Ids must be longs.
+    """
+    made = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+
+    def start():
+        def work(cols):
+            out = [wide_fingerprint(t.encode("utf-8", "surrogatepass"), words) for t in cols[1]]
+            return [cols[0], *([int(f[w]) for f, _ in out] for w in range(WIDE)), [n for _, n in out]]
+
+        return work
+
+    bits = [f"f{w}" for w in range(WIDE)]
+    marked = materialize(map_batches(made, "i long, " + ", ".join(f"{b} long" for b in bits) + ", n long", start, 128), "wide")
+    classes = marked.groupBy(bits).agg(F.min("i").alias("least"), F.max("n").alias("n")).where("least is not null")
+    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
+    points = classes.select("least", *bits, band.alias("band"))
+    biggest = points.groupBy("band").count().agg(F.max("count")).first()[0] or 0
+    groups = max(1, -(-biggest // group))
+    points = points.withColumn("g", F.pmod(F.xxhash64("f0"), F.lit(groups)).cast("int"))
+    # A shard is (band, group) with its home texts; visitors are the band below in whole, and the lower groups of the band.
+    home = points.withColumn("home", F.lit(True))
+    above = points.select("least", *bits, (F.col("band") + 1).alias("band"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(False).alias("home"))
+    beside = points.where(F.col("g") < groups - 1).select("least", *bits, "band", F.explode(F.sequence(F.col("g") + 1, F.lit(groups - 1))).alias("g"), F.lit(False).alias("home"))
+    lives = points.select("band", "g").distinct()
+    rows = home.unionByName(above.join(lives, ["band", "g"], "left_semi")).unionByName(beside.join(lives, ["band", "g"], "left_semi"))
+    most = int(most_bits(similarity))
+
+    def search(table: pa.Table) -> pa.Table:
+        fp = np.column_stack([table[b].to_numpy() for b in bits]).view(np.uint64)
+        ids, here = table["least"].to_numpy(), table["home"].to_numpy()
+        order = np.concatenate([np.flatnonzero(here), np.flatnonzero(~here)])
+        found = band_links(fp[here], ids[here], fp[order], ids[order], most)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    found = materialize(rows.groupBy("band", "g").applyInArrow(search, "a long, b long").distinct(), "near")
+    texts = made.join(found.select(F.col("a").alias("i")).union(found.select(F.col("b").alias("i"))).distinct(), "i", "left_semi").groupBy("i").agg(F.min("t").alias("t"))
+    pairs = found.join(texts.select(F.col("i").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("i").alias("b"), F.col("t").alias("y")), "b")
+
+    def check():
+        def work(cols):
+            keep = []
+            for x, y in zip(cols[2], cols[3]):
+                one, two = (set(shingles(t.encode("utf-8", "surrogatepass"), words)) for t in (x, y))
+                keep.append(len(one & two) >= similarity * len(one | two))
+            return [cols[0], cols[1], keep]
+
+        return work
+
+    sure = map_batches(pairs.select("a", "b", "x", "y"), "a long, b long, ok boolean", check, 64).where("ok").select("a", "b")
+    roots = components(sure)
+    named = classes.join(roots, classes.least == roots.node, "left").select(*bits, F.coalesce("root", "least").alias("component_id"))
+    return marked.join(named, bits, "left").select(F.col("i").alias(id_col), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The document of least id of every component of similar_documents, with all its columns.
+
+    Rows that share an id are one document: one stays. Rows without an id stay, unless a document with an id has their text.
+    """
+    found = materialize(similar_documents(docs, id_col, text_col, words, similarity), "classes")
+    out = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__k")).distinct()
+    kept = docs.join(out, docs[id_col].eqNullSafe(out["__k"]), "left_anti")
+    repeated = found.groupBy(id_col).count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates([id_col]) if repeated else kept
