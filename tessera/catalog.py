@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import claims, corpus, evidence, index, ranking, state, structure, text  # noqa: F401  (importing registers)
+from .registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "hybrid_flagship"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
