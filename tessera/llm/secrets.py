@@ -53,20 +53,25 @@ def pair_counts(samples: DataFrame) -> DataFrame:
     return pairs.where(inside).groupBy("label", code.alias("pair")).count()
 
 
-def train(samples: DataFrame, weight: float = 1.0) -> list[float]:
+def train(samples: DataFrame, pull: float = 20.0) -> list[float]:
     """Log-likelihood ratios, random over ordinary, of all 80 x 80 pairs; samples: token string, label 1 (random) or 0.
 
-    Counts are smoothed by `weight` pseudo-tokens a successor, over the 66 characters that tokens have.
+    A pair's probability is its share among pairs of the same first character, pulled with the weight of `pull` pairs
+    towards the share of its second character, itself smoothed by half a count over the 67 characters that tokens have.
     """
     import math
 
     letters = [c - LOW for c in range(LOW, LOW + WIDE) if chr(c).isalnum() or chr(c) in "+/_=-."]
     seen = {(r["label"], r["pair"]): r["count"] for r in pair_counts(samples).collect()}
     out = [0.0] * (WIDE * WIDE)
+    alone = []
+    for y in (0, 1):
+        n = [0.5 + sum(seen.get((y, a * WIDE + b), 0) for a in letters) for b in letters]
+        alone.append({b: k / sum(n) for b, k in zip(letters, n)})
     for a in letters:
-        total = [sum(seen.get((y, a * WIDE + b), 0) for b in letters) + weight * len(letters) for y in (0, 1)]
+        total = [sum(seen.get((y, a * WIDE + b), 0) for b in letters) + pull for y in (0, 1)]
         for b in letters:
-            p = [(seen.get((y, a * WIDE + b), 0) + weight) / total[y] for y in (0, 1)]
+            p = [(seen.get((y, a * WIDE + b), 0) + pull * alone[y][b]) / total[y] for y in (0, 1)]
             out[a * WIDE + b] = round(math.log(p[1] / p[0]), 4)
     return out
 
