@@ -26,22 +26,23 @@ from .common import fold, labelled_sample, map_batches
 
 STRIP = "\"'“”„«»‹›‘’.,;:!?()[]{}<>*_~`|#$%&-"
 OPEN, CLOSE = "“„«‹‘", "”»›’"
+QUOTES = OPEN + CLOSE
 # Verbs and nouns that announce a quotation.
 REPORTING = frozenset("said says wrote quoted quote called calling word words term dit disait écrit mot cité sagte schrieb wort zitat genannt dijo escribió palabra cita llamó".split())
 WINDOW, BEFORE = 24, 4
 
 
 class Lexicon:
-    """terms: (text, is_stem, weight); look-ups give (term number, edits) or None."""
+    """terms: (text, is_stem, weight); look-ups give (term number, edits) or None. `exact` names terms that take no edit."""
 
-    def __init__(self, terms: list[tuple[str, bool, float]], fuzzy_from: int = 5, remember: int = 300_000):
+    def __init__(self, terms: list[tuple[str, bool, float]], fuzzy_from: int = 5, remember: int = 300_000, exact: frozenset[str] = frozenset()):
         self.weights = [w for _, _, w in terms]
         self.child: list[dict[str, int]] = [{}]
         self.word: list[int] = [-1]
         self.stem: list[int] = [-1]
         self.slack: list[int] = [0]  # edits that some term below still allows
         for number, (text, stem, _) in enumerate(terms):
-            node, slack = 0, int(not stem and len(text) >= fuzzy_from)
+            node, slack = 0, int(not stem and len(text) >= fuzzy_from and text not in exact)
             self.slack[0] = max(self.slack[0], slack)
             for c in text:
                 if c not in self.child[node]:
@@ -53,7 +54,7 @@ class Lexicon:
                 node = self.child[node][c]
                 self.slack[node] = max(self.slack[node], slack)
             (self.stem if stem else self.word)[node] = number
-        self.allowed = [int(not stem and len(text) >= fuzzy_from) for text, stem, _ in terms]
+        self.allowed = [int(not stem and len(text) >= fuzzy_from and text not in exact) for text, stem, _ in terms]
         self.known: dict[str, tuple[int, int] | None] = {}
         self.remember = remember
         self.states: dict[tuple, int] = {}
@@ -132,20 +133,29 @@ class Lexicon:
         return self.known[token]
 
 
-def quoted_at(words: list[str], at: list[int]) -> list[bool]:
-    """Whether each place is inside quotation marks (straight marks toggle, others open and close) or follows a reporting word."""
-    out, inside, straight, k = [], 0, False, 0
+def quoted_at(words: list[str], at: list[int], longest: int = 60) -> list[bool]:
+    """Whether each place is between quotation marks that close within `longest` words, or follows a reporting word.
+
+    A straight mark before a word opens and one after a word closes; a mark that finds no partner in reach means nothing.
+    """
+    spans, begin = [], None
     for i, word in enumerate(words):
+        if '"' not in word and not any(c in word for c in QUOTES):
+            continue
         lead = word[: len(word) - len(word.lstrip(STRIP))]
-        inside += sum(c in OPEN for c in lead)
-        straight ^= lead.count('"') % 2 == 1
-        if k < len(at) and at[k] == i:
-            near = any(w.strip(STRIP) in REPORTING for w in words[max(0, i - BEFORE) : i])
-            out.append(inside > 0 or straight or near)
-            k += 1
         tail = word[len(word.rstrip(STRIP)) :] if lead != word else ""
-        inside = max(0, inside - sum(c in CLOSE for c in tail))
-        straight ^= tail.count('"') % 2 == 1
+        if any(c in OPEN or c == '"' for c in lead):
+            begin = i
+        if any(c in CLOSE or c == '"' for c in tail) and begin is not None:
+            if i - begin < longest:
+                spans.append((begin, i))
+            begin = None
+    starts = [a for a, _ in spans]
+    out = []
+    for i in at:
+        k = bisect_left(starts, i + 1) - 1
+        near = any(w.strip(STRIP) in REPORTING for w in words[max(0, i - BEFORE) : i])
+        out.append(near or (k >= 0 and spans[k][1] >= i))
     return out
 
 
@@ -184,13 +194,24 @@ def regress(x: np.ndarray, y: np.ndarray, hold: float = 0.02, steps: int = 400)
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 4000, terms: int = 3000, least: int = 3) -> dict:
-    """The lexicon (bounded by `terms`) and the regression."""
+def closed(terms: list[tuple[str, bool, float, int]]) -> list[tuple[str, bool, float]]:
+    """Without stems that a term one or more letters longer replaces: one that nearly as many toxic texts have."""
+    best: dict[str, int] = {}
+    for text, _, _, n in terms:
+        for k in range(4, len(text) + 1):
+            if k < len(text):
+                best[text[:k]] = max(best.get(text[:k], 0), n)
+    whole = {text: n for text, stem, _, n in terms if not stem}
+    return [(t, stem, w) for t, stem, w, n in terms if not stem or max(best.get(t, 0), whole.get(t, 0)) < 0.9 * n]
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 4000, terms: int = 3000, least: int = 3, share: float = 0.02) -> dict:
+    """The lexicon (bounded by `terms`; each term in `least` toxic texts and in `share` of them) and the regression."""
     sample = labelled_sample(docs, labels, label, id_col, text_col, per_class).withColumn("__half", F.pmod("__h", F.lit(2)))
     sizes = {r["__y"]: (r["n"], r["m"]) for r in sample.groupBy("__y").agg(F.count("*").alias("n"), F.count_if(F.col("__half") == 0).alias("m")).collect()}
     (n0, m0), (n1, m1) = sizes.get(0, (0, 0)), sizes.get(1, (0, 0))
     if not n1 or not n0:
-        return {"terms": [], "w": PRIOR, "b": -5.0}
+        return {"terms": [], "exact": frozenset(), "w": PRIOR, "b": -5.0}
     few = n1 < 200  # too few rows to split
     m0, m1 = (n0, n1) if few else (m0, m1)
 
@@ -207,18 +228,34 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
 
     counted = map_batches(sample.where("__half = 0" if not few else "true").select("__text", "__y"), "term string, stem boolean, d0 long, d1 long", start, 2048)
     odds = F.log((F.col("d1") + 0.25) / F.lit(m1 + 0.5)) - F.log((F.col("d0") + 0.25) / F.lit(m0 + 0.5))
-    found = counted.groupBy("term", "stem").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1")).where(F.col("d1") >= least).withColumn("odds", odds).where(F.col("odds") > 2.0)
-    lexicon = [(r["term"], r["stem"], float(r["odds"])) for r in found.orderBy(F.desc(F.col("odds") * F.log1p("d1")), "term", "stem").limit(terms).collect()]
+    found = counted.groupBy("term", "stem").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1")).where((F.col("d1") >= least) & (F.col("d1") >= share * m1)).withColumn("odds", odds).where(F.col("odds") > 4.0)
+    lexicon = closed([(r["term"], r["stem"], float(r["odds"]), r["d1"]) for r in found.orderBy(F.desc(F.col("odds") * F.log1p("d1")), "term", "stem").limit(4 * terms).collect()])[:terms]
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
-    def begin():
+    def misses():
         own = Lexicon(shared.value)
+
+        def work(cols):
+            out: dict[str, int] = {}
+            for text in cols[0]:
+                for t in {shared.value[h[0]][0] for w in set(text.lower().split()) if (h := own.look(w)) and h[1]}:
+                    out[t] = out.get(t, 0) + 1
+            return [list(out), list(out.values())]
+
+        return work
+
+    # Terms that clean texts come within an edit of say nothing when misspelt.
+    clean = sample.where("__y = 0" + ("" if few else " and __half = 0")).select("__text")
+    exact = frozenset(r["term"] for r in map_batches(clean, "term string, n long", misses, 512).groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") > 0.002 * m0).collect())
+
+    def begin():
+        own = Lexicon(shared.value, exact=exact)
         return lambda cols: [cols[1], [measures(own, t).tolist() for t in cols[0]]]
 
     rows = map_batches(sample.where("__half = 1" if not few else "true").select("__text", "__y"), "y int, x array<double>", begin, 256).collect()
     x, y = np.array([r["x"] for r in rows]).reshape(-1, 6), np.array([r["y"] for r in rows], float)
     w, b = regress(x, y) if len(y) else (PRIOR, -3.0)
-    return {"terms": lexicon, "w": w, "b": min(b, -0.5)}
+    return {"terms": lexicon, "exact": exact, "w": w, "b": min(b, -0.5)}
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -227,7 +264,7 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
 
     def start():
         own = shared.value
-        lexicon = Lexicon(own["terms"])
+        lexicon = Lexicon(own["terms"], exact=own["exact"])
 
         def work(cols):
             x = np.array([measures(lexicon, t) for t in cols[2]]).reshape(-1, 6)
