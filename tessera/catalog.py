@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import claims, corpus, evaluation, evidence, index, ranking, state, structure, text  # noqa: F401  (importing registers)
+from .plans import claims, corpus, evaluation, evidence, guidance, index, ranking, state, structure, text  # noqa: F401  (importing registers)
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "hybrid_flagship"
