@@ -78,11 +78,11 @@ def section_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "WITH "
     + base.FILES
-    + ", n AS (SELECT path, source || '/' || lang AS folder, doc_id % 10 AS number, doc_id % 5 AS cites FROM files), c AS (SELECT path, folder, (number + cites) % 10 AS cited FROM n WHERE cites > 0), m AS (SELECT DISTINCT n.path, c.path AS related FROM n JOIN c ON c.folder = n.folder AND c.cited = n.number AND c.path <> n.path) SELECT path, related FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY related) AS k FROM m) WHERE k <= 2"
+    + ", n AS (SELECT path, source || '/' || lang AS folder, doc_id // 7 % 10 AS number, doc_id % 5 AS cites FROM files), c AS (SELECT path, folder, (number + cites) % 10 AS cited FROM n WHERE cites > 0), m AS (SELECT DISTINCT n.path, c.path AS related FROM n JOIN c ON c.folder = n.folder AND c.cited = n.number AND c.path <> n.path) SELECT path, related FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY related) AS k FROM m) WHERE k <= 2"
 )
 def find_related(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every file has the last digit of its id as its number and cites one up to four above."""
-    k, c = F.col("doc_id") % 10, F.col("doc_id") % 5
+    """Every file has a seventh of its id, modulo ten, as its number and cites one up to four above."""
+    k, c = F.floor(F.col("doc_id") / 7) % 10, F.col("doc_id") % 5
     own = base.files(spark, sf_dir).select("path", F.concat(F.lit("REG第"), k.cast("string"), F.lit("号")).alias("head"), F.when(c > 0, F.concat(F.lit("see REG第"), ((k + c) % 10).cast("string"), F.lit("号"))).otherwise("").alias("text"))
     return G.related(own, 2)
 
