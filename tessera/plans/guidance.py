@@ -83,7 +83,7 @@ def section_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def find_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file has a seventh of its id, modulo ten, as its number and cites one up to four above."""
     k, c = F.floor(F.col("doc_id") / 7) % 10, F.col("doc_id") % 5
-    own = base.files(spark, sf_dir).select("path", F.concat(F.lit("REG第"), k.cast("string"), F.lit("号")).alias("head"), F.when(c > 0, F.concat(F.lit("see REG第"), ((k + c) % 10).cast("string"), F.lit("号"))).otherwise("").alias("text"))
+    own = base.files(spark, sf_dir).select("path", F.concat(F.lit("REG第"), k.cast("string"), F.lit("号")).alias("head"), F.when(c > 0, F.concat(F.lit("see: REG第"), ((k + c) % 10).cast("string"), F.lit("号"))).otherwise("").alias("text"))
     return G.related(own, 2)
 
 
