@@ -59,7 +59,8 @@ def drop_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     met = lines.join(F.broadcast(hot), ["h1", "h2"]).select(place).unionByName(lines.join(rest, ["h1", "h2"]).select(place))
     gone = met.where(~F.struct("id", "pos").eqNullSafe(F.col("first"))).groupBy("id").agg(F.collect_set(F.struct("pos", "h1", "h2")).alias("__gone")).select(F.col("id").alias("__id"), "__gone")
     base = docs.drop("n_lines", "n_dropped")
-    joined = base.join(gone, base[id_col].eqNullSafe(gone["__id"]), "left")
+    # Places to drop are small beside texts: hashing them spares sorting the texts.
+    joined = base.join(gone.hint("shuffle_hash"), base[id_col].eqNullSafe(gone["__id"]), "left")
     cut = F.split(F.col(text_col), "\n", -1)
     keyed = F.transform(cut, lambda x, i: F.struct(F.struct(i.alias("pos"), *_hashes(x)).alias("k"), x.alias("line")))
     kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(F.filter(keyed, lambda s: ~F.array_contains(F.col("__gone"), s["k"])), lambda s: s["line"]), "\n"))
