@@ -10,8 +10,16 @@ from pyspark.sql import SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers that see this folder import the package. On a cluster, ship it with --py-files."""
+    """Lets Python workers that see this folder import the package, and sizes Arrow batches for long texts.
+
+    On a cluster, ship the package with --py-files. A batch size other than Spark's own is left as it is.
+    """
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
     env = spark.sparkContext.environment
     parts = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep)
     if ROOT not in parts:
