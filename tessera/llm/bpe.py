@@ -35,10 +35,11 @@ FRESH, LETTERS, NUMBERS, OTHERS, BLANKS, JOINED, TWO_LEFT, ONE_LEFT = range(8)
 @lru_cache(maxsize=1)
 def code_classes() -> np.ndarray:
     """0 letter, 1 number, 2 other, 3 U+0020, 4 further white space, for every code point."""
-    major = "".join(unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1)).encode()
+    major = "".join(unicodedata.category(chr(c))[0] for c in range(0x40000)).encode()  # no letter or number lies beyond
     table = np.full(256, 2, np.uint8)
     table[ord("L")], table[ord("N")] = 0, 1
-    classes = table[np.frombuffer(major, np.uint8)]
+    classes = np.full(sys.maxunicode + 1, 2, np.uint8)
+    classes[: len(major)] = table[np.frombuffer(major, np.uint8)]
     classes[WHITE_SPACE] = 4
     classes[0x20] = 3
     return classes
@@ -189,7 +190,7 @@ NONE = np.int32(2**31 - 1)
 class Codec:
     """Ranks of a public vocabulary, with a memory of merged pieces that is emptied at `remember` entries."""
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 250_000):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bytes_of = {r: t for t, r in self.ranks.items()}

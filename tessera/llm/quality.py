@@ -48,7 +48,7 @@ def structure(raw: bytes, words: list[bytes], distinct: int) -> np.ndarray:
 class Features:
     """Feature numbers and values of a row; word hashes are remembered up to `remember` words."""
 
-    def __init__(self, extra: int, remember: int = 300_000):
+    def __init__(self, extra: int, remember: int = 150_000):
         self.extra, self.remember = extra, remember
         self.known = _Hashes()
 

@@ -242,19 +242,21 @@ def most_bits(similarity: float) -> int:
 
 
 def band_links(home: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Edges of a forest that spans all pairs within `most` bits, near pairs first; pairs are compared in blocks of 256 queries."""
+    """Edges of a forest that spans all pairs within `most` bits, near pairs first; pairs are compared in blocks of 64 queries."""
     place = {}
     number = lambda v: place.setdefault(v, len(place))
     h, q = np.array([number(v) for v in ids.tolist()]), np.array([number(v) for v in query_ids.tolist()])
     root, names, edges = np.arange(len(place)), list(place), []
-    for at in range(0, len(q), 256):
-        block, own = queries[at : at + 256], q[at : at + 256]
-        apart = np.bitwise_count(block[:, :1] ^ home[None, :, 0]).astype(np.int16)
-        row, col = np.nonzero(apart <= most // 2)  # a quarter of the bits may hold half of all differences, far beyond chance
-        far = apart[row, col].astype(np.int64)
-        for w in range(1, WIDE):
+    for at in range(0, len(q), 64):
+        block, own = queries[at : at + 64], q[at : at + 64]
+        # A quarter of the bits may hold half of all differences, far beyond chance. Pairs that are connected already need no look.
+        row, col = np.nonzero(np.bitwise_count(block[:, :1] ^ home[None, :, 0]) <= most // 2)
+        new = root[own[row]] != root[h[col]]
+        row, col = row[new], col[new]
+        far = np.zeros(len(row), np.int64)
+        for w in range(WIDE):
             far += np.bitwise_count(block[row, w] ^ home[col, w])
-        near = (far <= most) & (own[row] != h[col])
+        near = far <= most
         row, col, far = row[near], col[near], far[near]
         while len(row):
             apart_ = root[own[row]] != root[h[col]]
@@ -337,6 +339,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """
     found = materialize(similar_documents(docs, id_col, text_col, words, similarity), "classes")
     out = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__k")).distinct()
-    kept = docs.join(out, docs[id_col].eqNullSafe(out["__k"]), "left_anti")
+    kept = docs.join(out.hint("shuffle_hash"), docs[id_col].eqNullSafe(out["__k"]), "left_anti")  # ids are small beside texts
     repeated = found.groupBy(id_col).count().where("count > 1").limit(1).count()
     return kept.dropDuplicates([id_col]) if repeated else kept
