@@ -7,6 +7,8 @@ read once, and only per-question candidates are shuffled. Text stays where it is
 from __future__ import annotations
 
 import heapq
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,22 +45,11 @@ def term_hits(chunks: DataFrame, terms: DataFrame, hay: Column) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            import ahocorasick
-
-            find = ahocorasick.Automaton()
-            for t in shared.value:
-                find.add_word(t, t)
-            find.make_automaton()
+            count = _finder(shared.value)
             for batch in batches:
                 made = [[] for _ in range(6)]
                 for chunk, path, heading, stem, text in zip(*(c.to_pylist() for c in batch.columns)):
-                    counts: dict[str, list[int]] = {}
-                    for end, term in find.iter(text or ""):
-                        seen = counts.setdefault(term, [0, -1])
-                        if end - len(term) + 1 > seen[1]:
-                            seen[0] += 1
-                            seen[1] = end
-                    for term, (n, _) in counts.items():
+                    for term, n in count(text or "").items():
                         for column, value in zip(made, (chunk, path, term, n, term in heading, term in stem)):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(made, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_()))], names=["chunk_id", "path", "term", "n", "in_heading", "in_stem"])
@@ -72,58 +63,104 @@ def document_frequency(hits: DataFrame) -> DataFrame:
     return hits.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def gram_hits(chunks: DataFrame, questions: DataFrame, hay: Column, top_k: int) -> DataFrame:
-    """(query_id, chunk_id, path, grams): how many of a question's n-grams a chunk has, ten at most (more add nothing).
-
-    All pairs are looked at where the chunk is; sent on are those with a term of the question, and for each question
-    the `top_k` best of the others of the task, since no more of them can be among the results.
-    """
-    asked = [(r[0], r[1], r[2]) for r in questions.select("query_id", query_ngrams(F.col("query")).alias("g"), split_terms(F.col("query")).alias("t")).collect()]
-    shared = chunks.sparkSession.sparkContext.broadcast(asked)
+def _finder(terms: list[str]):
+    """text -> occurrences of each term it has, counted without overlap, by one pass of an automaton."""
+    import ahocorasick
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spare: dict = {q: [] for q, _, _ in shared.value}
+    find = ahocorasick.Automaton()
+    for t in terms:
+        find.add_word(t, t)
+    if terms:
+        find.make_automaton()
 
-        def pack(rows):
-            cols = list(zip(*rows)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["query_id", "chunk_id", "path", "grams"])
+    def count(text: str) -> dict[str, int]:
+        counts: dict[str, int] = {}
+        free: dict[str, int] = {}
+        for end, term in find.iter(text) if terms else ():
+            if end - len(term) >= free.get(term, -1):
+                counts[term] = counts.get(term, 0) + 1
+                free[term] = end
+        return counts
 
-        for batch in batches:
-            rows = []
-            for chunk, path, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for q, grams, terms in shared.value:
-                    n = 0
-                    for g in grams:
-                        if g in text:
-                            n += 1
-                            if n == 10:
-                                break
-                    if any(t in text for t in terms):
-                        rows.append((q, chunk, path, n))
-                    elif n:
-                        spare[q].append((-n, chunk, path))
-            for q, kept in spare.items():
-                spare[q] = heapq.nsmallest(top_k, kept)
-            yield pack(rows)
-        yield pack([(q, c, p, -n) for q, kept in spare.items() for n, c, p in kept])
-
-    return chunks.select("chunk_id", "path", F.lower(hay).alias("hay")).mapInArrow(run, "query_id long, chunk_id string, path string, grams long")
+    return count
 
 
 def keyword_scores(questions: DataFrame, chunks: DataFrame, top_k: int = 8) -> DataFrame:
-    """(query_id, chunk_id, path, score, rank0): saturated term counts weighted by rarity, heading and name bonuses, n-gram fallback."""
-    hay = F.concat_ws(" ", "path", "heading", "text")
-    terms = question_terms(questions)
-    hits = term_hits(chunks, terms, hay)
-    total = chunks.count()
-    special = F.when(F.col("term").rlike(CJK_TERM), F.least(F.length("term"), F.lit(8))).otherwise(1)
-    rarity = F.log((F.lit(total) + 1.0) / (F.col("df") + 1)) + 1.0
-    one = 2.0 * F.col("n") / (F.col("n") + 1.0) * rarity * special + F.when(F.col("in_heading"), 3.0).otherwise(0.0) + F.when(F.col("in_stem"), 2.0).otherwise(0.0)
-    by_term = hits.join(document_frequency(hits), "term").select("term", "chunk_id", one.alias("one"))
-    summed = terms.join(by_term, "term").groupBy("query_id", "chunk_id").agg(F.sum("one").alias("s"))
-    met = gram_hits(chunks, questions, hay, top_k).join(summed, ["query_id", "chunk_id"], "left")
-    scored = met.withColumn("score", F.round(F.coalesce("s", F.lit(0.0)) + F.least(F.lit(1.0), 0.1 * F.col("grams")), 4)).where("score > 0")
-    return top(scored.select("query_id", "chunk_id", "path", "score"), top_k)
+    """(query_id, chunk_id, path, score, rank0): saturated term counts weighted by rarity, heading and name bonuses, n-gram fallback.
+
+    Two passes over the chunks. The first counts how many chunks have each term; the second scores every chunk for all
+    questions where it is, and a task sends on its `top_k` best of each question. Questions and terms are broadcast in blocks of TERMS_AT_ONCE terms.
+    """
+    spark = chunks.sparkSession
+    asked = [tuple(r) for r in questions.select("query_id", query_ngrams(F.col("query")).alias("g"), "query").join(question_terms(questions).groupBy("query_id").agg(F.collect_list("term").alias("t")), "query_id").select("query_id", "g", "t").orderBy("query_id").collect()]
+    blocks: list[list[tuple]] = [[]]
+    for q in asked:
+        if blocks[-1] and sum(len(t) for _, _, t in blocks[-1]) + len(q[2]) > TERMS_AT_ONCE:
+            blocks.append([])
+        blocks[-1].append(q)
+    rows = chunks.select("chunk_id", "path", F.lower(F.coalesce("heading", F.lit(""))).alias("heading"), F.lower(path_stem(F.col("path"))).alias("stem"), F.lower(F.concat_ws(" ", "path", "heading", "text")).alias("hay"))
+    parts = [_score_block(spark, rows, block, top_k) for block in blocks]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return top(out, top_k)
+
+
+def _score_block(spark, rows: DataFrame, block: list[tuple], top_k: int) -> DataFrame:
+    words = sorted({t for _, _, ts in block for t in ts})
+    plain = spark.sparkContext.broadcast(words)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, seen = _finder(plain.value), {None: 0}
+        for batch in batches:
+            seen[None] += batch.num_rows
+            for text in batch.column(0).to_pylist():
+                for t in count(text):
+                    seen[t] = seen.get(t, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "df"])
+
+    df = {r[0]: r[1] for r in rows.select("hay").mapInArrow(tally, "term string, df long").groupBy("term").agg(F.sum("df")).collect()}
+    total, cjk = df.get(None, 0), re.compile(CJK_TERM.replace("\\x{3400}", "\u3400").replace("\\x{9fff}", "\u9fff"))
+    weight = {t: (math.log((total + 1.0) / (df.get(t, 0) + 1)) + 1.0) * (min(len(t), 8) if cjk.match(t) else 1) for t in words}
+    shared = spark.sparkContext.broadcast((block, weight))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, weight = shared.value
+        count, askers = _finder(list(weight)), {}
+        for q, _, terms in block:
+            for t in terms:
+                askers.setdefault(t, []).append(q)
+        plan = []
+        for q, grams, _ in block:
+            short = frozenset(g for g in grams if len(g) == 3)
+            plan.append((q, short, {p: [g for g in grams if len(g) > 3 and g[:3] == p] for p in short}))
+        best: dict = {q: [] for q, _, _ in block}
+        least = dict.fromkeys(best, 0.0)  # what a chunk must reach to be among the best so far
+        for batch in batches:
+            for chunk, path, heading, stem, text in zip(*(c.to_pylist() for c in batch.columns)):
+                sums: dict = {}
+                for t, n in count(text).items():
+                    value = 2.0 * n / (n + 1.0) * weight[t] + (3.0 if t in heading else 0.0) + (2.0 if t in stem else 0.0)
+                    for q in askers[t]:
+                        sums[q] = sums.get(q, 0.0) + value
+                threes = {text[i : i + 3] for i in range(len(text) - 2)}
+                for q, short, longer in plan:
+                    there = short & threes
+                    n = len(there)
+                    if n < 10:  # a longer gram can only be there if its first three characters are
+                        n += sum(1 for p in there for g in longer[p] if g in text)
+                    got = sums.get(q, 0.0) + (0.1 * n if n < 10 else 1.0)
+                    if got > 0 and got + 1e-4 >= least[q]:
+                        best[q].append((-math.floor(got * 1e4 + 0.5) / 1e4, chunk, path))
+            for q, kept in best.items():
+                if len(kept) > top_k:
+                    best[q] = kept = heapq.nsmallest(top_k, kept)
+                if len(kept) == top_k:
+                    least[q] = -kept[-1][0]
+        found = [(q, c, p, -s) for q, kept in best.items() for s, c, p in kept]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.float64()))], names=["query_id", "chunk_id", "path", "score"])
+
+    return rows.mapInArrow(score, "query_id long, chunk_id string, path string, score double")
 
 
 def top(scored: DataFrame, k: int, *ties: str) -> DataFrame:
