@@ -15,6 +15,8 @@ never name it (null if nobody else is in it). An empty table gives an empty resu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -212,133 +214,198 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named.join(groups, "__root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
-# ---- word-shingle similarity: wide fingerprints, size bands, an exact check
-
-
-WIDE, MARGIN = 4, 8  # 64-bit words of a wide fingerprint; bits allowed beyond the expected distance
+# ---- word-shingle similarity: an exact prefix join, checked links, components
 
 
-def shingles(text: bytes, size: int) -> list[bytes]:
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """The set of shingles as ascending 64-bit hashes."""
     words = text.lower().split()
-    return [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
-
-
-def wide_fingerprint(text: bytes, size: int) -> tuple[np.ndarray, int]:
-    """256 bits of the set of shingles as four signed longs, and the number of distinct shingles."""
-    parts = set(shingles(text, size))
-    if not parts:
-        return np.zeros(WIDE, np.int64), 0
-    digest = xxhash.xxh3_128_digest
-    raw = np.frombuffer(b"".join([digest(p, 1) + digest(p, 2) for p in parts]), np.uint8).reshape(-1, 32)
-    counts = np.zeros(256, np.int64)
-    for at in range(0, len(raw), 2048):
-        counts += np.unpackbits(raw[at : at + 2048], axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(raw)).view(np.int64), len(parts)
-
-
-def most_bits(similarity: float) -> int:
-    """Bits that sets of this Jaccard similarity differ in on average (angle of 2 J / (1 + J)), and a margin of about 1.4 deviations."""
-    return round(64 * WIDE * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + MARGIN
-
-
-def band_links(home: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Edges of a forest that spans all pairs within `most` bits, near pairs first; pairs are compared in blocks of 64 queries."""
-    place = {}
-    number = lambda v: place.setdefault(v, len(place))
-    h, q = np.array([number(v) for v in ids.tolist()]), np.array([number(v) for v in query_ids.tolist()])
-    root, names, edges = np.arange(len(place)), list(place), []
-    for at in range(0, len(q), 64):
-        block, own = queries[at : at + 64], q[at : at + 64]
-        # A quarter of the bits may hold half of all differences, far beyond chance. Pairs that are connected already need no look.
-        row, col = np.nonzero(np.bitwise_count(block[:, :1] ^ home[None, :, 0]) <= most // 2)
-        new = root[own[row]] != root[h[col]]
-        row, col = row[new], col[new]
-        far = np.zeros(len(row), np.int64)
-        for w in range(WIDE):
-            far += np.bitwise_count(block[row, w] ^ home[col, w])
-        near = far <= most
-        row, col, far = row[near], col[near], far[near]
-        while len(row):
-            apart_ = root[own[row]] != root[h[col]]
-            row, col, far = row[apart_], col[apart_], far[apart_]
-            order = np.lexsort((far, row))
-            first = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])] if len(row) else order
-            for k in first[np.argsort(far[first], kind="stable")].tolist():
-                a, b = int(own[row[k]]), int(h[col[k]])
-                x, y = root[a], root[b]
-                if x != y:
-                    root[root == max(x, y)] = min(x, y)
-                    edges.append((names[a], names[b]))
-    return edges
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, group: int = 20_000) -> DataFrame:
-    """(id, component_id): documents linked where the sets of word shingles have a Jaccard similarity of `similarity` or more.
-
-    Such sets differ by at most the factor 1/similarity in size, so only neighbouring bands of size meet; a band of over
-    `group` texts is dealt into groups that meet pair by pair in tasks of their own. A task sends on a spanning forest of its links,
-    nearest first, and the links are then checked on the texts. The 256-bit radius leaves triangle bounds no branch to prune,
-    which is why bands stand in for the tree here. Ids must be longs.
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + size]), SEED) for i in range(max(1, len(words) - size + 1))] if words else [], np.uint64))
+
+
+def prefix_size(n: int, similarity: float) -> int:
+    """Sets of the similarity share one of so many first members at least, in any order that holds for all sets."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
+
+
+def whole_lists(batches) -> Iterator[list[np.ndarray]]:
+    """Columns of Arrow batches sorted by their first column, cut only where that column changes."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        cols = [c.to_numpy() for c in batch.columns]
+        if not len(cols[0]):
+            continue
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        if held and held[0][0][0] == cols[0][-1]:
+            held.append(cols)  # one list that goes on
+            continue
+        last = [c[cut:] for c in cols]
+        held.append([c[:cut] for c in cols])
+        yield [np.concatenate(c) for c in zip(*held)]
+        held = [last]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def room(n, p, i, j, similarity: float) -> np.ndarray:
+    """Whether sets i and j (i not larger) may have the similarity if the list's member is their first common one: the rest of the overlap lies behind it."""
+    need = np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9)
+    return (n[i] >= similarity * n[j] - 1e-9) & (np.minimum(n[i] - p[i], n[j] - p[j]) >= need)
+
+
+def with_partner(h, n, p, similarity: float, reach: int = 256) -> np.ndarray:
+    """Rows of lists that have a partner with room; in lists of over `reach` rows all are taken."""
+    keep = np.zeros(len(h), bool)
+    for d in range(1, reach + 1):
+        i = np.flatnonzero(h[:-d] == h[d:])
+        if not len(i):
+            return keep
+        i = i[room(n, p, i, i + d, similarity)]
+        keep[i] = keep[i + d] = True
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    size = np.diff(np.append(starts, len(h)))
+    return keep | np.repeat(size > reach, size)
+
+
+def list_pairs(h, n, p, r, label, low: int, high: int, similarity: float) -> tuple[np.ndarray, bool]:
+    """Pairs of different labels over `low` and at most `high` places apart in a list that may have the similarity; and whether some lie further apart.
+
+    h: list, n: size of the set, p: place in the set's order, r: row. Lists are sorted by size. A pair's first common member leaves
+    room for the rest of the overlap behind it in both sets, so every similar pair is found in that member's list.
     """
-    made = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    out = [np.zeros((0, 2), np.int64)]
+    for d in range(low + 1, high + 1):
+        same = np.flatnonzero(h[:-d] == h[d:])
+        if not len(same):
+            return np.unique(np.concatenate(out), axis=0), False
+        i = same[label[same] != label[same + d]]
+        j = i + d
+        ok = room(n, p, i, j, similarity)
+        out.append(np.sort(np.column_stack([r[i[ok]], r[j[ok]]]), axis=1))
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    long = np.diff(np.append(starts, len(h))) > high + 1
+    mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+    return np.unique(np.concatenate(out), axis=0), bool((long & mixed).any())
+
+
+def frequent_shingles(texts: DataFrame, words: int, sample: int = 20_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes and counts of shingles that are frequent in a sample. They only order the members of sets: results don't depend on them."""
+    step = max(1, texts.count() // (sample + texts.count() // 64))
 
     def start():
-        def work(cols):
-            out = [wide_fingerprint(t.encode("utf-8", "surrogatepass"), words) for t in cols[1]]
-            return [cols[0], *([int(f[w]) for f, _ in out] for w in range(WIDE)), [n for _, n in out]]
+        return lambda cols: [[shingle_hashes(t.encode("utf-8", "surrogatepass"), words).view(np.int64) for t in cols[0]]]
 
-        return work
+    some = texts.where(F.pmod(F.xxhash64("t"), F.lit(step)) == 0).select("t")
+    found = map_batches(some, "h array<long>", start, 128).select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c >= 3")
+    table = found.orderBy(F.desc("c"), "h").limit(most).toArrow()
+    hot, count = table["h"].to_numpy().view(np.uint64), table["c"].to_numpy()
+    order = np.argsort(hot)
+    return hot[order], count[order]
 
-    bits = [f"f{w}" for w in range(WIDE)]
-    marked = materialize(map_batches(made, "i long, " + ", ".join(f"{b} long" for b in bits) + ", n long", start, 128), "wide")
-    classes = marked.groupBy(bits).agg(F.min("i").alias("least"), F.max("n").alias("n")).where("least is not null")
-    band = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
-    points = classes.select("least", *bits, band.alias("band"))
-    biggest = points.groupBy("band").count().agg(F.max("count")).first()[0] or 0
-    groups = max(1, -(-biggest // group))
-    points = points.withColumn("g", F.pmod(F.xxhash64("f0"), F.lit(groups)).cast("int"))
-    # A shard is (band, group) with its home texts; visitors are the band below in whole, and the lower groups of the band.
-    home = points.withColumn("home", F.lit(True))
-    above = points.select("least", *bits, (F.col("band") + 1).alias("band"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(False).alias("home"))
-    beside = points.where(F.col("g") < groups - 1).select("least", *bits, "band", F.explode(F.sequence(F.col("g") + 1, F.lit(groups - 1))).alias("g"), F.lit(False).alias("home"))
-    lives = points.select("band", "g").distinct()
-    rows = home.unionByName(above.join(lives, ["band", "g"], "left_semi")).unionByName(beside.join(lives, ["band", "g"], "left_semi"))
-    most = int(most_bits(similarity))
 
-    def search(table: pa.Table) -> pa.Table:
-        fp = np.column_stack([table[b].to_numpy() for b in bits]).view(np.uint64)
-        ids, here = table["least"].to_numpy(), table["home"].to_numpy()
-        order = np.concatenate([np.flatnonzero(here), np.flatnonzero(~here)])
-        found = band_links(fp[here], ids[here], fp[order], ids[order], most)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+def similar_rows(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """(i: id, th: MD5 of the text, row: a stored number, root: the same for all rows of a component), one row a row of docs.
 
-    found = materialize(rows.groupBy("band", "g").applyInArrow(search, "a long, b long").distinct(), "near")
-    texts = made.join(found.select(F.col("a").alias("i")).union(found.select(F.col("b").alias("i"))).distinct(), "i", "left_semi").groupBy("i").agg(F.min("t").alias("t"))
-    pairs = found.join(texts.select(F.col("i").alias("a"), F.col("t").alias("x")), "a").join(texts.select(F.col("i").alias("b"), F.col("t").alias("y")), "b")
+    Rows of equal sets of shingles are one point. Two sets of the similarity share one of their first members (prefix_size) in an order
+    that holds for all sets: frequent shingles last, then by hash. Points therefore meet in the lists of those members. Pairs of
+    a list are checked on the whole sets and only links that hold unite points. Pairs a few places apart come first, then further ones, where
+    their ends are still apart: every pair that a list holds has been checked or is connected in the end, and a group of copies is
+    connected before its pairs are many.
+    """
+    spark = docs.sparkSession
+    kind = dict(docs.dtypes)[id_col]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    made = docs.select(F.col(id_col).alias("i"), F.md5(text.cast("binary")).alias("th"), text.alias("t"))
+    shared = spark.sparkContext.broadcast(frequent_shingles(made, words))
+
+    def start():
+        hot, count = shared.value
 
-    def check():
         def work(cols):
-            keep = []
-            for x, y in zip(cols[2], cols[3]):
-                one, two = (set(shingles(t.encode("utf-8", "surrogatepass"), words)) for t in (x, y))
-                keep.append(len(one & two) >= similarity * len(one | two))
-            return [cols[0], cols[1], keep]
+            keys, sizes, firsts = [], [], []
+            for t in cols[2]:
+                h = shingle_hashes(t.encode("utf-8", "surrogatepass"), words)
+                keys.append(xxhash.xxh3_128_digest(h.tobytes()))
+                times = np.zeros(len(h), np.int64)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+                    times = np.where(hot[at] == h, count[at], 0)
+                sizes.append(len(h))
+                firsts.append(h[np.lexsort((h, times))[: prefix_size(len(h), similarity)]].view(np.int64))
+            return [cols[0], cols[1], cols[3], keys, sizes, firsts]
 
         return work
 
-    sure = map_batches(pairs.select("a", "b", "x", "y"), "a long, b long, ok boolean", check, 64).where("ok").select("a", "b")
-    roots = components(sure)
-    named = classes.join(roots, classes.least == roots.node, "left").select(*bits, F.coalesce("root", "least").alias("component_id"))
-    return marked.join(named, bits, "left").select(F.col("i").alias(id_col), "component_id")
+    numbered = made.withColumn("row", F.monotonically_increasing_id())
+    marked = materialize(map_batches(numbered, f"i {kind}, th string, row long, key binary, n long, first array<long>", start, 128), "marked")
+    classes = marked.groupBy("key").agg(F.min("row").alias("r"))
+    points = marked.join(classes.select(F.col("r").alias("row")), "row", "left_semi")
+    postings = points.select(F.col("row").alias("r"), "n", F.posexplode("first").alias("p", "h")).select("h", "n", F.col("p").cast("long").alias("p"), "r")
+
+    def met(batches):
+        for h, *rest in whole_lists(batches):
+            keep = with_partner(h, *rest[:2], similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (h, *rest)], names=["h", "n", "p", "r"])
+
+    listed = lambda df: df.repartition("h").sortWithinPartitions("h", "n", "r")
+    lists = materialize(listed(postings).mapInArrow(met, "h long, n long, p long, r long"), "lists")
+
+    def whole():
+        return lambda cols: [cols[0], [shingle_hashes(t.encode("utf-8", "surrogatepass"), words).view(np.int64) for t in cols[1]]]
+
+    members = materialize(marked.join(lists.select(F.col("r").alias("row")).distinct(), "row", "left_semi").select("row", "th"), "members")
+    some = made
+    if members.count() <= 1_000_000:  # few: hashes of their texts go to the tasks, and other texts aren't moved
+        some = made.join(F.broadcast(members.select(F.xxhash64("th").alias("k")).distinct()), F.xxhash64(made["th"]) == F.col("k"), "left_semi")
+    texts = some.join(members.select("th").distinct().hint("shuffle_hash"), "th", "left_semi").groupBy("th").agg(F.min("t").alias("t"))
+    sets = materialize(map_batches(texts.join(members, "th").select("row", "t"), "r long, s array<long>", whole, 64), "sets")
+
+    roots = spark.createDataFrame([], "node long, root long")
+    tried, low, high, more = spark.createDataFrame([], "a long, b long"), 0, 4, True
+    while more:
+
+        def pairs(batches, low=low, high=high):
+            for columns in whole_lists(batches):
+                found, rest = list_pairs(*columns, low, high, similarity)
+                found = np.concatenate([found, [[-1, -1]]]) if rest else found  # the mark of pairs further apart
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+        now = lists.join(roots, lists.r == roots.node, "left").select("h", "n", "p", "r", F.coalesce("root", "r").alias("label"))
+        found = listed(now).mapInArrow(pairs, "a long, b long").distinct()
+        found = materialize(found.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = bool(found.where("a < 0").limit(1).count())
+        found = found.where("a >= 0")
+        both = found.join(sets.select(F.col("r").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("r").alias("b"), F.col("s").alias("y")), "b")
+        shared_by = F.size(F.array_intersect("x", "y"))
+        sure = materialize(both.where(shared_by >= similarity * (F.size("x") + F.size("y") - shared_by) - 1e-9).select("a", "b"), "sure")
+        if sure.limit(1).count():
+            roots = components(sure.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        tried, low, high = tried.unionByName(found), high, 8 * high
+    named = classes.join(roots, classes.r == roots.node, "left").select("key", F.coalesce("root", "r").alias("root"))
+    return marked.select("i", "th", "row", "key").join(named, "key").select("i", "th", "row", "root")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id): documents linked where the sets of word shingles have a Jaccard similarity of `similarity` or more, exactly.
+
+    component_id is the least id of the component, null if nobody in it has one.
+    """
+    rows = materialize(similar_rows(docs, id_col, text_col, words, similarity), "classes")
+    least = rows.groupBy("root").agg(F.min("i").alias("component_id"))
+    return rows.join(least, "root").select(F.col("i").alias(id_col), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The document of least id of every component of similar_documents, with all its columns.
 
-    Rows that share an id are one document: one stays. Rows without an id stay, unless a document with an id has their text.
+    Rows are told apart by id and text. Of a component without ids one row stays; of rows equal in id and text, one.
     """
-    found = materialize(similar_documents(docs, id_col, text_col, words, similarity), "classes")
-    out = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__k")).distinct()
-    kept = docs.join(out.hint("shuffle_hash"), docs[id_col].eqNullSafe(out["__k"]), "left_anti")  # ids are small beside texts
-    repeated = found.groupBy(id_col).count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates([id_col]) if repeated else kept
+    rows = materialize(similar_rows(docs, id_col, text_col, words, similarity), "classes")
+    own = F.struct(F.col("i").isNull().alias("none"), "i", "th")
+    least = rows.groupBy("root").agg(F.min(own).alias("kept"))
+    out = rows.join(least, "root").where(~own.eqNullSafe(F.col("kept"))).select(F.col("i").alias("__k"), F.col("th").alias("__t")).distinct()
+    th = F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary"))
+    kept = docs.join(out.hint("shuffle_hash"), (th == out["__t"]) & docs[id_col].eqNullSafe(out["__k"]), "left_anti")  # keys are small beside texts
+    repeated = rows.groupBy("i", "th").count().where("count > 1").limit(1).count()
+    return kept.withColumn("__t", F.md5(F.coalesce(text_col, F.lit("")).cast("binary"))).dropDuplicates([id_col, "__t"]).drop("__t") if repeated else kept

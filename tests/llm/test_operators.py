@@ -169,6 +169,38 @@ def test_similarity_stage(spark, docs, none):
     assert changed(0) == " ".join(base)
 
 
+def jaccard(x, y):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (x.lower().split(), y.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def same_components(texts, got):
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if root[a] != root[b] and jaccard(texts[a], texts[b]) >= 0.8 - 1e-9:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    assert [got[i] for i in range(len(texts))] == root
+    return root
+
+
+def test_copies_of_one_original_are_linked_through_it(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 104)]
+    texts = []
+    for k in range(240):  # each near the original (0.82 or more), mostly under 0.8 to each other
+        own = base.copy()
+        for at in rng.choice(104, 2, replace=False):
+            own[at] = f"n{k}x{at}"
+        texts.append(" ".join(own))
+    texts.insert(120, " ".join(base))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = same_components(texts, {r.doc_id: r.component_id for r in simhash.similar_documents(frame).collect()})
+    assert set(root) == {0}
+    assert [r.doc_id for r in simhash.keep_one(frame).collect()] == [0]
+
+
 # ---- decontamination
 
 
