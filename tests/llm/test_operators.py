@@ -201,6 +201,20 @@ def test_copies_of_one_original_are_linked_through_it(spark):
     assert [r.doc_id for r in simhash.keep_one(frame).collect()] == [0]
 
 
+def test_rows_without_an_id_are_told_apart_by_text(spark):
+    import corpus_pipeline
+
+    own = lambda k: " ".join(f"{k}word{i}" for i in range(40))
+    item = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").first()["text"]
+    rows = [(1, own("a")), (2, own("b")), (2, own("c")), (None, own("a")), (None, own("d")), (None, own("e")), (None, own("e"))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(frame).collect()), key=lambda r: (r[0] is None, r[1]))
+    assert kept == [(1, own("a")), (2, own("b")), (2, own("c")), (None, own("d")), (None, own("e"))]
+    dirty = spark.createDataFrame([(None, item), (None, own("d")), (None, own("e")), (4, item), (4, own("f"))], "doc_id long, text string")
+    clean = corpus_pipeline.drop_contaminated(spark, dirty, "/root/testdata/sf0.001")
+    assert sorted((r.text for r in clean.collect())) == sorted((own("d"), own("e"), own("f")))
+
+
 # ---- decontamination
 
 
