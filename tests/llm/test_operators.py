@@ -215,6 +215,17 @@ def test_rows_without_an_id_are_told_apart_by_text(spark):
     assert sorted((r.text for r in clean.collect())) == sorted((own("d"), own("e"), own("f")))
 
 
+@pytest.mark.parametrize("size", [8, 16, 29])
+def test_short_near_copies_are_all_found(spark, size):
+    texts = []
+    for k in range(60):  # one word more: 4 of 5 shingles and up
+        own = " ".join(f"s{k}w{i}" for i in range(size))
+        texts += [own, own + f" t{k}"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = same_components(texts, {r.doc_id: r.component_id for r in simhash.similar_documents(frame).collect()})
+    assert len(set(root)) == 60
+
+
 # ---- decontamination
 
 
