@@ -37,8 +37,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[list[list]], list[list]]], rows: int = 512) -> DataFrame:
-    """Runs start()(columns) over slices of at most `rows` rows, columns being Python lists.
+def _cuts(batch: pa.RecordBatch, rows: int, size: int) -> list[int]:
+    """Where slices begin: of at most `rows` rows and of about `size` bytes, or of one row."""
+    cuts, held = [0], 0
+    for at in range(batch.num_rows):
+        own = batch.slice(at, 1).nbytes
+        if at > cuts[-1] and (at - cuts[-1] >= rows or held + own > size):
+            cuts.append(at)
+            held = 0
+        held += own
+    return cuts
+
+
+def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[list[list]], list[list]]], rows: int = 512, size: int = 8_000_000) -> DataFrame:
+    """Runs start()(columns) over slices of at most `rows` rows and about `size` bytes, columns being Python lists.
 
     start is called once a task, so models are unpacked once. The lists returned become the columns of `schema`.
     """
@@ -50,8 +62,10 @@ def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[list[l
         arrow = to_arrow_schema(out)
         work = start()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            per_row = batch.nbytes / max(batch.num_rows, 1)
+            cuts = list(range(0, batch.num_rows, rows)) if per_row * rows <= size / 4 else _cuts(batch, rows, size)  # long texts: cut by their sizes
+            for at, end in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                part = batch.slice(at, end - at)
                 made = work([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(made, arrow, strict=True)], schema=arrow)
 
