@@ -67,7 +67,7 @@ def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[list[l
             for at, end in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
                 part = batch.slice(at, end - at)
                 made = work([c.to_pylist() for c in part.columns])
-                yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(made, arrow, strict=True)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v, type=f.type) for v, f in zip(made, arrow, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, out)
 

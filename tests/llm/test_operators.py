@@ -495,10 +495,9 @@ def lm_texts():
     words = [b"alpha", b"beta", b"gamma", b"unusualword", b"x", b"the", b"of"]
     first, last = (lm._library(PATH)._encode_single_piece(b" unusualword")[i] for i in (0, -1))
     keys = np.array([first, last, lm.BEGIN], np.int64) << 16 | np.array([lm._library(PATH)._encode_single_piece(b" unusualword")[1], lm.END, first])
-    encode = lm.StepEncoder(PATH, (np.sort(keys), np.array([0.5, 0.25, 0.125], np.float32)[np.argsort(keys)]))
-    end = np.array([(lm.END, 0, 0)], lm.STEP).tobytes()
+    encode = lm.StepEncoder(PATH, (np.sort(keys), np.array([0.5, 0.25, 0.125], np.float32)[np.argsort(keys)]), {b"the": 7})
     rng = np.random.default_rng(3)
-    return [np.frombuffer(b"".join([*encode([words[i] for i in rng.integers(0, len(words), n)]), end]), lm.STEP) for n in (0, 1, 3, 11, 20, 40, 90)]
+    return [np.frombuffer(b"".join(encode([*(words[i] for i in rng.integers(0, len(words), n)), b""])), lm.STEP) for n in (0, 1, 3, 11, 20, 40, 90)]
 
 
 def test_attention_gradients():
@@ -527,9 +526,10 @@ def test_attention_learns_and_windows_cover_every_token():
     assert losses[-1] < losses[0]
     model["weights"] = w
     scorer = lm.Scorer(model)
-    logs, gates, size = scorer(texts)
-    assert size.tolist() == [int(model["starts"][t["id"]].sum()) for t in texts]
-    alone = [scorer([t]) for t in texts]
+    logs, gates, at = scorer(np.concatenate(texts))
+    assert at.tolist() == np.flatnonzero(model["starts"][np.concatenate(texts)["id"]]).tolist()
+    assert set(np.concatenate(texts)["word"][at]) == {-1, 7}
+    alone = [scorer(t) for t in texts]
     assert np.allclose(logs, np.concatenate([a[0] for a in alone]), atol=1e-3) and np.allclose(gates, np.concatenate([a[1] for a in alone]), atol=1e-4)
     for steps, (got, weights, _) in zip(texts, alone):
         ids = steps["id"].astype(int)
