@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,9 +22,11 @@ def fold(doc_id: Column, modulus: int = 5) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a local one is set only where none is named."""
+    """The folder all executors share (spark.checkpoint.dir); a local one is set only where none is named and all runs in one process."""
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -83,3 +86,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     chosen = marks.where("__y = 0").orderBy("__h", "__id").limit(per_class).unionByName(marks.where("__y = 1").orderBy("__h", "__id").limit(per_class))
     found = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__id")
     return found.select("__id", "__h", "__text", "__y")
+
+
+def join_by_class(rows: DataFrame, classes: DataFrame, key: str, total: int, hot: int = 2000) -> DataFrame:
+    """Inner join of rows with one row a class by `key`, where a class may hold any share of the rows.
+
+    classes has a column n, its number of rows. Classes of over 1/hot of all rows number less than `hot`: they are broadcast. The others join by key.
+    """
+    large, small = classes.where(F.col("n") * hot > total).drop("n"), classes.where(F.col("n") * hot <= total).drop("n")
+    return rows.join(F.broadcast(large), key).unionByName(rows.join(small, key))

@@ -1,10 +1,11 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-The index is a table of segments: each row covers a block of documents and stores, for every test term, the sorted
-positions at which it occurs in the block (documents are set apart so that no phrase crosses them). Documents are dealt to
+The index is a stored table of segments: each row covers a block of documents and holds, for every token of theirs, the sorted
+places at which it occurs in the block (documents are set apart so that no phrase crosses them). Documents are dealt to
 segments, and the test windows go to all of them in blocks of bounded size, so nothing is shuffled and no list of a
-common term meets in one task. A window is looked up from its rarest term: the posting list, moved back by the term's
-offset, is cut down by the next rarest until all terms agree (exact phrases), or within a slack (proximity).
+common term meets in one task. Windows with a term that a segment lacks are left out by one test of all of them; the others are looked up
+from their rarest term: its posting list, moved back by the term's offset, is cut down by the next rarest until all terms agree (exact
+phrases), or within a slack (proximity).
 
 Null texts have no words; neither do texts of separators only. A repeated document is answered each time. Items repeated
 under one id count once. An empty benchmark hits nothing. Other columns are not read.
@@ -13,14 +14,11 @@ under one id count once. An empty benchmark hits nothing. Other columns are not
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, materialize
 
 WINDOW = 13
 GAP = 64  # positions between documents of a segment
@@ -46,107 +44,101 @@ class Queries:
             for w in windows_of(words_of(text), size):
                 owners.setdefault(tuple(self.number.setdefault(x, len(self.number)) for x in w), set()).add(item)
         self.windows = [(np.array(w), sorted(o)) for w, o in owners.items()]
+        self.table = np.full((len(owners), size), len(self.number))  # filled with a number that every segment counts as there
+        for row, w in zip(self.table, owners):
+            row[: len(w)] = w
 
 
 class Segment:
-    """Postings of one block of documents: positions sorted within each term."""
-
-    def __init__(self, terms: np.ndarray, bounds: np.ndarray, positions: np.ndarray):
-        self.positions = dict(zip(terms.tolist(), np.split(positions, bounds[1:-1]))) if len(terms) else {}
-
-    def phrase(self, window: np.ndarray) -> np.ndarray:
-        """First positions of exact occurrences: offset-adjusted lists, intersected from the rarest term on."""
-        lists = []
-        for offset, term in enumerate(window.tolist()):
-            if (found := self.positions.get(term)) is None:
-                return np.zeros(0, np.int64)
-            lists.append((len(found), offset, found))
-        lists.sort(key=lambda x: x[:2])
-        starts = lists[0][2] - lists[0][1]
+    """Postings of one block of documents: places sorted within each term; terms are those of the queries."""
+
+    def __init__(self, queries: Queries, terms: list[bytes], bounds: np.ndarray, places: np.ndarray):
+        get = queries.number.get
+        own = np.fromiter((get(t, -1) for t in terms), np.int64, len(terms))
+        met = np.flatnonzero(own >= 0)
+        self.begin, self.count = np.zeros(len(queries.number) + 1, np.int64), np.zeros(len(queries.number) + 1, np.int64)
+        self.begin[own[met]], self.count[own[met]] = bounds[met], bounds[met + 1] - bounds[met]
+        self.count[-1] = len(places) + 1
+        self.places = places
+
+    def lists(self, window: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(length, offset, places) of the window's terms, the rarest first."""
+        found = [(int(self.count[t]), k, self.places[self.begin[t] : self.begin[t] + self.count[t]]) for k, t in enumerate(window.tolist())]
+        return sorted(found, key=lambda x: x[:2])
+
+    def possible(self, table: np.ndarray) -> np.ndarray:
+        """Windows of which every term occurs here: one test of all windows' rarest terms."""
+        return np.flatnonzero(self.count[table].min(axis=1) > 0) if len(table) else np.zeros(0, np.int64)
+
+    def search(self, window: np.ndarray, slack: int = 0) -> np.ndarray:
+        """First places of occurrences: offset-adjusted lists, intersected from the rarest term on; with a slack, terms may lie so far off their places."""
+        lists = self.lists(window)
+        starts = lists[0][2].astype(np.int64) - lists[0][1]
         for n, offset, found in lists[1:]:
             if not len(starts):
                 break
-            at = np.searchsorted(found, starts + offset)
-            at[at == n] = n - 1
-            starts = starts[found[at] == starts + offset]
-        return starts
-
-    def near(self, window: np.ndarray, slack: int) -> np.ndarray:
-        """First positions where every term lies within `slack` of its place after the rarest term's place."""
-        lists = []
-        for offset, term in enumerate(window.tolist()):
-            if (found := self.positions.get(term)) is None:
-                return np.zeros(0, np.int64)
-            lists.append((len(found), offset, found))
-        lists.sort(key=lambda x: x[:2])
-        starts = lists[0][2] - lists[0][1]
-        for n, offset, found in lists[1:]:
             at = np.searchsorted(found, starts + offset - slack)
-            at_ = np.minimum(at, n - 1)
-            starts = starts[(at < n) & (found[at_] <= starts + offset + slack)]
+            starts = starts[(at < n) & (found[np.minimum(at, n - 1)] <= starts + offset + slack)]
         return starts
 
 
-SEGMENT = "ids array<string>, first array<long>, n_words array<long>, terms array<int>, bounds array<long>, positions binary"
+SEGMENT = "ids array<string>, first array<long>, n_words array<long>, terms array<binary>, bounds array<long>, places binary"
 
 
-def build_index(docs: DataFrame, number: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", block: int = 2048) -> DataFrame:
-    """The segments: blocks of at most `block` documents, postings of the numbered terms only.
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
 
-    number is broadcast; contaminated() bounds its size by dealing the benchmark out in blocks.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(number)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
-        for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                part = batch.slice(at, block)
-                ids, texts = (c.to_pylist() for c in part.columns)
-                first, sizes, found, places, base = [], [], [], [], GAP
-                for text in texts:
-                    words = words_of(text)
-                    terms = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-                    here = np.flatnonzero(terms >= 0)
-                    found.append(terms[here])
-                    places.append(here + base)
-                    first.append(base)
-                    sizes.append(len(words))
-                    base += len(words) + GAP
-                terms, places = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found, places))
-                order = np.argsort(terms, kind="stable")
-                terms, places = terms[order], places[order]
-                begin = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.zeros(0, np.int64)
-                row = ([ids], [first], [sizes], [terms[begin]], [np.append(begin, len(terms))], [places.astype("<i8").tobytes()])
-                yield pa.RecordBatch.from_arrays([pa.array(v, type=t) for v, t in zip(row, KINDS)], names=NAMES)
-
-    return docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, SEGMENT)
-
-
-KINDS = [pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary()]
-NAMES = ["ids", "first", "n_words", "terms", "bounds", "positions"]
-
-
-def search_index(index: DataFrame, queries: Queries, slack: int | None = None) -> DataFrame:
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = 2048, size: int = 16_000_000) -> DataFrame:
+    """The segments, stored: postings of all tokens of blocks of at most `block` documents and about `size` bytes."""
+
+    def start():
+        def work(cols):
+            ids, texts = cols
+            number, first, sizes, terms, base = _Numbers(), [], [], [], GAP
+            places = []
+            for text in texts:
+                words = words_of(text)
+                terms.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+                places.append(np.arange(base, base + len(words), dtype=np.int32 if base + len(words) < 2**31 else np.int64))
+                first.append(base)
+                sizes.append(len(words))
+                base += len(words) + GAP
+            term, place = np.concatenate(terms), np.concatenate(places)
+            place = place[np.argsort(term, kind="stable")].astype("<i8" if place.dtype == np.int64 else "<i4")
+            bounds = np.append(0, np.cumsum(np.bincount(term, minlength=len(number))))
+            return [[ids], [first], [sizes], [list(number)], [bounds], [place.tobytes()]]
+
+        return work
+
+    kept = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    return materialize(map_batches(kept, SEGMENT, start, block, size), "postings")
+
+
+def search_index(index: DataFrame, queries: Queries, slack: int = 0) -> DataFrame:
     """One row a document and segment: id string, n_words, items (sorted), spans binary (pairs of word positions, half open).
 
     With a slack, occurrences are proximity matches instead of exact phrases.
     """
-    shared = index.sparkSession.sparkContext.broadcast(queries.windows)
+    shared = index.sparkSession.sparkContext.broadcast(queries)
 
     def start():
-        windows = shared.value
+        queries = shared.value
 
         def work(cols):
             out = [[], [], [], []]
             for ids, first, sizes, terms, bounds, places in zip(*cols):
-                segment = Segment(np.array(terms), np.array(bounds), np.frombuffer(places, "<i8"))
+                wide = "<i8" if bounds and 8 * bounds[-1] == len(places) else "<i4"
+                segment = Segment(queries, terms, np.array(bounds), np.frombuffer(places, wide))
                 at = np.array(first)
                 hits: dict[int, list] = {}
-                for window, owners in windows:
-                    starts = segment.phrase(window) if slack is None else segment.near(window, slack)
+                for k in segment.possible(queries.table).tolist():
+                    window, owners = queries.windows[k]
+                    starts = segment.search(window, slack)
                     if len(starts):
-                        doc = np.searchsorted(at, starts + (slack or 0), "right") - 1
+                        doc = np.searchsorted(at, starts + slack, "right") - 1
                         for d, s in zip(doc.tolist(), (starts - at[doc]).tolist()):
                             hits.setdefault(d, []).append((s, s + len(window), owners))
                 for d, (i, n) in enumerate(zip(ids, sizes)):
@@ -184,14 +176,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     total = sized.agg(F.coalesce(F.sum(F.length("text") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_chars))
     parts = []
+    if blocks > 1:  # a document's parts of all blocks meet by its id and text
+        docs = docs.select(F.to_json(F.struct(F.col(id_col).alias("i"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("h"))).alias(id_col), F.col(text_col))
+    index = build_index(docs, id_col, text_col)
     for k in range(blocks):
         own = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         queries = Queries([(str(r[0]), r[1]) for r in own.collect()])
-        if blocks == 1:
-            parts.append(search_index(build_index(docs, queries.number, id_col, text_col), queries))
-        else:
-            keyed = docs.select(F.to_json(F.struct(F.col(id_col).alias("i"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("h"))).alias(id_col), F.col(text_col))
-            parts.append(search_index(build_index(keyed, queries.number, id_col, text_col), queries))
+        parts.append(search_index(index, queries))
     if blocks == 1:
         met = parts[0].withColumn("spans", F.array("spans")).withColumn("times", F.lit(1))
     else:

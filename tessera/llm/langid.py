@@ -5,7 +5,7 @@ softmax is linear, every bucket's contribution to the scores is folded into one
 kept, so a known word costs one gather. Temperature and a rejection threshold are calibrated on a part of the sample
 that SGD doesn't see: `rejected` marks predictions below the score that nearly all right ones of that part reach.
 
-Training rows: at most `per_class` of each language, by hash of the id, of fold 1-4, whole texts. A text that is null or
+Training rows: about `per_class` of each language (one in so many, by hash of the id), of fold 1-4, whole texts; all their languages are learned. A text that is null or
 has no letter gets `und` and score 0, as does everything if nothing could be learned. With one language learned that one is
 predicted. Repeated rows repeat their results, an empty table stays empty, other columns are not read.
 """
@@ -13,7 +13,7 @@ predicted. Repeated rows repeat their results, an empty table stays empty, other
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, map_batches
@@ -144,13 +144,16 @@ class Scorer:
         return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = 600, max_langs: int = 200) -> dict:
-    """The model as plain arrays. max_langs bounds the classes: the most frequent are learned."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = 600) -> dict:
+    """The model as plain arrays, over all languages that training rows name."""
     own = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(lang_col).alias("l")).where(F.col("l").isNotNull() & (fold(F.col("i")) > 0))
-    top = Window.partitionBy("l").orderBy("h", "i")
-    chosen = own.select("i", "l", F.xxhash64("i").alias("h")).withColumn("k", F.row_number().over(top)).where(F.col("k") <= per_class)
-    kept = [r[0] for r in own.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs).collect()]
-    chosen = chosen.where(F.col("l").isin(kept)).select("i").distinct()
+    spark = docs.sparkSession
+    sizes = {r[0]: r[1] for r in own.groupBy("l").count().collect()}
+    if not sizes:
+        return {"langs": [], "reject": 0.0}
+    langs = sorted(sizes)
+    steps = spark.createDataFrame([(k, max(1, round(n / per_class))) for k, n in sizes.items()], "l string, step long")
+    own = own.join(F.broadcast(steps), "l").where(F.pmod(F.xxhash64("i"), F.col("step")) == 0)  # by hash in place: no language meets in one task
 
     def start():
         def work(cols):
@@ -159,8 +162,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
         return work
 
-    found = map_batches(own.join(F.broadcast(chosen), "i").select("t", "l", F.xxhash64("i").alias("h")), "l string, h long, at binary, share binary", start, 64).collect()
-    langs = sorted(kept)
+    found = map_batches(own.select("t", "l", F.xxhash64("i").alias("h")), "l string, h long, at binary, share binary", start, 64).collect()
     rows = sorted((r["h"], langs.index(r["l"]), bytes(r["at"]), bytes(r["share"])) for r in found)
     return fit([(np.frombuffer(a, np.int32), np.frombuffer(s, np.float32), y) for _, y, a, s in rows], langs) if rows else {"langs": [], "reject": 0.0}
 

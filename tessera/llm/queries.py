@@ -23,7 +23,7 @@ def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return secrets.scan(docs, secrets.train(secrets.labelled_tokens(docs, "doc_id", "text", sample_docs=4000)))
+    return secrets.scan(docs, secrets.train(secrets.labelled_tokens(docs)))
 
 
 def op3_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:

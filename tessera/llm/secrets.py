@@ -21,7 +21,7 @@ HEX = r"[0-9a-f]{32,}"
 ASSIGN_LEAST = 8
 KINDS = ["assign", "access", "hex", "markov"]
 #: Candidates of the models, never starting inside a longer run.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{12,}+"
 LOW, WIDE = 43, 80  # character codes from "+" to "z" as numbers from 0
 
 
@@ -57,7 +57,8 @@ def train(samples: DataFrame, pull: float = 20.0) -> list[float]:
     """Log-likelihood ratios, random over ordinary, of all 80 x 80 pairs; samples: token string, label 1 (random) or 0.
 
     A pair's probability is its share among pairs of the same first character, pulled with the weight of `pull` pairs
-    towards the share of its second character, itself smoothed by half a count over the 67 characters that tokens have.
+    towards the share of its second character, itself smoothed by half a count over the 67 characters that tokens have. Half of the
+    random model is uniform, as secrets of other alphabets than those learned from are random too.
     """
     import math
 
@@ -72,30 +73,32 @@ def train(samples: DataFrame, pull: float = 20.0) -> list[float]:
         total = [sum(seen.get((y, a * WIDE + b), 0) for b in letters) + pull for y in (0, 1)]
         for b in letters:
             p = [(seen.get((y, a * WIDE + b), 0) + pull * alone[y][b]) / total[y] for y in (0, 1)]
-            out[a * WIDE + b] = round(math.log(p[1] / p[0]), 4)
+            out[a * WIDE + b] = round(math.log((0.5 * p[1] + 0.5 / len(letters)) / p[0]), 4)
     return out
 
 
-def labelled_tokens(docs: DataFrame, id_col: str, text_col: str, sample_docs: int) -> DataFrame:
-    """(token, label) from at most `sample_docs` documents, by hash of the id: values of base spans are random, other tokens ordinary."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    chosen = docs.select(F.col(id_col).alias("i")).distinct().orderBy(F.xxhash64("i"), "i").limit(sample_docs)
-    own = docs.select(F.col(id_col).alias("i"), text.alias("t")).join(F.broadcast(chosen), "i")
+def labelled_tokens(docs: DataFrame, text_col: str = "text", often: int = 3) -> DataFrame:
+    """(token, label), distinct, of all documents: values of base spans are random, other tokens of six characters or more ordinary.
+
+    Ordinary tokens must occur `often` times: secrets that no pattern marks would teach the wrong model.
+    """
+    own = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     values = F.concat(match_places(F.col("t"), ASSIGN, 2, ASSIGN_LEAST), match_places(F.col("t"), ACCESS), match_places(F.col("t"), HEX))
     found = own.select("t", F.transform(values, lambda v: v["value"]).alias("v"))
     plain = F.array_except(F.array_distinct(F.regexp_extract_all("t", F.lit(r"[A-Za-z0-9+/_=-]{6,}"), F.lit(0))), F.col("v"))
     rows = found.select(F.array(F.struct(F.col("v").alias("w"), F.lit(1).alias("label")), F.struct(plain.alias("w"), F.lit(0).alias("label"))).alias("both")).select(F.explode("both").alias("b"))
-    return rows.select(F.explode("b.w").alias("token"), F.col("b.label").alias("label"))
+    counted = rows.select(F.explode("b.w").alias("token"), F.col("b.label").alias("label")).groupBy("token", "label").count()
+    return counted.where((F.col("label") == 1) | (F.col("count") >= often)).select("token", "label")
 
 
 def ratio(token: Column, table: list[float]) -> Column:
     """The token's log-likelihood ratio."""
     ratios = F.from_json(F.lit("[" + ",".join(map(str, table)) + "]"), "array<double>")
     code = lambda i: (F.ascii(F.substring(token, i, F.lit(1))) - LOW) * WIDE + F.ascii(F.substring(token, i + 1, F.lit(1))) - LOW
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.coalesce(F.get(ratios, code(i)), F.lit(0.0)))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(token) - 1, F.lit(1))), F.lit(0.0), lambda acc, i: acc + F.coalesce(F.get(ratios, code(i)), F.lit(0.0)))
 
 
-def scan(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col: str = "text", min_llr: float = 12.0) -> DataFrame:
+def scan(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col: str = "text", min_llr: float = 16.0) -> DataFrame:
     """(id, n_assign, n_access, n_hex, n_markov, base_sha256, spans)."""
     own = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
     text = F.col("__t")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize
+from .common import join_by_class, map_batches, materialize
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 
@@ -149,17 +149,16 @@ def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def links(points: DataFrame, radius: int = RADIUS, shard_points: int = 60_000) -> DataFrame:
     """(a long, b long): links between distinct fingerprints whose components are those of all pairs within the radius.
 
-    points: distinct fp long. The number of shard levels grows until no shard is home to over `shard_points` points
-    (at most four levels, 17 distances each), so a shard's memory is bounded while the levels last.
+    points: distinct fp long. The number of shard levels grows until no shard is home to over `shard_points` points:
+    four levels of 17 distances to a vantage point, then four to a second one, each vantage point with a triangle bound of its own.
     """
     spark = points.sparkSession
-    first = points.orderBy(F.xxhash64("fp"), "fp").limit(1).collect()  # the vantage point of the top levels
-    if not first:
+    first = [r[0] for r in points.orderBy(F.xxhash64("fp"), "fp").limit(2).collect()]  # the vantage points of the top levels
+    if len(first) < 2:
         return spark.createDataFrame([], "a long, b long")
-    vantage = first[0][0]
-    apart = F.col("fp").bitwiseXOR(F.lit(vantage))
-    far = [F.bit_count(F.shiftrightunsigned(apart, 48 - 16 * j).bitwiseAND(F.lit(0xFFFF).cast("long"))).cast("int") for j in range(4)]
-    for levels in range(1, 5):
+    apart = [F.col("fp").bitwiseXOR(F.lit(v)) for v in first]
+    far = [F.bit_count(F.shiftrightunsigned(x, 48 - 16 * j).bitwiseAND(F.lit(0xFFFF).cast("long"))).cast("int") for x in apart for j in range(4)]
+    for levels in range(1, 9):
         home = points.select("fp", *(d.alias(f"d{j}") for j, d in enumerate(far[:levels])))
         keys = [f"d{j}" for j in range(levels)]
         most = home.groupBy(keys).count().agg(F.max("count")).first()[0]
@@ -167,7 +166,7 @@ def links(points: DataFrame, radius: int = RADIUS, shard_points: int = 60_000) -
             break
     steps = [()]
     for _ in range(levels):
-        steps = [(*s, d) for s in steps for d in range(-radius, radius + 1) if sum(map(abs, (*s, d))) <= radius]
+        steps = [(*s, d) for s in steps for d in range(-radius, radius + 1) if sum(map(abs, (*s, d)[4 * (len(s) // 4) :])) <= radius]
     steps = [s for s in steps if s > (0,) * levels]  # a pair in two shards meets in the later one only
     move = F.explode(F.array(*(F.struct(*(F.lit(d).alias(k) for k, d in zip(keys, s))) for s in steps)))
     visits = home.select("fp", *keys, move.alias("m")).select("fp", *((F.col(k) + F.col(f"m.{k}")).alias(k) for k in keys), F.lit(False).alias("home"))
@@ -206,12 +205,12 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row a document: id, fp, component_id (the least id reachable by links within the radius)."""
     marked = materialize(simhash(docs, id_col, text_col), "simhash")
-    classes = marked.groupBy("fp").agg(F.min(id_col).alias("__least"))
+    classes = marked.groupBy("fp").agg(F.min(id_col).alias("__least"), F.count("*").alias("n"))
     roots = components(links(classes.select("fp"), radius))
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "__least", F.coalesce("root", "fp").alias("__root"))
+    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "n", "__least", F.coalesce("root", "fp").alias("__root"))
     groups = named.groupBy("__root").agg(F.min("__least").alias("component_id"))
-    # Documents meet their class by fingerprint; the table of classes is the smaller side and a class may be hot.
-    return marked.join(named.join(groups, "__root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    joined = materialize(named.join(groups, "__root").select("fp", "n", "component_id"), "classes")
+    return join_by_class(marked, joined, "fp", marked.count()).select(id_col, "fp", "component_id")
 
 
 # ---- word-shingle similarity: an exact prefix join, checked links, components
@@ -339,7 +338,7 @@ def similar_rows(docs: DataFrame, id_col: str, text_col: str, words: int, simila
 
     numbered = made.withColumn("row", F.monotonically_increasing_id())
     marked = materialize(map_batches(numbered, f"i {kind}, th string, row long, key binary, n long, first array<long>", start, 128), "marked")
-    classes = marked.groupBy("key").agg(F.min("row").alias("r"))
+    classes = materialize(marked.groupBy("key").agg(F.min("row").alias("r"), F.count("*").alias("n")), "keys")
     points = marked.join(classes.select(F.col("r").alias("row")), "row", "left_semi")
     postings = points.select(F.col("row").alias("r"), "n", F.posexplode("first").alias("p", "h")).select("h", "n", F.col("p").cast("long").alias("p"), "r")
 
@@ -382,8 +381,8 @@ def similar_rows(docs: DataFrame, id_col: str, text_col: str, words: int, simila
         if sure.limit(1).count():
             roots = components(sure.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         tried, low, high = tried.unionByName(found), high, 8 * high
-    named = classes.join(roots, classes.r == roots.node, "left").select("key", F.coalesce("root", "r").alias("root"))
-    return marked.select("i", "th", "row", "key").join(named, "key").select("i", "th", "row", "root")
+    named = classes.join(roots, classes.r == roots.node, "left").select("key", "n", F.coalesce("root", "r").alias("root"))
+    return join_by_class(marked.select("i", "th", "row", "key"), materialize(named, "named"), "key", marked.count()).select("i", "th", "row", "root")
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -61,13 +61,16 @@ def drop_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     base = docs.drop("n_lines", "n_dropped")
     # Places to drop are small beside texts: hashing them spares sorting the texts.
     joined = base.join(gone.hint("shuffle_hash"), base[id_col].eqNullSafe(gone["__id"]), "left")
-    cut = F.split(F.col(text_col), "\n", -1)
-    keyed = F.transform(cut, lambda x, i: F.struct(F.struct(i.alias("pos"), *_hashes(x)).alias("k"), x.alias("line")))
-    kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(F.filter(keyed, lambda s: ~F.array_contains(F.col("__gone"), s["k"])), lambda s: s["line"]), "\n"))
+    joined = joined.withColumn("__cut", F.split(F.col(text_col), "\n", -1))
+    held = lambda g: F.struct(g["pos"].alias("pos"), *_hashes(F.get("__cut", g["pos"]))) == g  # noqa: E731  rows of one id may differ in text
+    joined = joined.withColumn("__at", F.coalesce(F.transform(F.filter(F.array_sort("__gone"), held), lambda g: g["pos"]), F.array().cast("array<int>")))
+    size, n = F.size("__cut"), F.size("__at")
+    # What stays are the runs of lines between dropped places, so a text costs in proportion to its lines.
+    after = lambda k: F.when(k == 0, 0).otherwise(F.get("__at", k - 1) + 1)
+    runs = F.transform(F.sequence(F.lit(0), n), lambda k: F.slice("__cut", after(k) + 1, F.coalesce(F.get("__at", k), size) - after(k)))
+    kept = F.when(n == 0, F.col(text_col)).otherwise(F.array_join(F.flatten(runs), "\n"))
     names = [F.col(f"`{c}`") if c != text_col else kept.alias(text_col) for c in base.columns]
-    count = F.coalesce(F.size(cut), F.lit(0))
-    left = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size(F.filter(keyed, lambda s: F.array_contains(F.col("__gone"), s["k"]))))
-    return joined.select(*names, F.when(F.col(text_col).isNull(), 0).otherwise(count).cast("long").alias("n_lines"), left.cast("long").alias("n_dropped"))
+    return joined.select(*names, F.when(F.col(text_col).isNull(), 0).otherwise(size).cast("long").alias("n_lines"), n.cast("long").alias("n_dropped"))
 
 
 ORACLE = """

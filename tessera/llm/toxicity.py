@@ -8,8 +8,8 @@ shorter words only as they are. Matches add up their log-odds in a sliding windo
 after a reporting verb counts to the quoted side, the others to the abusive side. A logistic regression over these
 window scores, with a prior that keeps misspelt and quoted matches at set shares, gives the score.
 
-Training rows: at most `per_class` labelled rows of either label, by hash of the id, of fold 1-4; half of them make
-the lexicon, the others the regression. Without toxic training rows nothing is toxic. Null texts count as empty and score
+Training rows: at most `per_class` labelled rows of either label, by hash of the id, of fold 1-4, in two halves, each
+measured by a lexicon of the other for the regression. Without toxic training rows nothing is toxic. Null texts count as empty and score
 as texts without matches. Repeated rows repeat their scores, an empty table stays empty; labels, lang, source and ids
 are never inputs of a score.
 """
@@ -205,57 +205,72 @@ def closed(terms: list[tuple[str, bool, float, int]]) -> list[tuple[str, bool, f
     return [(t, stem, w) for t, stem, w, n in terms if not stem or max(best.get(t, 0), whole.get(t, 0)) < 0.9 * n]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 4000, terms: int = 3000, least: int = 3, share: float = 0.02) -> dict:
-    """The lexicon (bounded by `terms`; each term in `least` toxic texts and in `share` of them) and the regression."""
-    sample = labelled_sample(docs, labels, label, id_col, text_col, per_class).withColumn("__half", F.pmod("__h", F.lit(2)))
-    sizes = {r["__y"]: (r["n"], r["m"]) for r in sample.groupBy("__y").agg(F.count("*").alias("n"), F.count_if(F.col("__half") == 0).alias("m")).collect()}
-    (n0, m0), (n1, m1) = sizes.get(0, (0, 0)), sizes.get(1, (0, 0))
-    if not n1 or not n0:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = 4000, least: int = 3, share: float = 0.02) -> dict:
+    """The lexicon (each term in `least` toxic texts and in `share` of them, which bounds it) and the regression.
+
+    Rows are halved by hash. Three lexicons are learned, of either half and of all rows; the regression learns from each half measured by the other
+    half's lexicon, and the lexicon of all rows goes with it.
+    """
+    sample = labelled_sample(docs, labels, label, id_col, text_col, per_class).withColumn("__half", F.pmod("__h", F.lit(2)).cast("int"))
+    sizes = {(r["__y"], r["__half"]): r["n"] for r in sample.groupBy("__y", "__half").agg(F.count("*").alias("n")).collect()}
+    n = {y: [sizes.get((y, 0), 0), sizes.get((y, 1), 0), sizes.get((y, 0), 0) + sizes.get((y, 1), 0)] for y in (0, 1)}
+    if not n[0][2] or not n[1][2]:
         return {"terms": [], "exact": frozenset(), "w": PRIOR, "b": -5.0}
-    few = n1 < 200  # too few rows to split
-    m0, m1 = (n0, n1) if few else (m0, m1)
 
     def start():
         def work(cols):
             out: dict[tuple[str, bool], list[int]] = {}
-            for text, y in zip(*cols):
-                words = {w.strip(STRIP) for w in text.lower().split()}
-                for term in {(w, False) for w in words if 2 < len(w) <= 40} | {(w[:n], True) for w in words for n in range(4, 9) if n < len(w) <= 40}:
-                    out.setdefault(term, [0, 0])[y] += 1
-            return [[k[0] for k in out], [k[1] for k in out], [v[0] for v in out.values()], [v[1] for v in out.values()]]
+            for text, y, half in zip(*cols):
+                words = {w.strip(STRIP) for w in text.lower().split()} - {""}
+                for term in {(w, False) for w in words} | {(w[:k], True) for w in words for k in range(4, 9) if k < len(w)}:
+                    out.setdefault(term, [0, 0, 0, 0])[2 * y + half] += 1
+            return [[k[0] for k in out], [k[1] for k in out], *([v[j] for v in out.values()] for j in range(4))]
 
         return work
 
-    counted = map_batches(sample.where("__half = 0" if not few else "true").select("__text", "__y"), "term string, stem boolean, d0 long, d1 long", start, 2048)
-    odds = F.log((F.col("d1") + 0.25) / F.lit(m1 + 0.5)) - F.log((F.col("d0") + 0.25) / F.lit(m0 + 0.5))
-    found = counted.groupBy("term", "stem").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1")).where((F.col("d1") >= least) & (F.col("d1") >= share * m1)).withColumn("odds", odds).where(F.col("odds") > 4.0)
-    lexicon = closed([(r["term"], r["stem"], float(r["odds"]), r["d1"]) for r in found.orderBy(F.desc(F.col("odds") * F.log1p("d1")), "term", "stem").limit(4 * terms).collect()])[:terms]
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    names = ["d00", "d01", "d10", "d11"]
+    counted = map_batches(sample.select("__text", "__y", "__half"), "term string, stem boolean, " + ", ".join(f"{c} long" for c in names), start, 2048)
+    summed = counted.groupBy("term", "stem").agg(*(F.sum(c).alias(c) for c in names)).where((F.col("d10") + F.col("d11") >= least) & (F.col("d10") + F.col("d11") >= share * min(n[1]) if min(n[1]) else F.lit(True)))
+    rows = [r.asDict() for r in summed.where((F.col("d10") + F.col("d11")) * (n[0][2] + 1) > 20 * (F.col("d00") + F.col("d01")) * n[1][2] / 2).collect()]
+    lexicons = []
+    for k in range(3):
+        terms = []
+        for r in rows:
+            d0, d1 = ((r[f"d{y}0"], r[f"d{y}1"], r[f"d{y}0"] + r[f"d{y}1"])[k] for y in (0, 1))
+            odds = np.log((d1 + 0.25) / (n[1][k] + 0.5)) - np.log((d0 + 0.25) / (n[0][k] + 0.5))
+            sure = np.log(max(d1, 0.1) / n[1][k] if n[1][k] else 0.1) - np.log((d0 + 1) / max(n[0][k], 1))  # one clean text more would have it
+            if d1 >= least and d1 >= share * n[1][k] and sure > 4.0:
+                terms.append((r["term"], r["stem"], float(odds), d1))
+        lexicons.append(closed(sorted(terms)))
+    shared = docs.sparkSession.sparkContext.broadcast(lexicons)
 
     def misses():
-        own = Lexicon(shared.value)
+        own = [Lexicon(x) for x in shared.value]
 
         def work(cols):
-            out: dict[str, int] = {}
-            for text in cols[0]:
-                for t in {shared.value[h[0]][0] for w in set(text.lower().split()) if (h := own.look(w)) and h[1]}:
-                    out[t] = out.get(t, 0) + 1
-            return [list(out), list(out.values())]
+            out: dict[tuple[int, str], int] = {}
+            for text, half in zip(*cols):
+                words = set(text.lower().split())
+                for k in (half, 2):
+                    for t in {shared.value[k][h[0]][0] for w in words if (h := own[k].look(w)) and h[1]}:
+                        out[k, t] = out.get((k, t), 0) + 1
+            return [[k for k, _ in out], [t for _, t in out], list(out.values())]
 
         return work
 
     # Terms that clean texts come within an edit of say nothing when misspelt.
-    clean = sample.where("__y = 0" + ("" if few else " and __half = 0")).select("__text")
-    exact = frozenset(r["term"] for r in map_batches(clean, "term string, n long", misses, 512).groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") > 0.002 * m0).collect())
+    clean = sample.where("__y = 0").select("__text", "__half")
+    close = map_batches(clean, "k int, term string, n long", misses, 512).groupBy("k", "term").agg(F.sum("n").alias("n")).collect()
+    exact = [frozenset(r["term"] for r in close if r["k"] == k and r["n"] > 0.002 * n[0][k]) for k in range(3)]
 
     def begin():
-        own = Lexicon(shared.value, exact=exact)
-        return lambda cols: [cols[1], [measures(own, t).tolist() for t in cols[0]]]
+        own = [Lexicon(shared.value[k], exact=exact[k]) for k in (1, 0)]
+        return lambda cols: [cols[1], [measures(own[half], t).tolist() for t, half in zip(cols[0], cols[2])]]
 
-    rows = map_batches(sample.where("__half = 1" if not few else "true").select("__text", "__y"), "y int, x array<double>", begin, 256).collect()
-    x, y = np.array([r["x"] for r in rows]).reshape(-1, 6), np.array([r["y"] for r in rows], float)
+    got = map_batches(sample.select("__text", "__y", "__half"), "y int, x array<double>", begin, 256).collect()
+    x, y = np.array([r["x"] for r in got]).reshape(-1, 6), np.array([r["y"] for r in got], float)
     w, b = regress(x, y) if len(y) else (PRIOR, -3.0)
-    return {"terms": lexicon, "exact": exact, "w": w, "b": min(b, -0.5)}
+    return {"terms": lexicons[2], "exact": exact[2], "w": w, "b": min(b, -0.5)}
 
 
 def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:

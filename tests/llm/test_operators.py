@@ -240,7 +240,7 @@ def slow_hits(text, items):
         for k in range(max(1, len(w) - 12)) if w else ():
             window = w[k : k + 13]
             for i in range(len(words) - len(window) + 1):
-                if words[i : i + len(window)] == window:
+                if words[i] == window[0] and words[i : i + len(window)] == window:
                     hit.update(range(i, i + len(window)))
                     found.add(str(item))
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
@@ -253,7 +253,7 @@ def test_contamination(spark, docs, none, block_chars):
     got = decontaminate.contaminated(docs, bench, block_chars=block_chars)
     assert got.count() == docs.count()
     for r in got.where("doc_id is not null").collect():
-        n, h, k, sha = slow_hits(TEXTS[r.doc_id][:1200] if r.doc_id == 6 else TEXTS[r.doc_id], items) if r.doc_id != 6 else (r.n_words, r.n_hit, 1, hashlib.sha256(b"20").hexdigest())
+        n, h, k, sha = slow_hits(TEXTS[r.doc_id], items)
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n, h, k, sha, h > 0 and 20 * h >= n)
     assert decontaminate.contaminated(none, bench).count() == 0
     assert decontaminate.contaminated(docs, bench.limit(0)).where("n_hit > 0").count() == 0
@@ -261,16 +261,27 @@ def test_contamination(spark, docs, none, block_chars):
 
 def test_proximity():
     words = "a b x c d a b c d".split()
-    number = {w: i for i, w in enumerate("abcd")}
-    terms = np.array([number.get(w, -1) for w in words])
-    here = np.flatnonzero(terms >= 0)
-    order = np.argsort(terms[here], kind="stable")
-    t, p = terms[here][order], here[order]
-    begin = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-    segment = decontaminate.Segment(t[begin], np.append(begin, len(t)), p)
-    window = np.array([0, 1, 2, 3])
-    assert segment.phrase(window).tolist() == [5]
-    assert segment.near(window, 1).tolist() == [0, 5]
+    terms = sorted(set(words))
+    lists = [[i for i, w in enumerate(words) if w == t] for t in terms]
+    queries = decontaminate.Queries([("1", "a b c d"), ("2", "a nowhere")])
+    segment = decontaminate.Segment(queries, [t.encode() for t in terms], np.cumsum([0, *map(len, lists)]), np.concatenate(lists))
+    assert segment.possible(queries.table).tolist() == [0]
+    window = queries.windows[0][0]
+    assert segment.search(window).tolist() == [5]
+    assert segment.search(window, 1).tolist() == [0, 5]
+
+
+def test_postings_hold_every_token(spark, docs):
+    index = decontaminate.build_index(docs, block=3)
+    seen = 0
+    for r in index.collect():
+        place = np.frombuffer(r.places, "<i4")
+        for i, first, n in zip(r.ids, r.first, r.n_words):
+            own = {int(p) - first: r.terms[t] for t in range(len(r.terms)) for p in place[r.bounds[t] : r.bounds[t + 1]] if first <= p < first + n}
+            want = decontaminate.words_of(TEXTS[int(i)]) if i is not None else [b"no", b"id", b"here", b"at", b"all"]
+            assert [bytes(own[k]) for k in range(n)] == want
+            seen += 1
+    assert seen == docs.count()
 
 
 # ---- media
@@ -313,7 +324,7 @@ def slow_spans(text):
 
 
 def test_secret_spans(spark, docs, none):
-    table = secrets.train(secrets.labelled_tokens(docs, "doc_id", "text", 100))
+    table = secrets.train(secrets.labelled_tokens(docs))
     got = secrets.scan(docs, table)
     assert got.count() == docs.count() and secrets.scan(none, table).count() == 0
     for r in got.where("doc_id is not null").collect():
@@ -324,6 +335,38 @@ def test_secret_spans(spark, docs, none):
     assert "Python" not in plans and "Arrow" not in plans
 
 
+def test_planted_secrets_are_found(spark):
+    """Random strings of 16 to 40 letters and digits in the prose of the tables, and none of the prose itself."""
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables here")
+    rng = np.random.default_rng(9)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+    prose = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    planted = {}
+    for i in range(0, len(prose), 2):
+        planted[i] = "".join(rng.choice(letters, int(rng.integers(16, 41))))
+    rows = [(i, f"{t}\nkey {planted[i]} and password = {''.join(rng.choice(letters, 20))}" if i in planted else t) for i, t in enumerate(prose)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    got = {r.doc_id: r for r in secrets.scan(frame, secrets.train(secrets.labelled_tokens(frame))).collect()}
+    found = sum(f":{rows[i][1].index(p)}:{rows[i][1].index(p) + len(p)}" in got[i].spans for i, p in planted.items())
+    false = sum(got[i].n_markov - (i in planted) > 0 for i in got)
+    assert found >= 0.9 * len(planted) and false <= 0.02 * len(rows), (found, len(planted), false)
+
+
+def slow_ratio(token, table):
+    pairs = zip(token.encode(), token.encode()[1:])
+    return sum(table[(a - secrets.LOW) * secrets.WIDE + b - secrets.LOW] for a, b in pairs)
+
+
+def test_ratio_is_the_sum_over_pairs(spark):
+    table = [round(float(x), 4) for x in np.random.default_rng(1).normal(0, 1, secrets.WIDE**2)]
+    tokens = ["ab", "A", "zZ+/_=-09", "x" * 50]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.ratio(F.col("t"), table).alias("r")).collect()
+    assert all(math.isclose(r.r, slow_ratio(r.t, table), abs_tol=1e-9) for r in got)
+
+
 def test_markov_models_tell_random_from_ordinary(spark):
     import random
 
@@ -445,6 +488,91 @@ def test_quotation_weighs_less():
     assert toxicity.quoted_at('a "b c" d'.split(), [1, 2, 3]) == [True, True, False]
 
 
+def slow_language(model, text):
+    """Shares of n-grams counted one by one."""
+    counts = Counter()
+    for w in langid.tokens(text):
+        marked = b"<%s>" % w
+        for n in langid.GRAMS:
+            for i in range(len(marked) - n + 1):
+                x = 0
+                for c in marked[i : i + n]:
+                    x = (x * 0x100000001B3 + c + 1) % 2**64
+                counts[((x + n) * 0x9E3779B97F4A7C15 % 2**64) >> 48] += 1
+    z = sum(n * model["table"][b].astype(float) for b, n in counts.items()) / max(sum(counts.values()), 1) + model["bias"]
+    p = np.exp(z - z.max())
+    return p / p.sum()
+
+
+def test_languages_by_brute_force(spark, docs, none):
+    texts = [("the cat sits on the mat", "en"), ("die katze sitzt auf der matte", "de"), ("le chat est sur le tapis", "fr")]
+    frame = spark.createDataFrame([(i, texts[i % 3][0] + f" {i}", texts[i % 3][1]) for i in range(90)], "doc_id long, text string, lang string")
+    model = langid.train(frame)
+    assert model["langs"] == ["de", "en", "fr"]
+    for r in langid.predict(frame.unionByName(spark.createDataFrame([(100, "1 2 3", "en"), (101, None, "de"), (102, "chat " * 30000, None)], frame.schema)), model).collect():
+        text = texts[r.doc_id % 3][0] + f" {r.doc_id}" if r.doc_id < 100 else "chat " * 30000
+        if r.doc_id in (100, 101):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        p = slow_language(model, text)
+        assert model["langs"][int(p.argmax())] == r.lang_pred and math.isclose(p.max(), r.score, abs_tol=1e-4)
+    assert langid.predict(none, model).count() == 0
+
+
+def test_quality_scores_by_brute_force(spark):
+    rows = [(i, ("good clear words here " if i % 2 else "BAD!! spam $$$ ") * (1 + i % 5) + str(i), i) for i in range(80)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    model = quality.train(frame, marks, metadata=["n_chars"])
+    make = quality.Features(1)
+    for r in quality.score(frame, model, metadata=["n_chars"]).collect():
+        at, x = make(rows[r.doc_id][1], [rows[r.doc_id][2]])
+        w, v = model["table"][at, 0].astype(float), model["table"][at, 2:].astype(float)
+        z = model["w0"] + float(x @ w) + sum(float(v[i] @ v[j]) * x[i] * x[j] for i in range(len(at)) for j in range(i))
+        assert math.isclose(r.score, 1 / (1 + math.exp(-z)), abs_tol=1e-4)
+        assert r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def slow_measures(lexicon, text):
+    """Windows summed one by one."""
+    words = text.lower().split()
+    hits = [(i, h) for i, w in enumerate(words) if (b := w.strip(toxicity.STRIP)) and (h := lexicon.find(b))]
+    quoted = toxicity.quoted_at(words, [i for i, _ in hits])
+    kinds = [2 if q else 1 if h[1] else 0 for (_, h), q in zip(hits, quoted)]
+    out = np.zeros(6)
+    for a, _ in hits:
+        total = np.zeros(3)
+        for (i, h), k in zip(hits, kinds):
+            if a <= i < a + toxicity.WINDOW:
+                total[k] += lexicon.weights[h[0]]
+        out[:3] = np.maximum(out[:3], np.sqrt(np.maximum(total, 0)))
+    out[3:] = np.log1p(np.bincount(np.array(kinds, int), minlength=3))
+    return out
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    plain = "the a of house river people walk there many days".split()
+    rows = []
+    for i in range(300):
+        words = [str(w) for w in rng.choice(plain, 40)]
+        if i % 3 == 0:
+            for at in rng.choice(40, 3, replace=False):
+                words[at] = str(rng.choice(["idiot", "idiiot", '"moron', "moron", "moron\""]))
+        rows.append((i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.train(frame, marks)
+    assert {"idiot", "moron"} <= {t for t, _, _ in model["terms"]}
+    lexicon = toxicity.Lexicon(model["terms"], exact=model["exact"])
+    right = 0
+    for r in toxicity.score(frame, model).collect():
+        z = slow_measures(lexicon, rows[r.doc_id][1]) @ model["w"] + model["b"]
+        assert math.isclose(r.score, 1 / (1 + math.exp(-z)), rel_tol=1e-6)
+        right += r.predicted == int(r.doc_id % 3 == 0)
+    assert right >= 285
+
+
 def test_held_out_accuracy(spark):
     import os
 
