@@ -2,7 +2,7 @@
 
 Patterns give the base spans. Further spans are long tokens that a character Markov model of random strings explains
 better than one of ordinary identifiers: the sum of log-likelihood ratios over adjacent characters must reach
-`min_llr`. Both models are trained on labelled samples (token, label): adjacent character pairs are counted by
+`min_llr`. Tokens without small letters are read in small letters; numbers are no candidates. Both models are trained on labelled samples (token, label): adjacent character pairs are counted by
 aggregation and smoothed, so without secrets to learn from the first is the uniform model.
 
 Positions come from the pieces between matches (split) and the matches themselves, in code points. Null texts count as
@@ -92,10 +92,10 @@ def labelled_tokens(docs: DataFrame, text_col: str = "text", often: int = 3) ->
 
 
 def ratio(token: Column, table: list[float]) -> Column:
-    """The token's log-likelihood ratio."""
+    """The token's log-likelihood ratio, 0 for fewer than two characters."""
     ratios = F.from_json(F.lit("[" + ",".join(map(str, table)) + "]"), "array<double>")
     code = lambda i: (F.ascii(F.substring(token, i, F.lit(1))) - LOW) * WIDE + F.ascii(F.substring(token, i + 1, F.lit(1))) - LOW
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(token) - 1, F.lit(1))), F.lit(0.0), lambda acc, i: acc + F.coalesce(F.get(ratios, code(i)), F.lit(0.0)))
+    return F.aggregate(F.filter(F.sequence(F.lit(0), F.length(token) - 1), lambda i: i > 0), F.lit(0.0), lambda acc, i: acc + F.coalesce(F.get(ratios, code(i)), F.lit(0.0)))
 
 
 def scan(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col: str = "text", min_llr: float = 16.0) -> DataFrame:
@@ -105,7 +105,8 @@ def scan(docs: DataFrame, table: list[float], id_col: str = "doc_id", text_col:
     own = own.select(id_col, match_places(text, ASSIGN, 2, ASSIGN_LEAST).alias("assign"), match_places(text, ACCESS).alias("access"), match_places(text, HEX).alias("hex"), match_places(text, TOKEN).alias("tokens"))
     named = lambda kind: F.transform(F.col(kind), lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("k"), s["end"].alias("end")))
     own = own.withColumn("base", F.concat(*map(named, KINDS[:3])))
-    likely = F.filter(F.col("tokens"), lambda s: (ratio(s["value"], table) >= min_llr) & ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    spoken = lambda v: F.when(v.rlike("[a-z]"), v).otherwise(F.lower(v))  # noqa: E731  capitals are read as small letters, which the models know better
+    likely = F.filter(F.col("tokens"), lambda s: s["value"].rlike("[A-Za-z]") & (ratio(spoken(s["value"]), table) >= min_llr) & ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     own = own.withColumn("markov", F.when(F.size("tokens") > 0, likely).otherwise(F.col("tokens")))
     name = F.array(*map(F.lit, KINDS))
     listed = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(name, s["k"]), s["start"], s["end"])), ",")
