@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,20 +27,20 @@ def conflicts(query: Column, evidence: Column) -> Column:
 def confidence(rows: DataFrame) -> DataFrame:
     """(query_id, coverage, confidence, status); rows: query_id, query, rank0, path, heading, snippet, source, rrf_score, embedding_score, group_id.
 
-    Rows of one group count once (their first, without its scores). sufficient needs two independent rows or one strong one,
+    Rows of one group count once (their first, which has no scores of its own). sufficient needs two independent rows or one strong one,
     0.55, embedding evidence and support for the question's content terms.
     """
     key = F.coalesce(F.concat(F.lit("group:"), "group_id"), F.concat(F.lit("chunk:"), "chunk_id"))
     first = Window.partitionBy("query_id", key).orderBy("rank0")
     marked = with_support(rows).withColumn("_first", F.row_number().over(first) == 1)
-    strong = F.col("source").contains("embedding") & (F.coalesce("embedding_score", F.lit(0.0)) >= 0.70) & (F.col("anchor") >= 4)
+    strong = F.col("group_id").isNull() & F.col("source").contains("embedding") & (F.coalesce("embedding_score", F.lit(0.0)) >= 0.70) & (F.col("anchor") >= 4)
     ordered = lambda *cols: F.array_sort(F.collect_list(F.struct("rank0", *cols)))
     direct = F.col("source") != "expanded"
     got = marked.groupBy("query_id", "query").agg(
         F.lower(F.array_join(F.transform(ordered("snippet", "heading"), lambda x: F.concat_ws(" ", x["snippet"], x["heading"])), " ")).alias("text"),
         F.count_if("_first").alias("n"),
         F.count_if(F.col("_first") & (F.col("snippet") != "")).alias("full"),
-        F.coalesce(F.min_by("rrf_score", "rank0"), F.lit(0.0)).alias("top"),
+        F.coalesce(F.min_by(F.when(F.col("group_id").isNull(), F.col("rrf_score")).otherwise(0.0), "rank0"), F.lit(0.0)).alias("top"),
         F.countDistinct(F.when(F.col("_first"), F.col("path"))).alias("files"),
         F.bool_or(F.col("_first") & F.col("source").contains("embedding")).alias("semantic"),
         F.bool_or(F.col("_first") & strong).alias("strong"),
@@ -63,33 +64,51 @@ def fit_budget(rows: DataFrame, limit: int = 9000) -> DataFrame:
     return left.withColumn("kept_chars", F.least(F.length("snippet"), "_left").cast("long")).withColumn("cut", F.length("snippet") > F.col("_left")).drop("_left")
 
 
-def allocate_slots(rows: DataFrame, limit: int = 8) -> DataFrame:
-    """(query_id, chunk_id, place): which rows get the evidence slots of a question; rows: query_id, chunk_id, rank0, group_id, group_order.
+def allocate_slots(rows: DataFrame, limit: int = 8, most_ranges: int = 4) -> DataFrame:
+    """(query_id, chunk_id, place): which rows get the evidence slots of a question.
 
-    Every group gets a slot first (one stays for direct rows if there are any), groups together at most
-    min(4, max(groups, limit // 2)); the others go to direct rows by rank, and what is left to groups. Questions have a
-    few dozen rows at most, so each is allotted in one call.
+    rows: query_id, chunk_id, rank0, group_id, group_order and, if there, group_priority and expanded_from (the chunk a group was made from).
+    Every group is granted one slot first, but for one slot that direct rows keep. Then rows and groups follow each other by rank, a group
+    after its parent or last: a direct row takes a slot, a group takes more ranges while all ranges together number less than
+    min(most_ranges, max(groups granted, limit // 2)). What is left goes to the groups. Ranges are chosen by priority and shown in
+    their order. Questions have a few dozen rows at most, so each is allotted in one call.
     """
+    for name, kind in (("group_priority", "long"), ("expanded_from", "string")):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast(kind))
 
     def allot(pdf):
-        pdf = pdf.sort_values(["rank0", "chunk_id"], kind="stable")
-        direct, grouped = pdf[pdf.group_id.isna()], pdf[pdf.group_id.notna()]
-        names = list(dict.fromkeys(grouped.group_id))
-        room = limit - (1 if len(direct) else 0)
-        most = min(4, max(len(names), limit // 2), room)
-        rest = {g: list(grouped[grouped.group_id == g].sort_values("group_order").chunk_id) for g in names}
-        taken: list[str] = []
-        while len(taken) < most and any(rest.values()):
-            for g in names:
-                if rest[g] and len(taken) < most:
-                    taken.append(rest[g].pop(0))
-        taken += list(direct.chunk_id)[: limit - len(taken)]
-        for g in names:
-            while rest[g] and len(taken) < limit:
-                taken.append(rest[g].pop(0))
-        out = pdf[pdf.chunk_id.isin(taken)][["query_id", "chunk_id"]].copy()
-        out["place"] = range(1, len(out) + 1)
-        return out
+        pdf = pdf.sort_values(["rank0", "chunk_id"], kind="stable").reset_index(drop=True)
+        direct = pdf[pdf.group_id.isna()]
+        spot = {c: k for k, c in enumerate(direct.chunk_id)}
+        ranges, walk = {}, [(k, -1, c) for k, c in enumerate(direct.chunk_id)]
+        for number, name in enumerate(pdf.group_id.dropna().unique()):
+            own = pdf[pdf.group_id == name]
+            key = own.group_priority.where(own.group_priority.fillna(0) > 0, own.group_order).fillna(0)
+            own = own.assign(key=key).sort_values(["key", "group_order"], kind="stable")
+            ranges[name] = own
+            walk.append((spot.get(own.expanded_from.iloc[0], len(direct)), number, name))
+        walk.sort(key=lambda x: x[:2])
+        names = [name for _, number, name in walk if number >= 0]
+        granted = dict.fromkeys(names, 0) | dict.fromkeys(names[: max(0, limit - bool(len(direct)))], 1)
+        left = limit - sum(granted.values())
+        spare = min(most_ranges, max(limit - left, limit // 2)) - (limit - left)
+        kept = set()
+        for _, number, name in walk:
+            if number < 0:
+                kept |= {name} if left > 0 else set()
+                left -= left > 0
+                continue
+            more = max(0, min(left, spare, len(ranges[name]) - granted[name]))
+            granted[name], left, spare = granted[name] + more, left - more, spare - more
+        for name in names:
+            more = min(left, len(ranges[name]) - granted[name])
+            granted[name], left = granted[name] + more, left - more
+        shown = []
+        for _, number, name in walk:
+            shown += ([name] if name in kept else []) if number < 0 else list(ranges[name].iloc[: granted[name]].sort_values("group_order", kind="stable").chunk_id)
+        out = pdf[["query_id"]].iloc[:1].merge(pd.DataFrame({"chunk_id": shown}), how="cross")
+        return out.assign(place=range(1, len(out) + 1))
 
     return rows.groupBy("query_id").applyInPandas(allot, "query_id long, chunk_id string, place long")
 

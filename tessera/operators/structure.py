@@ -112,4 +112,4 @@ def page_chunks(rows: DataFrame, per: int = 8) -> DataFrame:
     current = F.last(F.when(F.col("line").rlike(r"^ {0,3}#{1,6}[ \t]"), found), ignorenulls=True).over(by_line().rowsBetween(Window.unboundedPreceding, 0))
     numbered = rows.withColumn("current", current).withColumn("no", F.floor((F.col("line_no") - 1) / per) + 1)
     out = numbered.groupBy("path", "no").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.min_by("current", "line_no").alias("heading"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    return out.select("path", F.concat("path", F.lit("#"), F.lpad(F.col("no").cast("string"), 4, "0")).alias("chunk_id"), F.coalesce("heading", F.lit("")).alias("heading"), "start_line", "end_line", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+    return out.select("path", F.concat("path", F.lit("#"), F.format_string("%04d", "no")).alias("chunk_id"), F.coalesce("heading", F.lit("")).alias("heading"), "start_line", "end_line", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))

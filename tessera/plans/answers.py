@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import answers as A
 from ..operators import structure
 from ..registry import query, table
+from ..sources import corpus
 from . import base
 from .text import GRAMS
 
@@ -97,15 +98,21 @@ def focus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents), g AS (SELECT doc_id, array_to_string(w[i:i + 9], ' ') AS phrase FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS i FROM w WHERE len(w) >= 10)) SELECT doc_id, count(*) AS repeated, CAST(sum(n) AS BIGINT) AS occurrences FROM (SELECT doc_id, phrase, count(*) AS n FROM g GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY doc_id"
+    "WITH "
+    + base.LINES
+    + r""", plain AS (SELECT doc_id, line_no, regexp_replace(lower(line), '\s+', '', 'g') AS t FROM lines WHERE trim(line) <> ''),
+n AS (SELECT doc_id, count(*) AS n_lines FROM plain GROUP BY doc_id),
+g AS (SELECT doc_id, line_no, unnest(list_distinct(list_transform(range(1, length(t) - 8), lambda i: substr(t, i, 10)))) AS gram FROM plain WHERE length(t) >= 10),
+c AS (SELECT doc_id, max(k) AS most FROM (SELECT doc_id, gram, count(*) AS k FROM g GROUP BY doc_id, gram) GROUP BY doc_id)
+SELECT n.doc_id, n_lines, coalesce(most, 0) AS most, n_lines >= 5 AND coalesce(most, 0) >= greatest(4, CAST(floor(n_lines * CAST(0.6 AS DOUBLE)) AS BIGINT)) AS repeated FROM n LEFT JOIN c ON c.doc_id = n.doc_id"""
 )
 def repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phrases of ten words that a document repeats; hashes travel, not phrases."""
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
-    own = table(spark, sf_dir, "documents").select("doc_id", words.alias("w")).where("size(w) >= 10")
-    phrases = F.transform(F.sequence(F.lit(1), F.size("w") - 9), lambda i: F.xxhash64(F.array_join(F.slice(F.col("w"), i, 10), " ")))
-    counts = own.select("doc_id", F.explode(phrases).alias("h")).groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1")
-    return counts.groupBy("doc_id").agg(F.count("*").alias("repeated"), F.sum("n").alias("occurrences"))
+    """Whether a run of ten characters, spaces aside, occurs in most lines of a document (four at least); hashes travel, not texts."""
+    own = corpus.lines(base.files(spark, sf_dir)).where(F.trim("line") != "").select("doc_id", F.regexp_replace(F.lower("line"), r"\s+", "").alias("t"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 9), lambda i: F.xxhash64(F.substring(F.col("t"), i, F.lit(10)))))
+    counts = own.where("length(t) >= 10").select("doc_id", F.explode(grams).alias("h")).groupBy("doc_id", "h").agg(F.count("*").alias("k")).groupBy("doc_id").agg(F.max("k").alias("most"))
+    out = own.groupBy("doc_id").agg(F.count("*").alias("n_lines")).join(counts, "doc_id", "left").withColumn("most", F.coalesce("most", F.lit(0)))
+    return out.withColumn("repeated", (F.col("n_lines") >= 5) & (F.col("most") >= F.greatest(F.lit(4), F.floor(F.col("n_lines") * 0.6))))
 
 
 @query("WITH g AS (SELECT user_id, event_id, date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) / CAST(1000000 AS DOUBLE) AS gap FROM events) SELECT user_id, count(*) AS beats, count(*) FILTER (gap > 300) AS stale, count(*) FILTER (gap <= 45) AS fresh FROM g GROUP BY user_id")
@@ -129,19 +136,20 @@ def citation_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(plain, F.lit(r"\[(E\d+)\]"), F.lit(1)))), ",").alias("ids"))
 
 
-ROLES = ["direct_answer", "qualifier_reference", "practical_table", "background", "unclassified"]
+# What an overview reads first.
+ROLES = ["direct_answer", "qualifier_reference", "unclassified", "background", "practical_detail"]
 
 
 @query(
     "WITH "
     + base.FUSED
-    + ", r AS (SELECT query_id, chunk_id, rank0, list_position(['direct_answer', 'qualifier_reference', 'practical_table', 'background', 'unclassified'], ['background', 'direct_answer', 'practical_table', 'unclassified', 'qualifier_reference'][rank0 % 5 + 1]) AS priority FROM fused) SELECT query_id, chunk_id, priority, row_number() OVER (PARTITION BY query_id ORDER BY priority, rank0) AS place FROM r"
+    + ", r AS (SELECT query_id, chunk_id, rank0, list_position(['direct_answer', 'qualifier_reference', 'unclassified', 'background', 'practical_detail'], ['background', 'direct_answer', 'practical_detail', 'unclassified', 'qualifier_reference'][rank0 % 5 + 1]) AS priority FROM fused) SELECT query_id, chunk_id, priority, row_number() OVER (PARTITION BY query_id ORDER BY priority, rank0) AS place FROM r"
 )
 def role_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence in the order of role priorities of an overview, rank order inside a role."""
     from pyspark.sql import Window
 
-    given = F.array(*map(F.lit, ["background", "direct_answer", "practical_table", "unclassified", "qualifier_reference"]))
+    given = F.array(*map(F.lit, ["background", "direct_answer", "practical_detail", "unclassified", "qualifier_reference"]))
     role = F.element_at(given, (F.col("rank0") % 5 + 1).cast("int"))
     rows = base.fused(spark, sf_dir).withColumn("priority", F.array_position(F.array(*map(F.lit, ROLES)), role))
     return rows.select("query_id", "chunk_id", "priority", F.row_number().over(Window.partitionBy("query_id").orderBy("priority", "rank0")).cast("long").alias("place"))

@@ -9,7 +9,7 @@ from ..operators import rank, structure
 from ..registry import table
 from ..sources import corpus
 
-FILES = "files AS (SELECT doc_id, source || '/' || lang || '/doc-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '.md' AS path, lang, source, text FROM documents)"
+FILES = "files AS (SELECT doc_id, source || '/' || lang || '/doc-' || printf('%06d', doc_id) || '.md' AS path, lang, source, text FROM documents)"
 LINES = (
     FILES
     + r""",
@@ -38,7 +38,7 @@ PAGES = (
     MD
     + r""",
 marked AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '^ {0,3}#{1,6}[ \t]') THEN regexp_extract(line, '^ {0,3}#{1,6}[ \t]+(.*)$', 1) END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no) AS heading0 FROM md),
-chunks AS (SELECT path, path || '#' || lpad(CAST((line_no - 1) // 8 + 1 AS VARCHAR), 4, '0') AS chunk_id, coalesce(arg_min(heading0, line_no), '') AS heading,
+chunks AS (SELECT path, path || '#' || printf('%04d', (line_no - 1) // 8 + 1) AS chunk_id, coalesce(arg_min(heading0, line_no), '') AS heading,
                   min(line_no) AS start_line, max(line_no) AS end_line, string_agg(line, chr(10) ORDER BY line_no) AS text
            FROM marked GROUP BY path, (line_no - 1) // 8)"""
 )
@@ -55,7 +55,7 @@ LISTS = (
     + TERMS
     + """,
 distinct_terms AS (SELECT DISTINCT term FROM terms),
-found AS (SELECT f.path, t.term, contains('doc-' || lpad(CAST(f.doc_id AS VARCHAR), 6, '0'), t.term) AS in_stem
+found AS (SELECT f.path, t.term, contains('doc-' || printf('%06d', f.doc_id), t.term) AS in_stem
           FROM files f JOIN distinct_terms t ON contains(lower(f.path || ' ' || f.text), t.term)),
 dfs AS (SELECT term, count(*) AS df FROM found GROUP BY term),
 idf AS (SELECT t.query_id, f.path, round(sum(ln(CAST((SELECT count(*) FROM files) AS DOUBLE) / d.df) * CASE WHEN f.in_stem THEN 4.0 ELSE 1.0 END), 4) AS score, count(*) AS hits

@@ -21,9 +21,9 @@ def text_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     + base.FILES
     + r""", odd AS (SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN path WHEN 1 THEN '.git/' || path WHEN 2 THEN 'node_modules/' || path WHEN 3 THEN replace(path, '.md', '.exe')
  WHEN 4 THEN source || '/.env.local' WHEN 5 THEN source || '/server.pem' WHEN 6 THEN path || '.metadata.json' WHEN 7 THEN source || '/my_credentials.txt' WHEN 8 THEN replace(path, '.md', '.HTML') ELSE source || '/notes.csv' END AS path FROM files)
-SELECT doc_id, path, (NOT list_bool_or(list_transform(string_split(path, '/')[1:-2], lambda p: starts_with(p, '.') OR p IN ('__pycache__', 'node_modules')) || [false]))
-  AND NOT starts_with(string_split(path, '/')[-1], '.') AND regexp_matches(lower(string_split(path, '/')[-1]), '\.(md|txt|csv|json|yaml|yml|html|htm)$')
-  AND NOT regexp_matches(lower(string_split(path, '/')[-1]), '^(\.env.*|.*\.pem|.*\.key|.*\.pfx|.*\.p12|id_rsa.*|.*credentials.*|.*secret.*|.*\.metadata\.json)$') AS allowed FROM odd"""
+SELECT doc_id, path, (NOT list_bool_or(list_transform(string_split(path, '/')[1:-2], lambda p: starts_with(p, '.') OR lower(p) IN ('__pycache__', 'node_modules')) || [false]))
+  AND regexp_replace(string_split(path, '/')[-1], '\.[^.]*$', '') <> '' AND regexp_matches(lower(string_split(path, '/')[-1]), '\.(md|txt|csv|json|yaml|yml|html|htm)$')
+  AND NOT regexp_matches(lower(string_split(path, '/')[-1]), '^(\.env|\.env\..*|secrets\..*|.*\.secret\..*|.*\.pem|.*\.key|.*\.pfx|.*\.p12|.*\.metadata\.json)$') AS allowed FROM odd"""
 )
 def path_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, k = base.files(spark, sf_dir), F.col("doc_id") % 10
@@ -78,7 +78,7 @@ fold AS (
              f.made || CASE WHEN m.is_head AND f.buf IS NOT NULL AND trim(f.buf, E' \n\t\r') <> '' THEN [{'h': f.shown, 's': f.start, 'e': m.line_no - 1, 't': trim(f.buf, E' \n\t\r')}] ELSE [] END AS made1
       FROM fold f JOIN mark m ON m.path = f.path AND m.line_no = f.seen + 1)))
 ), last AS (SELECT path, made FROM fold JOIN sizes USING (path) WHERE seen = n_lines)
-SELECT path, path || '#' || lpad(CAST(k AS VARCHAR), 4, '0') AS chunk_id, made[k].h AS heading, made[k].s AS start_line, made[k].e AS end_line, sha256(made[k].t) AS text_sha256
+SELECT path, path || '#' || printf('%04d', k) AS chunk_id, made[k].h AS heading, made[k].s AS start_line, made[k].e AS end_line, sha256(made[k].t) AS text_sha256
 FROM (SELECT path, made, unnest(range(1, len(made) + 1)) AS k FROM last)"""
 )
 def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ def chunk_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS page, CASE WHEN event_type IN ('title', 'text', 'table', 'list', 'figure', 'caption', 'header', 'footer', 'formula') THEN event_type ELSE 'unknown' END AS layout_type,
+    """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS page, CASE WHEN event_type IN ('title', 'text', 'table', 'figure', 'caption', 'header', 'footer', 'reference', 'equation') THEN event_type ELSE 'unknown' END AS layout_type,
  json_extract(props, '$.k') IS NOT NULL AS valid FROM events"""
 )
 def metadata_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,8 +104,9 @@ def metadata_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", parsed["k"].alias("page"), layout.alias("layout_type"), parsed["k"].isNotNull().alias("valid"))
 
 
-BLOCKS = """, begun AS (SELECT *, sum(CASE WHEN starts_with(line, '#') OR line_no = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_no) AS block FROM md),
-blocks AS (SELECT path, string_split(path, '/')[-1] || '#b' || lpad(CAST(block AS VARCHAR), 4, '0') AS block_id, CASE WHEN starts_with(arg_min(line, line_no), '#') THEN 'title' ELSE 'text' END AS layout_type, min(line_no) AS start_line, max(line_no) AS end_line FROM begun GROUP BY path, block)"""
+BLOCKS = """, begun AS (SELECT *, sum(CASE WHEN starts_with(line, '#') OR line_no = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_no) AS block0 FROM md),
+filled AS (SELECT *, dense_rank() OVER (PARTITION BY path ORDER BY block0) AS block FROM begun WHERE block0 IN (SELECT b.block0 FROM begun b WHERE b.path = begun.path AND trim(b.line) <> '')),
+blocks AS (SELECT path, string_split(path, '/')[-1] || '#b' || printf('%04d', block) AS block_id, CASE WHEN starts_with(arg_min(line, line_no), '#') AND count(*) = 1 THEN 'title' ELSE 'text' END AS layout_type, min(line_no) AS start_line, max(line_no) AS end_line FROM filled GROUP BY path, block)"""
 
 
 @query("WITH " + base.MD + BLOCKS + " SELECT * FROM blocks")

@@ -80,8 +80,8 @@ def group_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     ANCHORED
     + GROUPS.format("anchored")
     + r""", firsts AS (SELECT *, row_number() OVER (PARTITION BY query_id, coalesce('group:' || group_id, 'chunk:' || chunk_id) ORDER BY rank0) = 1 AS f FROM grouped),
-got AS (SELECT query_id, query, lower(string_agg(snippet || ' ' || heading, ' ' ORDER BY rank0)) AS text, count(*) FILTER (f) AS n, count(*) FILTER (f AND snippet <> '') AS full_n, arg_min(rrf_score, rank0) AS top, count(DISTINCT CASE WHEN f THEN path END) AS files,
- bool_or(f AND contains(source, 'embedding')) AS semantic, bool_or(f AND contains(source, 'embedding') AND coalesce(embedding_score, 0) >= 0.7 AND anchor >= 4) AS strong, max(embedding_score) FILTER (embedding_score > 0) AS nearest FROM firsts GROUP BY query_id, query),
+got AS (SELECT query_id, query, lower(string_agg(snippet || ' ' || heading, ' ' ORDER BY rank0)) AS text, count(*) FILTER (f) AS n, count(*) FILTER (f AND snippet <> '') AS full_n, arg_min(CASE WHEN group_id IS NULL THEN rrf_score ELSE 0.0 END, rank0) AS top, count(DISTINCT CASE WHEN f THEN path END) AS files,
+ bool_or(f AND contains(source, 'embedding')) AS semantic, bool_or(f AND group_id IS NULL AND contains(source, 'embedding') AND coalesce(embedding_score, 0) >= 0.7 AND anchor >= 4) AS strong, max(embedding_score) FILTER (embedding_score > 0) AS nearest FROM firsts GROUP BY query_id, query),
 terms0 AS (SELECT query_id, list_distinct(list_filter(list_transform(string_split_regex(query, '[\s,、。・/\\]+'), lambda x: lower(trim(x))), lambda x: length(x) >= 2)) AS ts, list_filter(list_distinct(list_transform(regexp_extract_all(query, '[一-龥々ァ-ヴー]{2,}|[A-Za-z0-9]{2,}'), lambda t: lower(t))), lambda t: NOT starts_with(t, '何')) AS cs FROM questions),
 c AS (SELECT g.*, CASE WHEN len(ts) = 0 THEN 0.0 ELSE CAST(len(list_filter(ts, lambda x: contains(g.text, x))) AS DOUBLE) / len(ts) END AS coverage, CASE WHEN len(cs) = 0 THEN 1.0 ELSE CAST(len(list_filter(cs, lambda x: contains(g.text, x))) AS DOUBLE) / len(cs) END AS content FROM got g JOIN terms0 USING (query_id)),
 v AS (SELECT *, least(1.0, coverage * 0.45 + CAST(full_n AS DOUBLE) / greatest(n, 1) * 0.25 + least(top / 0.035, 1.0) * 0.2 + least(files / CAST(2 AS DOUBLE), 1.0) * 0.1) AS conf FROM c)
@@ -103,22 +103,33 @@ def char_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "WITH "
     + base.EVIDENCE
-    + """, r AS (SELECT query_id, chunk_id, rank0, length(snippet) AS n, CASE rank0 % 3 WHEN 0 THEN 'practical' WHEN 1 THEN 'background' ELSE 'direct_answer' END AS role FROM evidence),
+    + """, r AS (SELECT query_id, chunk_id, rank0, length(snippet) AS n, CASE rank0 % 3 WHEN 0 THEN 'practical_detail' WHEN 1 THEN 'background' ELSE 'direct_answer' END AS role FROM evidence),
 w AS (SELECT *, sum(n) OVER (PARTITION BY query_id, role ORDER BY rank0 ROWS UNBOUNDED PRECEDING) AS used FROM r)
-SELECT query_id, chunk_id, role, CAST(used AS BIGINT) AS used FROM w WHERE used <= CASE role WHEN 'practical' THEN 3150 WHEN 'background' THEN 1800 ELSE 9000 END"""
+SELECT query_id, chunk_id, role, CAST(used AS BIGINT) AS used FROM w WHERE used <= CASE role WHEN 'practical_detail' THEN 3150 WHEN 'background' THEN 1800 ELSE 9000 END"""
 )
 def role_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of 9000 characters by role in an overview: practical 35 %, background 20 %."""
     from pyspark.sql import Window
 
     k = F.col("rank0") % 3
-    rows = base.evidence(spark, sf_dir).withColumn("role", F.when(k == 0, "practical").when(k == 1, "background").otherwise("direct_answer"))
+    rows = base.evidence(spark, sf_dir).withColumn("role", F.when(k == 0, "practical_detail").when(k == 1, "background").otherwise("direct_answer"))
     used = F.sum(F.length("snippet")).over(Window.partitionBy("query_id", "role").orderBy("rank0").rowsBetween(Window.unboundedPreceding, 0))
-    cap = F.when(F.col("role") == "practical", 3150).when(F.col("role") == "background", 1800).otherwise(9000)
+    cap = F.when(F.col("role") == "practical_detail", 3150).when(F.col("role") == "background", 1800).otherwise(9000)
     return rows.withColumn("used", used).where(F.col("used") <= cap).select("query_id", "chunk_id", "role", "used")
 
 
-@query()
+@query(
+    "WITH "
+    + base.EVIDENCE
+    + GROUPS.format("evidence")
+    + """, firsts AS (SELECT query_id, group_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank0)) AS g FROM grouped WHERE group_id IS NOT NULL GROUP BY query_id, group_id),
+r AS (SELECT x.query_id, x.chunk_id, x.rank0, f.g, row_number() OVER (PARTITION BY x.query_id, x.group_id ORDER BY rank0) AS k, count(*) FILTER (x.group_id IS NULL) OVER (PARTITION BY x.query_id) AS nd, coalesce(max(f.g) OVER (PARTITION BY x.query_id), 0) AS ng
+ FROM grouped x LEFT JOIN firsts f ON f.query_id = x.query_id AND f.group_id = x.group_id),
+s AS (SELECT *, least(ng, CASE WHEN nd > 0 THEN 7 ELSE 8 END) AS granted FROM r),
+t AS (SELECT *, g IS NULL AND k <= 8 - granted OR g IS NOT NULL AND k = 1 AND g <= granted AS sure, greatest(8 - granted - nd, 0) AS spare FROM s),
+u AS (SELECT *, CASE WHEN g IS NOT NULL AND NOT sure THEN row_number() OVER (PARTITION BY query_id, g IS NOT NULL AND NOT sure ORDER BY g, k) END AS e FROM t)
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(g, 0), k) AS place FROM u WHERE sure OR e <= spare"""
+)
 def slot_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.allocate_slots(_grouped(spark, sf_dir).withColumn("group_order", F.col("rank0")).select("query_id", "chunk_id", "rank0", "group_id", "group_order"), 8)
 

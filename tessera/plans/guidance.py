@@ -57,7 +57,7 @@ r AS (SELECT *, greatest(len(ls), 1) AS n, CAST(len(list_filter(ls, lambda x: st
 s AS (SELECT chunk_id, CASE WHEN tr >= 0.5 THEN CASE WHEN qr >= 0.4 OR annex THEN 1.2 ELSE 0.5 END ELSE 0.0 END + CASE WHEN qr >= 0.4 THEN 1.0 ELSE 0.0 END + CASE WHEN annex THEN 1.0 ELSE 0.0 END + CASE WHEN ir >= 0.6 AND qr >= 0.2 THEN 0.4 ELSE 0.0 END AS p,
  CASE WHEN regexp_matches(heading, '{G.QUALIFIER_HEAD}') THEN 1.0 ELSE 0.0 END + CAST(0.45 AS DOUBLE) * least(len(regexp_extract_all(text, '{G.QUALIFIER_BODY}')), 2) AS q, CASE WHEN regexp_matches(heading, '{G.BACKGROUND_HEAD}') THEN 1.0 ELSE 0.0 END + CAST(0.6 AS DOUBLE) * least(len(regexp_extract_all(text, '{G.BACKGROUND_BODY}')), 2) AS b FROM r),
 t AS (SELECT *, greatest(p, q, b) AS top, list_sort([CAST(p AS DOUBLE), q, b])[2] AS second FROM s)
-SELECT chunk_id, CASE WHEN top >= CAST(0.6 AS DOUBLE) AND top - second >= CAST(0.15 AS DOUBLE) THEN CASE WHEN q = top THEN 'qualifier' WHEN p = top THEN 'practical' ELSE 'background' END ELSE 'unclassified' END AS role, round(least(1.0, CAST(top AS DOUBLE) / 2), 3) AS confidence FROM t"""
+SELECT chunk_id, CASE WHEN top >= CAST(0.6 AS DOUBLE) AND top - second >= CAST(0.15 AS DOUBLE) THEN CASE WHEN q = top THEN 'qualifier_reference' WHEN p = top THEN 'practical_detail' ELSE 'background' END ELSE 'unclassified' END AS role, round(least(1.0, CAST(top AS DOUBLE) / 2), 3) AS confidence FROM t"""
 )
 def role_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of documents with headings and wordings of the roles put in."""

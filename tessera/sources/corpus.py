@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 # File kinds that are read, folders that are not entered, names that hold secrets or metadata.
 SUFFIXES = ["md", "txt", "csv", "json", "yaml", "yml", "html", "htm"]
 SKIPPED_FOLDERS = ["__pycache__", "node_modules"]
-SECRET_NAMES = [r"\.env.*", r".*\.pem", r".*\.key", r".*\.pfx", r".*\.p12", r"id_rsa.*", r".*credentials.*", r".*secret.*", r".*\.metadata\.json"]
-LAYOUTS = ["title", "text", "table", "list", "figure", "caption", "header", "footer", "formula", "unknown"]
+SECRET_NAMES = [r"\.env", r"\.env\..*", r"secrets\..*", r".*\.secret\..*", r".*\.pem", r".*\.key", r".*\.pfx", r".*\.p12", r".*\.metadata\.json"]
+LAYOUTS = ["title", "text", "table", "figure", "caption", "header", "footer", "reference", "equation", "unknown"]
 #: Line ends of Python's str.splitlines, which both regular-expression dialects understand.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
@@ -34,13 +34,14 @@ def normalize_path(path: Column) -> Column:
 def allowed(path: Column) -> Column:
     name = F.lower(F.element_at(F.split(path, "/"), -1))
     folders = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
-    kept = F.forall(folders, lambda p: ~p.startswith(".") & ~p.isin(SKIPPED_FOLDERS))
-    return kept & ~name.startswith(".") & name.rlike(r"\.(" + "|".join(SUFFIXES) + ")$") & ~name.rlike("^(" + "|".join(SECRET_NAMES) + ")$")
+    kept = F.forall(folders, lambda p: ~p.startswith(".") & ~F.lower(p).isin(SKIPPED_FOLDERS))
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    return kept & (stem != "") & name.rlike(r"\.(" + "|".join(SUFFIXES) + ")$") & ~name.rlike("^(" + "|".join(SECRET_NAMES) + ")$")
 
 
 def files(docs: DataFrame) -> DataFrame:
     """(doc_id, path, lang, source, text): documents as source files."""
-    path = F.concat("source", F.lit("/"), "lang", F.lit("/doc-"), F.lpad(F.col("doc_id").cast("string"), 6, "0"), F.lit(".md"))
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/doc-"), F.format_string("%06d", "doc_id"), F.lit(".md"))
     return docs.select("doc_id", path.alias("path"), "lang", "source", "text")
 
 
@@ -68,13 +69,17 @@ def manifest(chunks: DataFrame) -> DataFrame:
 
 
 def line_blocks(rows: DataFrame) -> DataFrame:
-    """(path, block_id, layout_type, start_line, end_line): blocks begin at lines with a leading `#`."""
+    """(path, block_id, layout_type, start_line, end_line): blocks begin at lines with a leading `#`.
+
+    A block of one line that begins so is a title. Blank blocks are left out and take no number.
+    """
     begins = F.col("line").startswith("#")
     upto = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     numbered = rows.withColumn("block", F.sum(F.when(begins | (F.col("line_no") == 1), 1).otherwise(0)).over(upto))
-    out = numbered.groupBy("path", "block").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.min_by("line", "line_no").startswith("#").alias("titled"))
+    out = numbered.groupBy("path", "block").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.min_by("line", "line_no").startswith("#").alias("titled"), F.bool_or(F.trim("line") != "").alias("filled")).where("filled")
+    out = out.withColumn("block", F.row_number().over(Window.partitionBy("path").orderBy("start_line"))).withColumn("titled", F.col("titled") & (F.col("start_line") == F.col("end_line")))
     name = F.element_at(F.split("path", "/"), -1)
-    return out.select("path", F.concat(name, F.lit("#b"), F.lpad(F.col("block").cast("string"), 4, "0")).alias("block_id"), F.when(F.col("titled"), "title").otherwise("text").alias("layout_type"), "start_line", "end_line")
+    return out.select("path", F.concat(name, F.lit("#b"), F.format_string("%04d", "block")).alias("block_id"), F.when(F.col("titled"), "title").otherwise("text").alias("layout_type"), "start_line", "end_line")
 
 
 def metadata_for_ranges(ranges: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -41,15 +41,19 @@ def _folder(sf_dir: str) -> str:
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     """Starts a stream over what is there, waits for its end, and returns what it wrote to a table in the shared folder."""
     spark = stream.sparkSession
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    root = root or tempfile.mkdtemp(prefix="spark-stream-")
     path = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
+        part = "" if mode == "complete" else f"/batch={number}"  # a batch that is run again after a failure replaces itself
+        batch.write.mode("overwrite").parquet(f"{path}/out{part}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{path}/out").drop("_batch")
+    return spark.read.parquet(f"{path}/out").drop("batch")
 
 
 def daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
