@@ -365,6 +365,7 @@ def bpe_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             sha = lambda x: hashlib.sha256(x).hexdigest()
             return [cols[0], [len(x) // 4 for x in coded], list(map(sha, coded)), list(map(sha, back)), [a == b.encode("utf-8", "surrogatepass") for a, b in zip(back, cols[1])]]
 
+        work.close = own.known.clear
         return work
 
     schema = f"{id_col} {dict(docs.dtypes)[id_col]}, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean"

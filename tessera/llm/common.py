@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -55,7 +56,8 @@ def _cuts(batch: pa.RecordBatch, rows: int, size: int) -> list[int]:
 def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[list[list]], list[list]]], rows: int = 512, size: int = 8_000_000) -> DataFrame:
     """Runs start()(columns) over slices of at most `rows` rows and about `size` bytes, columns being Python lists.
 
-    start is called once a task, so models are unpacked once. The lists returned become the columns of `schema`.
+    start is called once a task, so models are unpacked once. The lists returned become the columns of `schema`. If what start
+    returns has a function close, it is called when the task is over. Workers live on, so a task's memory is then given back.
     """
     out = df.sparkSession.createDataFrame([], schema).schema
 
@@ -72,9 +74,22 @@ def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[[list[l
                 made = work([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v, type=f.type) for v, f in zip(made, arrow, strict=True)], schema=arrow)
 
+        getattr(work, "close", lambda: None)()
+        del work
+        give_back()
+
     return df.mapInArrow(run, out)
 
 
+def give_back() -> None:
+    """Returns free memory of this worker to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, per_class: int) -> DataFrame:
     """At most `per_class` labelled training rows of each class, chosen by the hash of the id: (text, label).
 

@@ -162,11 +162,11 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             else:
                 z = raw_scores(own, [make(t or "", row) for t, row in zip(cols[2], zip(*cols[3 : 3 + m]) if m else [()] * len(cols[0]))])
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            return [cols[0], cols[1], p, (p >= threshold).astype(np.int32), *cols[3 + m :]]
+            return [cols[0], cols[1], p, (p >= threshold).astype(np.int32), *cols[3 + m :], *([cols[2]] if text_col in keep else [])]
 
         return work
 
-    kinds = dict(docs.dtypes)
-    rows = docs.select(F.col(id_col).alias("__id"), (fold(F.col(id_col)) == 0).alias("__held"), F.col(text_col).alias("__text"), *(F.col(c).cast("double").alias(f"__m{j}") for j, c in enumerate(metadata)), *keep)
-    schema = f"`{id_col}` {kinds[id_col]}, held_out boolean, score double, predicted int" + "".join(f", `{c}` {kinds[c]}" for c in keep)
+    kinds, others = dict(docs.dtypes), [c for c in keep if c != text_col]
+    rows = docs.select(F.col(id_col).alias("__id"), (fold(F.col(id_col)) == 0).alias("__held"), F.col(text_col).alias("__text"), *(F.col(c).cast("double").alias(f"__m{j}") for j, c in enumerate(metadata)), *others)
+    schema = f"`{id_col}` {kinds[id_col]}, held_out boolean, score double, predicted int" + "".join(f", `{c}` {kinds[c]}" for c in others + [c for c in keep if c == text_col])
     return map_batches(rows, schema, start, 256)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_by_class, map_batches, materialize
+from .common import give_back, join_by_class, map_batches, materialize
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 
@@ -346,6 +346,7 @@ def similar_rows(docs: DataFrame, id_col: str, text_col: str, words: int, simila
         for h, *rest in whole_lists(batches):
             keep = with_partner(h, *rest[:2], similarity)
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (h, *rest)], names=["h", "n", "p", "r"])
+        give_back()
 
     listed = lambda df: df.repartition("h").sortWithinPartitions("h", "n", "r")
     lists = materialize(listed(postings).mapInArrow(met, "h long, n long, p long, r long"), "lists")
@@ -369,6 +370,7 @@ def similar_rows(docs: DataFrame, id_col: str, text_col: str, words: int, simila
                 found, rest = list_pairs(*columns, low, high, similarity)
                 found = np.concatenate([found, [[-1, -1]]]) if rest else found  # the mark of pairs further apart
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+            give_back()
 
         now = lists.join(roots, lists.r == roots.node, "left").select("h", "n", "p", "r", F.coalesce("root", "r").alias("label"))
         found = listed(now).mapInArrow(pairs, "a long, b long").distinct()
