@@ -1,4 +1,4 @@
-"""Greedy line chunks with overlap: a fold over the lines of a file, run on Arrow batches."""
+"""Greedy line chunks with overlap, cut where headings and running lengths say, on Arrow batches."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -16,47 +17,30 @@ HEADING = re.compile(r"\s{0,3}(#{1,6})\s+(.+?)\s*")
 SCHEMA = "doc_id long, path string, chunk_id string, heading string, start_line long, end_line long, text string, text_sha256 string"
 
 
-class _Fold:
-    """The open chunk of one file: its text, where it starts, and the headings in force."""
-
-    def __init__(self) -> None:
-        self.text: str | None = None
-        self.start, self.shown, self.current = 1, "", ""
-        self.done: list[tuple[str, int, int, str]] = []
-
-    def close(self, end: int) -> None:
-        text, self.text = (self.text or "").strip(), None
-        if not text:
-            self.start = end + 1
-            return
-        self.done.append((self.shown, self.start, end, text))
-        self.shown = self.current
-        self.start = end + 1
-        if len(text) > OVERLAP:
-            self.text, self.start = text[-OVERLAP:], end
-
-    def add(self, number: int, line: str) -> None:
-        if found := HEADING.fullmatch(line):
-            self.current = found[2].strip()
-            if self.text is not None:
-                self.close(number - 1)
-            self.shown, self.start = self.current, number
-        if self.text is None:
-            self.text, self.start, self.shown = line, number, self.current
-        else:
-            self.text += "\n" + line
-        if len(self.text) + 1 >= MOST_CHARS:
-            self.close(number)
-
-
 def fold_lines(lines: list[str]) -> list[tuple[str, int, int, str]]:
-    """(heading, start_line, end_line, text) of each chunk."""
-    fold = _Fold()
-    for number, line in enumerate(lines, 1):
-        fold.add(number, line)
-    if fold.text is not None:
-        fold.close(len(lines))
-    return fold.done
+    """(heading, start_line, end_line, text) of each chunk.
+
+    A chunk ends before the next heading, or with the line that brings it to MOST_CHARS, whichever comes first: both are looked up, in the
+    positions of headings and in the running sum of lengths. A chunk of over OVERLAP characters lends its end to the one after it. After a cut by size the
+    lent end counts as the chunk's first line, so a heading that follows at once leaves it a chunk of its own.
+    """
+    heads = [(k, found[2].strip()) for k, line in enumerate(lines) if (found := HEADING.fullmatch(line))]
+    at_head = np.array([k for k, _ in heads], np.int64)
+    upto = np.concatenate([[0], np.cumsum([len(line) + 1 for line in lines], dtype=np.int64)])
+    done: list[tuple[str, int, int, str]] = []
+    here, lent, by_size = 0, "", False
+    while here < len(lines) or (by_size and lent):
+        inside = by_size and bool(lent)  # the chunk begins within the line before
+        k = int(np.searchsorted(at_head, here if inside else here + 1))
+        section = heads[k][0] if k < len(heads) else len(lines)
+        full = int(np.searchsorted(upto, upto[here] + MOST_CHARS - (len(lent) + 1 if lent else 0)))
+        end, by_size = min(section, full), full <= section
+        text = "\n".join([*([lent] if lent else ()), *lines[here:end]]).strip()
+        if text:
+            in_force = int(np.searchsorted(at_head, here - inside, side="right"))
+            done.append((heads[in_force - 1][1] if in_force else "", here + (not inside), end, text))
+        here, lent = end, text[-OVERLAP:] if len(text) > OVERLAP else ""
+    return done
 
 
 def chunk_lines(marked: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from ..functions.text import path_stem, query_ngrams, split_terms
 
 #: Most distinct terms, and most vector components, that one pass over the corpus broadcasts.
 TERMS_AT_ONCE, NUMBERS_AT_ONCE = 200_000, 4_000_000
+#: Most cells of a table of texts by questions that a task holds.
+CELLS = 2_000_000
 CJK_TERM = r"^([\x{3400}-\x{9fff}々]{2,}|[ァ-ヶー]{2,})$"
 
 
@@ -88,27 +91,43 @@ def _finder(terms: list[str]):
 def keyword_scores(questions: DataFrame, chunks: DataFrame, top_k: int = 8) -> DataFrame:
     """(query_id, chunk_id, path, score, rank0): saturated term counts weighted by rarity, heading and name bonuses, n-gram fallback.
 
-    Two passes over the chunks. The first counts how many chunks have each term; the second scores every chunk for all
-    questions where it is, and a task sends on its `top_k` best of each question. Questions and terms are broadcast in blocks of TERMS_AT_ONCE terms.
+    Two passes over the chunks. The first counts how many chunks have each term; the second scores every chunk for the
+    questions that share a term or 3-gram with it, where it is, and a task sends on its `top_k` best of each question.
+    Questions and terms are broadcast in blocks of TERMS_AT_ONCE terms.
     """
-    spark = chunks.sparkSession
-    asked = [tuple(r) for r in questions.select("query_id", query_ngrams(F.col("query")).alias("g"), "query").join(question_terms(questions).groupBy("query_id").agg(F.collect_list("term").alias("t")), "query_id").select("query_id", "g", "t").orderBy("query_id").collect()]
+    cjk = re.compile(CJK_TERM.replace("\\x{3400}", "\u3400").replace("\\x{9fff}", "\u9fff"))
+    rarity = lambda t, df, total: (math.log((total + 1.0) / (df + 1)) + 1.0) * (min(len(t), 8) if cjk.match(t) else 1)
+    worth = lambda n, w, in_heading, in_stem: 2.0 * n / (n + 1.0) * w + (3.0 if in_heading else 0.0) + (2.0 if in_stem else 0.0)
+    return _by_blocks(questions, chunks, F.concat_ws(" ", "path", "heading", "text"), rarity, worth, True, top_k).drop("hits")
+
+
+def idf_scores(questions: DataFrame, chunks: DataFrame, top_k: int = 20) -> DataFrame:
+    """(query_id, chunk_id, path, score, rank0, hits): sum of ln(N/df) over the terms a file has, three more times for terms in its name."""
+    rarity = lambda t, df, total: math.log(total / df) if df else 0.0
+    worth = lambda n, w, in_heading, in_stem: w * (4.0 if in_stem else 1.0)
+    return _by_blocks(questions, chunks, F.concat_ws(" ", "path", "text"), rarity, worth, False, top_k)
+
+
+def _by_blocks(questions: DataFrame, chunks: DataFrame, hay: Column, rarity: Callable, worth: Callable, grams: bool, top_k: int) -> DataFrame:
+    terms = question_terms(questions).groupBy("query_id").agg(F.collect_list("term").alias("t"))
+    bare = questions.select("query_id", F.regexp_replace("query", r"\s+", "").alias("bare"))
     blocks: list[list[tuple]] = [[]]
-    for q in asked:
-        if blocks[-1] and sum(len(t) for _, _, t in blocks[-1]) + len(q[2]) > TERMS_AT_ONCE:
+    held = 0
+    for q in map(tuple, bare.join(terms, "query_id").select("query_id", "bare", "t").orderBy("query_id").collect()):
+        if blocks[-1] and held + len(q[2]) > TERMS_AT_ONCE:
             blocks.append([])
+            held = 0
         blocks[-1].append(q)
-    rows = chunks.select("chunk_id", "path", F.lower(F.coalesce("heading", F.lit(""))).alias("heading"), F.lower(path_stem(F.col("path"))).alias("stem"), F.lower(F.concat_ws(" ", "path", "heading", "text")).alias("hay"))
-    parts = [_score_block(spark, rows, block, top_k) for block in blocks]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return top(out, top_k)
+        held += len(q[2])
+    rows = chunks.select("chunk_id", "path", F.lower(F.coalesce("heading", F.lit(""))).alias("heading"), F.lower(path_stem(F.col("path"))).alias("stem"), F.lower(hay).alias("hay"))
+    parts = [_best_of_block(rows, block, rarity, worth, grams, top_k) for block in blocks]
+    return top(reduce(DataFrame.unionByName, parts), top_k)
 
 
-def _score_block(spark, rows: DataFrame, block: list[tuple], top_k: int) -> DataFrame:
+def _best_of_block(rows: DataFrame, block: list[tuple], rarity: Callable, worth: Callable, grams: bool, top_k: int) -> DataFrame:
+    context = rows.sparkSession.sparkContext
     words = sorted({t for _, _, ts in block for t in ts})
-    plain = spark.sparkContext.broadcast(words)
+    plain = context.broadcast(words)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, seen = _finder(plain.value), {None: 0}
@@ -120,47 +139,94 @@ def _score_block(spark, rows: DataFrame, block: list[tuple], top_k: int) -> Data
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "df"])
 
     df = {r[0]: r[1] for r in rows.select("hay").mapInArrow(tally, "term string, df long").groupBy("term").agg(F.sum("df")).collect()}
-    total, cjk = df.get(None, 0), re.compile(CJK_TERM.replace("\\x{3400}", "\u3400").replace("\\x{9fff}", "\u9fff"))
-    weight = {t: (math.log((total + 1.0) / (df.get(t, 0) + 1)) + 1.0) * (min(len(t), 8) if cjk.match(t) else 1) for t in words}
-    shared = spark.sparkContext.broadcast((block, weight))
+    shared = context.broadcast((block, {t: rarity(t, df.get(t, 0), df.get(None, 0)) for t in words}))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, weight = shared.value
-        count, askers = _finder(list(weight)), {}
-        for q, _, terms in block:
-            for t in terms:
-                askers.setdefault(t, []).append(q)
-        plan = []
-        for q, grams, _ in block:
-            short = frozenset(g for g in grams if len(g) == 3)
-            plan.append((q, short, {p: [g for g in grams if len(g) > 3 and g[:3] == p] for p in short}))
-        best: dict = {q: [] for q, _, _ in block}
-        least = dict.fromkeys(best, 0.0)  # what a chunk must reach to be among the best so far
+        count, number = _finder(list(weight)), {t: i for i, t in enumerate(weight)}
+        ask = _Askers(len(block), len(number), ((number[t], q) for q, (_, _, ts) in enumerate(block) for t in ts))
+        shares = _Grams([bare for _, bare, _ in block]) if grams else None
+        best: list[list[tuple]] = [[] for _ in block]
+        least = np.zeros(len(block))  # what a chunk must reach to be among the best so far
         for batch in batches:
-            for chunk, path, heading, stem, text in zip(*(c.to_pylist() for c in batch.columns)):
-                sums: dict = {}
-                for t, n in count(text).items():
-                    value = 2.0 * n / (n + 1.0) * weight[t] + (3.0 if t in heading else 0.0) + (2.0 if t in stem else 0.0)
-                    for q in askers[t]:
-                        sums[q] = sums.get(q, 0.0) + value
-                threes = {text[i : i + 3] for i in range(len(text) - 2)}
-                for q, short, longer in plan:
-                    there = short & threes
-                    n = len(there)
-                    if n < 10:  # a longer gram can only be there if its first three characters are
-                        n += sum(1 for p in there for g in longer[p] if g in text)
-                    got = sums.get(q, 0.0) + (0.1 * n if n < 10 else 1.0)
-                    if got > 0 and got + 1e-4 >= least[q]:
-                        best[q].append((-math.floor(got * 1e4 + 0.5) / 1e4, chunk, path))
-            for q, kept in best.items():
-                if len(kept) > top_k:
-                    best[q] = kept = heapq.nsmallest(top_k, kept)
-                if len(kept) == top_k:
-                    least[q] = -kept[-1][0]
-        found = [(q, c, p, -s) for q, kept in best.items() for s, c, p in kept]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.float64()))], names=["query_id", "chunk_id", "path", "score"])
-
-    return rows.mapInArrow(score, "query_id long, chunk_id string, path string, score double")
+            step = max(1, CELLS // max(1, len(block)))
+            for a in range(0, batch.num_rows, step):
+                own = list(zip(*(c.to_pylist() for c in batch.slice(a, step).columns)))
+                table, hits = np.zeros((len(own), len(block))), np.zeros((len(own), len(block)), np.int32)
+                for k, (_, _, heading, stem, text) in enumerate(own):
+                    if found := count(text):
+                        value = [worth(n, weight[t], t in heading, t in stem) for t, n in found.items()]
+                        table[k], hits[k] = ask(np.fromiter(map(number.__getitem__, found), np.int64, len(found)), np.array(value))
+                    if shares:
+                        table[k] += 0.1 * shares(text)
+                table = np.floor(table * 1e4 + 0.5) / 1e4
+                good = (table > 0) & (table >= least)
+                if len(own) > top_k:
+                    good &= table >= -np.partition(-table, top_k - 1, axis=0)[top_k - 1]
+                for k, q in zip(*np.nonzero(good)):
+                    best[q].append((-table[k, q], own[k][0], own[k][1], hits[k, q]))
+                for q in np.flatnonzero(good.any(axis=0)):
+                    if len(best[q]) >= top_k:
+                        best[q] = heapq.nsmallest(top_k, best[q])
+                        least[q] = -best[q][-1][0]
+        found = [(q, c, p, -s, n) for (q, _, _), kept in zip(block, best) for s, c, p, n in kept]
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(kinds)], names=["query_id", "chunk_id", "path", "score", "hits"])
+
+    return rows.mapInArrow(score, "query_id long, chunk_id string, path string, score double, hits long")
+
+
+class _Askers:
+    """Which questions have each of some things; sums over the things that a text has."""
+
+    def __init__(self, questions: int, things: int, pairs: Iterable[tuple[int, int]]):
+        got = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        self.n, self.owner, self.starts = questions, got[:, 1], np.searchsorted(got[:, 0], np.arange(things + 1))
+
+    def __call__(self, things: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.starts[things + 1] - self.starts[things]
+        at = np.repeat(self.starts[things] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        owner = self.owner[at]
+        return np.bincount(owner, np.repeat(values, size), self.n), np.bincount(owner, minlength=self.n)
+
+
+class _Grams:
+    """How many distinct 3- to 8-grams of each question a text has, up to ten."""
+
+    def __init__(self, bare: list[str]):
+        self.bare = bare
+        threes = [{g for i in range(len(q) - 2) if len(g := q[i : i + 3].lower()) == 3} for q in bare]
+        self.keys = np.unique(_threes("".join(sorted({g for own in threes for g in own})))[::3]) if any(threes) else np.zeros(0, np.uint64)
+        pairs = ((k, q) for q, own in enumerate(threes) if own for k in np.searchsorted(self.keys, _threes("".join(own))[::3]).tolist())
+        self.ask = _Askers(len(bare), len(self.keys), pairs)
+
+    def __call__(self, text: str) -> np.ndarray:
+        own = np.unique(_threes(text))
+        at = np.searchsorted(self.keys, own)
+        at = at[self.keys[np.minimum(at, len(self.keys) - 1)] == own] if len(self.keys) else at[:0]
+        n = self.ask(at, np.zeros(len(at)))[1]
+        for q in np.flatnonzero((n > 0) & (n < 10)):  # a longer gram can only be there if its first three characters are
+            n[q] += self._longer(self.bare[q], text, 10 - n[q])
+        return np.minimum(n, 10)
+
+    @staticmethod
+    def _longer(bare: str, text: str, enough: int) -> int:
+        found: set[str] = set()
+        for i in range(len(bare) - 3):
+            if bare[i : i + 3].lower() in text:
+                for n in range(4, min(8, len(bare) - i) + 1):
+                    if (g := bare[i : i + n].lower()) not in text:
+                        break
+                    found.add(g)
+            if len(found) >= enough:
+                break
+        return len(found)
+
+
+def _threes(text: str) -> np.ndarray:
+    """Its 3-grams in order, as numbers."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    return c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:] if len(c) > 2 else np.zeros(0, np.uint64)
 
 
 def top(scored: DataFrame, k: int, *ties: str) -> DataFrame:
@@ -169,16 +235,6 @@ def top(scored: DataFrame, k: int, *ties: str) -> DataFrame:
     return scored.withColumn("rank0", (F.row_number().over(order) - 1).cast("long")).where(F.col("rank0") < k)
 
 
-def idf_scores(questions: DataFrame, chunks: DataFrame, top_k: int = 20) -> DataFrame:
-    """(query_id, chunk_id, path, score, rank0, hits): sum of ln(N/df) over the terms a file has, three more times for terms in its name."""
-    terms = question_terms(questions)
-    hits = term_hits(chunks, terms, F.concat_ws(" ", "path", "text"))
-    weight = F.log(F.lit(float(chunks.count())) / F.col("df")) * F.when(F.col("in_stem"), 4.0).otherwise(1.0)
-    by_term = hits.join(document_frequency(hits), "term").select("term", "chunk_id", "path", weight.alias("w"))
-    summed = terms.join(by_term, "term").groupBy("query_id", "chunk_id", "path").agg(F.round(F.sum("w"), 4).alias("score"), F.count("*").alias("hits"))
-    return top(summed.where("score > 0"), top_k)
-
-
 def norms(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
     """(id, dim, norm, usable): a vector is usable if it has components, all finite, and some length."""
     square = F.aggregate(F.transform(col, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
@@ -189,14 +245,20 @@ def norms(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding") ->
 def cosine_scores(queries: DataFrame, index: DataFrame, top_k: int = 8, least: float = 0.3) -> DataFrame:
     """(query_id, vec_id, score, rank0): cosine of at least `least`, rounded to 4 places; queries: query_id, embedding.
 
-    One matrix product a batch against the broadcast query vectors; each batch sends on its own best. Vectors of another
-    dimension, without length or with parts that aren't finite match nothing.
+    Queries go out in blocks of NUMBERS_AT_ONCE components, dealt by hash of their ids; a block is one pass over the index, one matrix
+    product a batch, and each task sends on its own best. Vectors of another dimension, without length or with parts that
+    aren't finite match nothing.
     """
+    size = queries.agg(F.sum(F.size("embedding"))).first()[0] or 0
+    blocks = max(1, -(-int(size) * 5 // (NUMBERS_AT_ONCE * 4)))  # blocks by hash are uneven: a quarter more of them
+    block_of = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    parts = [_cosine_block(queries.where(block_of == b) if blocks > 1 else queries, index, top_k, least) for b in range(blocks)]
+    return top(reduce(DataFrame.unionByName, parts), top_k, "vec_id")
+
+
+def _cosine_block(queries: DataFrame, index: DataFrame, top_k: int, least: float) -> DataFrame:
     asked = [(r[0], r[1]) for r in queries.select("query_id", "embedding").orderBy("query_id").collect()]
-    if sum(len(v or ()) for _, v in asked) > NUMBERS_AT_ONCE:
-        raise ValueError("more query vectors than one pass broadcasts; call in blocks")
     shared = index.sparkSession.sparkContext.broadcast(asked)
-    schema = "query_id long, vec_id long, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[int, tuple[list, list]] = {}
@@ -206,24 +268,33 @@ def cosine_scores(queries: DataFrame, index: DataFrame, top_k: int = 8, least: f
                 ids, rows = groups.setdefault(len(v), ([], []))
                 ids.append(q)
                 rows.append(v / n)
+        known = {dim: (np.array(q), np.array(rows)) for dim, (q, rows) in groups.items()}
         for batch in batches:
             ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             sizes = np.diff(vectors.offsets.to_numpy())
-            out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-            for dim, (asked_ids, rows) in groups.items():
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            for dim, (asked_ids, rows) in known.items():
                 here = np.flatnonzero(sizes == dim)
                 own = vectors.take(pa.array(here)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
                 length = np.sqrt((own * own).sum(axis=1))
-                with np.errstate(all="ignore"):
-                    score = np.floor((own @ np.array(rows).T) / length[:, None] * 1e4 + 0.5) / 1e4
-                score[~np.isfinite(score)] = -1
-                for j, q in enumerate(asked_ids):
-                    ok = np.flatnonzero(score[:, j] >= least)
-                    best = ok[np.lexsort((ids[here[ok]], -score[ok, j]))[:top_k]]
-                    out = [np.append(a, b) for a, b in zip(out, (np.full(len(best), q), ids[here[best]], score[best, j]))]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
-
-    return top(index.select("vec_id", "embedding").mapInArrow(run, schema), top_k, "vec_id")
+                for a in range(0, len(asked_ids), step := max(1, CELLS // max(1, len(here)))):
+                    with np.errstate(all="ignore"):
+                        score = np.floor((own @ rows[a : a + step].T) / length[:, None] * 1e4 + 0.5) / 1e4
+                    score[~np.isfinite(score)] = -2
+                    good = score >= least
+                    if len(here) > top_k:
+                        good &= score >= -np.partition(-score, top_k - 1, axis=0)[top_k - 1]
+                    k, q = np.nonzero(good)
+                    out.append((asked_ids[a + q], ids[here[k]], score[k, q]))
+            q, v, score = (np.concatenate(x) for x in zip(*out))
+            order = np.lexsort((v, -score, q))
+            q, v, score = q[order], v[order], score[order]
+            new = np.append(True, q[1:] != q[:-1])[: len(q)]
+            place = np.arange(len(q)) - np.maximum.accumulate(np.where(new, np.arange(len(q)), 0))
+            keep = place < top_k
+            yield pa.RecordBatch.from_arrays([pa.array(q[keep], pa.int64()), pa.array(v[keep], pa.int64()), pa.array(score[keep], pa.float64())], names=["query_id", "vec_id", "score"])
+
+    return index.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, limit: int = 20, k: int = 60) -> DataFrame:

@@ -87,14 +87,14 @@ def expansion_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "WITH "
     + base.HEADS
-    + ", q AS (SELECT f.path, list_distinct(list_transform(range(1, greatest(length(b.text) - 1, 1)), lambda i: substr(lower(b.text), i, 3))) AS g FROM files f JOIN benchmark b ON b.item_id = f.doc_id % 40), o AS (SELECT path, line_no, line, max(CASE WHEN regexp_matches(line, '^ {0,3}(#{1,6})(?:[ \\t]+(.*))?$') THEN line_no END) OVER (PARTITION BY path ORDER BY line_no) AS section_line FROM md), s AS (SELECT o.path, o.section_line, o.line_no, len(list_intersect(list_distinct(list_transform(range(1, greatest(length(o.line) - 1, 1)), lambda i: substr(lower(o.line), i, 3))), q.g)) AS score FROM o JOIN q USING (path)) SELECT path, section_line, line_no, score FROM (SELECT *, row_number() OVER (PARTITION BY path, section_line ORDER BY score DESC, line_no) AS k FROM s WHERE score > 0) WHERE k = 1"
+    + ", "
+    + base.DEALT
+    + ", q AS (SELECT b.path, list_distinct(list_transform(range(1, greatest(length(b.query) - 1, 1)), lambda i: substr(lower(b.query), i, 3))) AS g FROM dealt b), o AS (SELECT path, line_no, line, max(CASE WHEN regexp_matches(line, '^ {0,3}(#{1,6})(?:[ \\t]+(.*))?$') THEN line_no END) OVER (PARTITION BY path ORDER BY line_no) AS section_line FROM md), s AS (SELECT o.path, o.section_line, o.line_no, len(list_intersect(list_distinct(list_transform(range(1, greatest(length(o.line) - 1, 1)), lambda i: substr(lower(o.line), i, 3))), q.g)) AS score FROM o JOIN q USING (path)) SELECT path, section_line, line_no, score FROM (SELECT *, row_number() OVER (PARTITION BY path, section_line ORDER BY score DESC, line_no) AS k FROM s WHERE score > 0) WHERE k = 1"
 )
 def focus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base.md(spark, sf_dir)
     own = structure.innermost(rows.select("path", "line_no"), structure.headings(rows)).join(rows.select("path", "line_no", "line"), ["path", "line_no"])
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("i"), F.col("text").alias("query"))
-    asked = base.files(spark, sf_dir).select("path", (F.col("doc_id") % 40).alias("i")).join(F.broadcast(items), "i").select("path", "query")
-    return A.focus_lines(own, asked)
+    return A.focus_lines(own, base.dealt(spark, sf_dir).select("path", "query"))
 
 
 @query(

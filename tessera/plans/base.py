@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import rank, structure
@@ -42,7 +42,9 @@ chunks AS (SELECT path, path || '#' || printf('%04d', (line_no - 1) // 8 + 1) AS
                   min(line_no) AS start_line, max(line_no) AS end_line, string_agg(line, chr(10) ORDER BY line_no) AS text
            FROM marked GROUP BY path, (line_no - 1) // 8)"""
 )
-QUESTIONS = "questions AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:10], ' ') AS query FROM benchmark)"
+QUESTIONS = "questions AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
+#: Documents dealt over all benchmark items, by the items' order.
+DEALT = "dealt AS (SELECT f.doc_id, f.path, b.text AS query FROM files f JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS n FROM benchmark) b ON b.k = f.doc_id % b.n)"
 TERMS = (
     QUESTIONS
     + r""",
@@ -63,9 +65,10 @@ idf AS (SELECT t.query_id, f.path, round(sum(ln(CAST((SELECT count(*) FROM files
 kw AS (SELECT * FROM (SELECT query_id, path, path || '#0001' AS chunk_id, score, hits, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path || '#0001') - 1 AS rank0 FROM idf WHERE score > 0) WHERE rank0 < 20),
 vecs AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 cos AS (SELECT q.vec_id AS q, i.vec_id, round(list_dot_product(q.v, i.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(i.v, i.v))), 4) AS score
-        FROM vecs q JOIN vecs i ON q.vec_id < 8 AND i.vec_id >= 8),
-em AS (SELECT * FROM (SELECT qq.query_id, f.path, f.path || '#0001' AS chunk_id, c.score, row_number() OVER (PARTITION BY qq.query_id ORDER BY c.score DESC, f.path || '#0001') - 1 AS rank0
-       FROM questions qq JOIN cos c ON c.q = qq.query_id % 8 AND c.score >= 0.1 JOIN files f ON f.doc_id = c.vec_id) WHERE rank0 < 20)"""
+        FROM vecs q JOIN vecs i ON q.vec_id % 20 = 0),
+asks AS (SELECT query_id, 20 * (query_id % (SELECT count(*) FROM vecs WHERE vec_id % 20 = 0)) AS q FROM questions),
+em AS (SELECT * FROM (SELECT qq.query_id, f.path, f.path || '#0001' AS chunk_id, c.score, row_number() OVER (PARTITION BY qq.query_id ORDER BY c.score DESC, c.vec_id) - 1 AS rank0
+       FROM asks qq JOIN cos c ON c.q = qq.q AND c.score >= 0.1 JOIN files f ON f.doc_id = c.vec_id) WHERE rank0 < 20)"""
 )
 FUSED = (
     LISTS
@@ -106,7 +109,16 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 10), " ").alias("query"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, path, query): documents dealt over all benchmark items, by the items' order (as if the items were a user's questions)."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
+    n = items.count()
+    order = Window.orderBy("item_id")
+    numbered = items.withColumn("k", (F.row_number().over(order) - 1).cast("long"))
+    return files(spark, sf_dir).select("doc_id", "path", (F.col("doc_id") % F.lit(max(n, 1))).alias("k")).join(numbered, "k").select("doc_id", "path", "query")
 
 
 def keyword_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,12 +126,18 @@ def keyword_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.idf_scores(questions(spark, sf_dir), whole, 20)
 
 
+def linked_vectors(spark: SparkSession, sf_dir: str, linked: DataFrame, top_k: int, least: float) -> DataFrame:
+    """(query_id, doc_id, score, rank0): every question's vector (one of those whose id 20 divides) against all vectors that `linked` (doc_id) has."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    own = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    near = rank.cosine_scores(own, vectors.join(linked.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi"), top_k, least)
+    asks = questions(spark, sf_dir).select("query_id", (20 * (F.col("query_id") % F.lit(max(own.count(), 1)))).alias("q"))
+    return asks.join(near.withColumnRenamed("query_id", "q"), "q").select("query_id", F.col("vec_id").alias("doc_id"), "score", "rank0")
+
+
 def vector_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), "embedding")
-    near = rank.cosine_scores(asked, vectors.where("vec_id >= 8"), top_k=1_000_000, least=0.1)
-    linked = near.join(files(spark, sf_dir).select(F.col("doc_id").alias("vec_id"), "path"), "vec_id").select(F.col("query_id").alias("q"), "path", F.concat("path", F.lit("#0001")).alias("chunk_id"), "score")
-    return rank.top(questions(spark, sf_dir).select("query_id", (F.col("query_id") % 8).alias("q")).join(linked, "q").drop("q"), 20)
+    own = files(spark, sf_dir).select("doc_id", "path", F.concat("path", F.lit("#0001")).alias("chunk_id"))
+    return linked_vectors(spark, sf_dir, own, 20, 0.1).join(own, "doc_id").drop("doc_id")
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:

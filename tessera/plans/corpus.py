@@ -82,8 +82,8 @@ SELECT path, path || '#' || printf('%04d', k) AS chunk_id, made[k].h AS heading,
 FROM (SELECT path, made, unnest(range(1, len(made) + 1)) AS k FROM last)"""
 )
 def chunk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ordered = base.md(spark, sf_dir).groupBy("doc_id", "path").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    marked = ordered.select("doc_id", "path", F.transform("l", lambda x: x["line"]).alias("lines"))
+    mark = lambda x, i: F.concat(F.when(i == 0, "# ").when((i + 1) % 7 == 0, "### ").when((i + 1) % 4 == 0, "## ").otherwise(""), x)
+    marked = base.files(spark, sf_dir).select("doc_id", "path", F.transform(corpus.split_lines(F.col("text")), mark).alias("lines"))
     return chunk.chunk_lines(marked).select("path", "chunk_id", "heading", "start_line", "end_line", "text_sha256")
 
 

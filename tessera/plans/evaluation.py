@@ -13,7 +13,7 @@ SCORED = (
     "WITH "
     + base.FUSED
     + """, returned AS (SELECT query_id, path, rank0, rank0 % 5 + 1 AS start_line, rank0 % 5 + 3 AS end_line FROM fused),
-expected AS (SELECT q.query_id, f.path, CAST(4 AS BIGINT) AS start_line, CAST(6 AS BIGINT) AS end_line, f.doc_id % 7 = 0 AS forbidden FROM benchmark b JOIN questions q ON q.query_id = b.item_id JOIN files f ON contains(f.text, substr(b.text, 1, 40))),
+expected AS (SELECT q.query_id, f.path, CAST(4 AS BIGINT) AS start_line, CAST(6 AS BIGINT) AS end_line, f.doc_id % 7 = 0 AS forbidden FROM benchmark b JOIN questions q ON q.query_id = b.item_id JOIN files f ON contains(f.text, b.text)),
 wanted AS (SELECT * FROM expected WHERE NOT forbidden), nw AS (SELECT query_id, count(DISTINCT path) AS n_paths, count(*) AS n_ranges FROM wanted GROUP BY query_id),
 mk AS (SELECT r.*, EXISTS (SELECT 1 FROM wanted w WHERE w.query_id = r.query_id AND w.path = r.path) AS good, EXISTS (SELECT 1 FROM expected e WHERE e.forbidden AND e.query_id = r.query_id AND e.path = r.path) AS bad FROM returned r),
 bq AS (SELECT query_id, count(*) AS returned, count(*) FILTER (good) AS good, count(DISTINCT CASE WHEN good THEN path END) AS good_paths, bool_or(good AND rank0 = 0) AS first, count(*) FILTER (bad) AS forbidden_hits FROM mk GROUP BY query_id),
@@ -27,11 +27,11 @@ RATES = "SELECT route, count(*) AS questions, count(hit) AS measured, round(avg(
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fused rows against the files that quote the beginning of a benchmark passage; every seventh of these is forbidden."""
+    """Fused rows against the files that quote a benchmark passage; every seventh of these is forbidden."""
     asked = base.questions(spark, sf_dir)
     k = F.col("rank0") % 5
     returned = base.fused(spark, sf_dir).select("query_id", "path", "rank0", (k + 1).alias("start_line"), (k + 3).alias("end_line"))
-    begins = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 40).alias("b"))
+    begins = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("b"))
     expected = base.files(spark, sf_dir).join(F.broadcast(begins), F.contains("text", "b")).select("query_id", "path", F.lit(4).cast("long").alias("start_line"), F.lit(6).cast("long").alias("end_line"), (F.col("doc_id") % 7 == 0).alias("forbidden"))
     return evaluate.score_questions(returned, expected, asked)
 

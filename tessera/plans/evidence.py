@@ -137,7 +137,9 @@ def slot_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 WINDOWS = (
     "WITH "
     + base.LINES
-    + """, focus AS (SELECT doc_id, list_distinct(list_transform(range(1, length(b.text)), lambda i: substr(b.text, i, 2))) AS g FROM files f JOIN benchmark b ON b.item_id = f.doc_id % 40),
+    + ", "
+    + base.DEALT
+    + """, focus AS (SELECT doc_id, list_distinct(list_transform(range(1, length(query)), lambda i: substr(query, i, 2))) AS g FROM dealt),
 s AS (SELECT l.doc_id, l.line_no, length(l.line) + 1 AS cost, trim(l.line) = '' AS empty, len(list_intersect(list_distinct(list_transform(range(1, greatest(length(l.line), 1)), lambda i: substr(l.line, i, 2))), f.g)) AS s FROM lines l JOIN focus f USING (doc_id)),
 c AS (SELECT *, sum(cost) OVER (PARTITION BY doc_id ORDER BY line_no) AS c FROM s),
 p AS (SELECT a.doc_id, a.line_no AS start_line, b.line_no, b.s, b.empty FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.line_no >= a.line_no AND (b.c - (a.c - a.cost) - 1 <= 500 OR b.line_no = a.line_no) WHERE NOT a.empty),
@@ -152,6 +154,5 @@ def excerpt_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..registry import table
 
     rows = base.lines(spark, sf_dir).select(F.col("doc_id").alias("ref_id"), "line_no", "line")
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("i"), F.col("text").alias("focus"))
-    focus = base.files(spark, sf_dir).select(F.col("doc_id").alias("ref_id"), (F.col("doc_id") % 40).alias("i")).join(F.broadcast(items), "i").select("ref_id", "focus")
+    focus = base.dealt(spark, sf_dir).select(F.col("doc_id").alias("ref_id"), F.col("query").alias("focus"))
     return evidence.best_window(rows, focus, 500)

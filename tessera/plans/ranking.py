@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunk, evidence, rank
 from ..registry import query, table
+from ..session import stored
 from . import base
 
 
@@ -17,7 +18,7 @@ def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.document_frequency(rank.term_hits(base.pages(spark, sf_dir), terms, F.concat_ws(" ", "path", "heading", "text")))
 
 
-@query(
+KEYWORD = (
     "WITH "
     + base.PAGES
     + ", "
@@ -29,11 +30,17 @@ df AS (SELECT term, count(*) AS df FROM hit GROUP BY term),
 one AS (SELECT h.chunk_id, h.term, 2.0 * h.n / (h.n + 1.0) * (ln(CAST((SELECT count(*) FROM chunks) AS DOUBLE) + 1.0) - ln(CAST(d.df AS DOUBLE) + 1) + 1.0) + CASE WHEN in_heading THEN 3.0 ELSE 0.0 END + CASE WHEN in_stem THEN 2.0 ELSE 0.0 END AS s FROM hit h JOIN df d USING (term)),
 kw AS (SELECT t.query_id, o.chunk_id, sum(o.s) AS s FROM terms t JOIN one o USING (term) GROUP BY t.query_id, o.chunk_id),
 bare AS (SELECT query_id, regexp_replace(query, '\s+', '', 'g') AS q FROM questions),
-grams AS (SELECT query_id, list(DISTINCT lower(substr(q, i, n))) AS g FROM (SELECT *, unnest(range(1, length(q) - n + 2)) AS i FROM (SELECT *, unnest(range(3, 9)) AS n FROM bare) WHERE length(q) >= n) GROUP BY query_id),
-pairs AS (SELECT g.query_id, h.chunk_id, h.path, len(list_filter(g.g, lambda x: contains(h.h, x))) AS n FROM grams g, hay h),
-scored AS (SELECT p.query_id, p.chunk_id, p.path, round(coalesce(k.s, 0.0) + least(1.0, 0.1 * p.n), 4) AS score FROM pairs p LEFT JOIN kw k ON k.query_id = p.query_id AND k.chunk_id = p.chunk_id)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank0 FROM scored WHERE score > 0) WHERE rank0 < 8"""
+grams AS (SELECT DISTINCT query_id, lower(substr(q, i, n)) AS g FROM (SELECT *, unnest(range(1, length(q) - n + 2)) AS i FROM (SELECT *, unnest(range(3, 9)) AS n FROM bare) WHERE length(q) >= n)),
+wanted AS (SELECT DISTINCT g FROM grams),
+has AS (SELECT DISTINCT s.chunk_id, s.g FROM (SELECT chunk_id, substr(h, i, n) AS g FROM (SELECT *, unnest(range(1, length(h) - n + 2)) AS i FROM (SELECT chunk_id, h, unnest(range(3, 9)) AS n FROM hay))) s SEMI JOIN wanted USING (g)),
+pairs AS (SELECT g.query_id, h.chunk_id, count(*) AS n FROM has h JOIN grams g USING (g) GROUP BY g.query_id, h.chunk_id),
+both_sums AS (SELECT query_id, chunk_id, round(coalesce(k.s, 0.0) + least(1.0, 0.1 * coalesce(p.n, 0)), 4) AS score FROM pairs p FULL JOIN kw k USING (query_id, chunk_id)),
+scored AS (SELECT b.query_id, b.chunk_id, h.path, b.score FROM both_sums b JOIN hay h USING (chunk_id)),
+places AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) - 1 AS rank0 FROM scored WHERE score > 0)"""
 )
+
+
+@query(KEYWORD + " SELECT * FROM places WHERE rank0 < 8")
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.keyword_scores(base.questions(spark, sf_dir), base.pages(spark, sf_dir), 8)
 
@@ -53,16 +60,24 @@ c AS (SELECT q.vec_id AS query_id, i.vec_id, round(list_dot_product(q.v, i.v) /
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank0 FROM c WHERE score >= {1}) WHERE rank0 < 8"""
 
 
-@query(COSINE.format("q.vec_id = 0 AND i.vec_id <> 0", "0.3"))
+@query(COSINE.format("q.vec_id % 20 = 0", "0.3"))
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id 20 divides against all vectors."""
     vectors = table(spark, sf_dir, "embeddings")
-    return rank.cosine_scores(vectors.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding"), vectors.where("vec_id <> 0"), 8, 0.3)
+    return rank.cosine_scores(vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), vectors, 8, 0.3)
 
 
-@query(COSINE.format("q.vec_id < 8 AND i.vec_id >= 8", "0.1"))
+@query(
+    """WITH v AS (SELECT vec_id, vec_id % 20 = 0 AS asks, vec_id // 100 AS question, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+c AS (SELECT q.question AS query_id, i.vec_id, max(round(list_dot_product(q.v, i.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(i.v, i.v))), 4)) AS score FROM v q JOIN v i ON q.asks GROUP BY q.question, i.vec_id)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank0 FROM c WHERE score >= 0.1) WHERE rank0 < 8"""
+)
 def cosine_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of up to five vectors each (those whose ids 20 divides, by hundreds): the best of its vectors counts for every row."""
     vectors = table(spark, sf_dir, "embeddings")
-    return rank.cosine_scores(vectors.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), "embedding"), vectors.where("vec_id >= 8"), 8, 0.1)
+    near = rank.cosine_scores(vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), vectors, 8, 0.1)
+    best = near.groupBy(F.floor(F.col("query_id") / 100).alias("query_id"), "vec_id").agg(F.max("score").alias("score"))
+    return rank.top(best, 8, "vec_id")
 
 
 FIELDS = "query_id, path, chunk_id, rrf_score, keyword_score, embedding_score, source, rank0"
@@ -83,19 +98,10 @@ def relative_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.relative_floor(base.fused(spark, sf_dir))
 
 
-@query(
-    "WITH "
-    + base.PAGES
-    + ", "
-    + base.QUESTIONS
-    + ", m AS (SELECT q.query_id, c.path, c.chunk_id, row_number() OVER (PARTITION BY q.query_id ORDER BY c.chunk_id) - 1 AS rank0 FROM questions q JOIN chunks c ON contains(c.text, substr(q.query, 1, 6))) SELECT query_id, path, chunk_id, rank0 FROM (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY rank0) AS k FROM m) WHERE k <= 2"
-)
+@query(KEYWORD + " SELECT query_id, path, chunk_id, rank0 FROM (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY rank0) AS k FROM places WHERE rank0 < 40) WHERE k <= 2")
 def per_file_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    begins = base.questions(spark, sf_dir).select("query_id", F.substring("query", 1, 6).alias("b"))
-    met = base.pages(spark, sf_dir).join(F.broadcast(begins), F.contains(F.col("text"), F.col("b")))
-    ranked = met.select("query_id", "path", "chunk_id", (F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id")) - 1).cast("long").alias("rank0"))
+    """Of the forty best chunks of a question, two of each file."""
+    ranked = rank.keyword_scores(base.questions(spark, sf_dir), base.pages(spark, sf_dir), 40).drop("score")
     return rank.per_file(ranked, 2)
 
 
@@ -195,15 +201,14 @@ def title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def hybrid_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of every file by greedy line folding, ranked by keywords and linked vectors, fused, capped and graded."""
-    chunks = chunk.chunk_files(base.files(spark, sf_dir))
+    chunks = stored(chunk.chunk_files(base.files(spark, sf_dir)), "chunks")
     asked = base.questions(spark, sf_dir)
     keyword = rank.keyword_scores(asked, chunks, 20)
-    vectors = table(spark, sf_dir, "embeddings")
-    near = rank.cosine_scores(vectors.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), "embedding"), vectors.where("vec_id >= 8"), 20, 0.1)
     first = chunks.where("start_line = 1").groupBy("doc_id", "path").agg(F.min("chunk_id").alias("chunk_id"))
-    linked = near.join(first, near.vec_id == first.doc_id).select(F.col("query_id").alias("q"), "path", "chunk_id", "score")
-    vector = rank.top(asked.select("query_id", (F.col("query_id") % 8).alias("q")).join(linked, "q").drop("q"), 20)
-    kept = rank.per_file(rank.relative_floor(rank.fuse(keyword, vector, 16)), 2)
+    vector = base.linked_vectors(spark, sf_dir, first, 20, 0.1).join(first, "doc_id").drop("doc_id")
+    kept = stored(rank.per_file(rank.relative_floor(rank.fuse(keyword, vector, 16)), 2), "kept")
     text = chunks.select("chunk_id", "heading", F.substring("text", 1, 1200).alias("snippet"))
-    rows = kept.join(text, "chunk_id").join(F.broadcast(asked), "query_id").withColumn("group_id", F.lit(None).cast("string"))
+    few = kept.select("chunk_id").distinct()
+    met = text.join(F.broadcast(few) if kept.count() <= 1_000_000 else few, "chunk_id", "left_semi")  # only texts of rows that are left travel
+    rows = kept.join(met, "chunk_id").join(asked, "query_id").withColumn("group_id", F.lit(None).cast("string"))
     return evidence.confidence(rows)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 # Event types as job states.
 STATES = {"view": "building", "click": "building", "purchase": "ready", "signup": "cancelling", "error": "failed"}
 
@@ -41,11 +42,7 @@ def _folder(sf_dir: str) -> str:
 def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
     """Starts a stream over what is there, waits for its end, and returns what it wrote to a table in the shared folder."""
     spark = stream.sparkSession
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
-    root = root or tempfile.mkdtemp(prefix="spark-stream-")
-    path = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
         part = "" if mode == "complete" else f"/batch={number}"  # a batch that is run again after a failure replaces itself

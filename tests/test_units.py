@@ -90,7 +90,8 @@ def test_vectors_that_match_nothing(spark):
 def test_slots_go_to_groups_first(spark):
     rows = [(1, f"d{i}", i, None, i) for i in range(8)] + [(1, f"g{i}", 10 + i, "g", i) for i in range(6)]
     got = evidence.allocate_slots(spark.createDataFrame(rows, "query_id long, chunk_id string, rank0 long, group_id string, group_order long"), 8).collect()
-    assert sorted(r.chunk_id for r in got) == ["d0", "d1", "d2", "d3", "g0", "g1", "g2", "g3"]
+    # one slot for the group, then direct rows by rank; a group without a parent comes after them, when no slot is left
+    assert sorted(r.chunk_id for r in got) == ["d0", "d1", "d2", "d3", "d4", "d5", "d6", "g0"]
 
 
 def test_quotes_over_lines(spark):
@@ -128,3 +129,49 @@ def test_folder_scan_follows_the_policy(spark, tmp_path):
         p.write_bytes(b"caf\xff\n")
     got = corpus.read_folder(spark, str(tmp_path)).select("path", corpus.decode(F.col("content")).alias("t")).collect()
     assert sorted((r.path, r.t) for r in got) == [("a.md", "caf�\n"), ("sub/b.TXT", "caf�\n")]
+
+
+def test_keyword_and_idf_scores_against_plain_counting(spark):
+    import math
+
+    chunks = [(f"c{i:02d}", f"x/doc-{i}.md", h, t) for i, (h, t) in enumerate([("alpha", "beta beta gamma"), ("", "Beta delta"), (None, "nothing at all"), ("gamma", ""), ("", "abcdefghijk lmnop")] * 3)]
+    asked = [(1, "beta gamma"), (2, "alpha  doc-3"), (3, "abcdefghijk"), (4, "zz"), (5, "")]
+    frame = spark.createDataFrame(chunks, "chunk_id string, path string, heading string, text string")
+    questions = spark.createDataFrame(asked, "query_id long, query string")
+    hay = {c: " ".join(x for x in (p, h, t) if x is not None).lower() for c, p, h, t in chunks}
+    terms = {q: list(dict.fromkeys(w for w in t.split() if len(w) >= 2)) or [t] for q, t in asked if t}
+    df = {t: sum(t in y for y in hay.values()) for own in terms.values() for t in own}
+    want = {}
+    for q, own in terms.items():
+        bare = "".join(dict(asked)[q].split())
+        grams = {bare[i : i + n] for n in range(3, 9) for i in range(len(bare) - n + 1)}
+        for c, p, h, _ in chunks:
+            n = {t: hay[c].count(t) for t in own if t in hay[c]}
+            s = sum(2 * k / (k + 1) * (math.log((len(chunks) + 1) / (df[t] + 1)) + 1) + 3 * (t in (h or "")) + 2 * (t in p[2:-3]) for t, k in n.items()) + 0.1 * min(10, sum(g in hay[c] for g in grams))
+            if s > 0:
+                want[q, c] = round(s, 4)
+    got = rank.keyword_scores(questions, frame, 100).collect()
+    assert {(r.query_id, r.chunk_id): r.score for r in got} == pytest.approx(want)
+    two = rank.keyword_scores(questions, frame, 2).collect()
+    assert {(r.query_id, r.rank0): r.chunk_id for r in two} == {(r.query_id, r.rank0): r.chunk_id for r in got if r.rank0 < 2}
+    idf = {(r.query_id, r.chunk_id): (r.score, r.hits) for r in rank.idf_scores(questions, frame, 100).collect()}
+    plain = {c: f"{p} {t}".lower() for c, p, _, t in chunks}
+    seen = {t: sum(t in y for y in plain.values()) for t in df}
+    for q, own in terms.items():
+        for c, p, _, _ in chunks:
+            met = [t for t in own if t in plain[c]]
+            s = sum(math.log(len(chunks) / seen[t]) * (4 if t in p[2:-3] else 1) for t in met)
+            assert idf.get((q, c), (0, 0)) == (pytest.approx(s, abs=1e-4), len(met)) if s > 1e-4 else (q, c) not in idf
+
+
+def test_cosine_in_blocks_is_cosine_at_once(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    vectors = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(60)], "vec_id long, embedding array<float>")
+    asked = vectors.where("vec_id % 5 = 0").selectExpr("vec_id AS query_id", "embedding")
+    ask = lambda: sorted(map(tuple, rank.cosine_scores(asked, vectors, 4, -1.0).collect()))
+    once = ask()
+    monkeypatch.setattr(rank, "NUMBERS_AT_ONCE", 20)
+    assert ask() == once and len(once) == 48
+    assert all(v == q and s == 1.0 for q, v, s, place in once if place == 0)
