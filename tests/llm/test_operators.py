@@ -622,7 +622,7 @@ def lm_model(seed=0):
 def lm_texts():
     words = [b"alpha", b"beta", b"gamma", b"unusualword", b"x", b"the", b"of"]
     rng = np.random.default_rng(3)
-    return [lm.text_ids(PATH, [[*(words[i] for i in rng.integers(0, len(words), n)), b""]]) for n in (0, 1, 3, 11, 20, 40, 90)]
+    return [[*(words[i] for i in rng.integers(0, len(words), n)), b""] for n in (0, 1, 3, 11, 20, 40, 90)]
 
 
 def lm_steps():
@@ -649,17 +649,26 @@ def test_attention_gradients():
 
 def test_attention_learns_and_windows_cover_every_token():
     model = lm_model()
-    texts = lm_texts()
+    place = {b"the": 4, b"gamma": 0}
+    lexicon = lm.Lexicon(PATH, lm_steps(), place, remember=3)  # forgets words between texts
+    read = [lexicon(words) for words in lm_texts()]
+    for words, (number, *_) in zip(lm_texts()[-1:], read[-1:]):
+        assert lexicon.at[number].tolist() == [place.get(w, -1) for w in words]
+        assert lexicon.crc[number].tolist() == [zlib.crc32(w) - (1 << 31) for w in words]
+    texts = [ids for _, ids, _, _ in read]
+    whole = lm._library(PATH)
+    for words, ids in zip(lm_texts(), texts):
+        assert ids.tolist() == (whole.encode(" " + b" ".join(words[:-1]).decode()) if words[:-1] else []) + [lm.END]
     raws = [np.concatenate([[lm.END], t])[: lm.WINDOW + 1].astype("<u2").tobytes() for t in texts] * 20
     model["left"] = np.linspace(0.2, 1, lm.BEGIN + 1, dtype=np.float32)
     w = lm.start_weights()
     losses = lm.fit(w, model, *lm.packed(raws), epochs=4)
     assert losses[-1] < losses[0]
-    model["weights"], model["steps"] = w, lm_steps()
+    model["weights"] = w
     scorer = lm.Scorer(model)
-    logs, gates, at = scorer(np.concatenate(texts))
+    logs, gates, at = scorer(*(np.concatenate(x) for x in zip(*(r[1:] for r in read))))
     assert at.tolist() == np.flatnonzero(model["starts"][np.concatenate(texts)]).tolist()
-    alone = [scorer(t) for t in texts]
+    alone = [scorer(*r[1:]) for r in read]
     assert np.allclose(logs, np.concatenate([a[0] for a in alone]), atol=1e-3) and np.allclose(gates, np.concatenate([a[1] for a in alone]), atol=1e-4)
     kept = dict(zip(*(x.tolist() for x in lm_steps())))
     for ids, (got, weights, _) in zip(texts, alone):
