@@ -56,6 +56,26 @@ def confidence(rows: DataFrame) -> DataFrame:
     return got.select("query_id", F.round("coverage", 4).alias("coverage"), F.round("confidence", 3).alias("confidence"), status.alias("status"))
 
 
+def evidence_status(rows: DataFrame, signs: DataFrame) -> DataFrame:
+    """(query_id, confidence, status): confidence of all rows, with what expanded rows may add to the status.
+
+    rows: those of confidence(); signs: query_id, conflict, complete (whether the structural evidence is whole). Rows that were expanded
+    don't make a question sufficient by themselves; whole structural evidence does from 0.55 on; a conflict makes partial of it.
+    """
+    views = F.when(F.col("source") == "expanded", F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    both = rows.withColumn("_direct", F.explode(views)).withColumn("query_id", F.struct("query_id", "_direct")).drop("_direct")
+    had = rows.groupBy("query_id").agg(F.bool_or(F.col("source") == "expanded").alias("expanded"))
+    of = lambda direct, c: F.max(F.when(F.col("query_id._direct") == direct, F.col(c)))
+    got = confidence(both).groupBy(F.col("query_id.query_id").alias("query_id")).agg(of(False, "confidence").alias("confidence"), of(False, "status").alias("first"), of(True, "status").alias("direct"))
+    got = got.join(had, "query_id").join(signs, "query_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("conflict", "complete")})
+    alone = F.coalesce(F.col("direct") == "sufficient", F.lit(False))
+    enough = (F.col("first") == "sufficient") & (~F.col("expanded") | alone)
+    held = F.when((F.col("first") == "sufficient") & ~enough, "partial").otherwise(F.col("first"))
+    whole = F.col("complete") & (F.col("confidence") >= 0.55)
+    status = F.when(F.col("conflict"), F.when(enough, "partial").otherwise(held)).when(enough | whole, "sufficient").otherwise(held)
+    return got.select("query_id", "confidence", status.alias("status"))
+
+
 def fit_budget(rows: DataFrame, limit: int = 9000) -> DataFrame:
     """Snippets in rank order until `limit` characters are used; the last one is cut. Adds kept_chars and cut."""
     order = Window.partitionBy("query_id").orderBy("rank0").rowsBetween(Window.unboundedPreceding, -1)

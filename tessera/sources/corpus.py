@@ -82,6 +82,42 @@ def line_blocks(rows: DataFrame) -> DataFrame:
     return out.select("path", F.concat(name, F.lit("#b"), F.format_string("%04d", "block")).alias("block_id"), F.when(F.col("titled"), "title").otherwise("text").alias("layout_type"), "start_line", "end_line")
 
 
+def valid_metadata(content: Column) -> Column:
+    """Whether a sidecar's JSON is an object of version 1 with a source path, pages as a list of objects with lists of blocks, warnings as a
+    list of strings if there, and line numbers that are whole numbers or null."""
+    whole = F.try_parse_json(content)
+    at = lambda p, kind: F.try_variant_get(whole, p, kind)
+    kind = lambda p: F.coalesce(F.schema_of_variant(at(p, "variant")), F.lit("NONE"))
+    path = kind("$.sourcePath")
+    named = ~path.isin("NONE", "VOID", "OBJECT<>") & ~F.coalesce(at("$.sourcePath", "string"), F.lit("x")).isin("", "false", "0", "[]")
+    warned = kind("$.warnings").isin("NONE", "ARRAY<STRING>") | (at("$.warnings", "string") == "[]")
+    none_null = F.forall(F.coalesce(at("$.warnings", "array<string>"), F.array().cast("array<string>")), lambda w: w.isNotNull())
+    object_ = lambda v: v.isNull() | F.schema_of_variant(v).startswith("OBJECT<")
+    number = lambda v: v.isNull() | F.schema_of_variant(v).isin("BIGINT", "VOID")
+    line = lambda b, p: number(F.try_variant_get(b, p, "variant"))
+    blocks = lambda p: F.try_variant_get(p, "$.blocks", "variant")
+    listed = lambda p: F.try_variant_get(p, "$.blocks", "array<variant>")
+    good_block = lambda b: b.isNotNull() & object_(b) & line(b, "$.lineStart") & line(b, "$.lineEnd")
+    good_page = lambda p: p.isNotNull() & object_(p) & (blocks(p).isNull() | (listed(p).isNotNull() & F.forall(listed(p), good_block)))
+    pages = at("$.pages", "array<variant>")
+    version = (at("$.schemaVersion", "double") == 1) & kind("$.schemaVersion").isin("BIGINT", "DOUBLE", "BOOLEAN", "DECIMAL(1,0)", "DECIMAL(2,1)")
+    return F.coalesce(whole.isNotNull() & version & named & warned & none_null & pages.isNotNull() & F.forall(pages, good_page), F.lit(False))
+
+
+def load_sidecars(source: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """(path, content): each file with its metadata, null without. Of the two names a sidecar may have the first that exists decides.
+
+    source: path, text; sidecars: path (of the sidecar), content. Metadata that isn't valid or is of another text (contentSha256) is left out.
+    """
+    own = sidecars.select(F.col("path").alias("_at"), F.col("content"))
+    names = F.array(F.concat("path", F.lit(".metadata.json")), F.concat(F.regexp_replace("path", r"(?<=[^/])\.[^./]*$", ""), F.lit(".metadata.json")))
+    asked = source.select("path", F.sha2("text", 256).alias("_sha"), F.posexplode(names).alias("_k", "_at"))
+    found = asked.join(own, "_at").groupBy("path").agg(F.min_by(F.struct("_sha", "content"), "_k").alias("f"))
+    stated = F.coalesce(F.get_json_object("f.content", "$.contentSha256"), F.lit(""))
+    good = found.where(valid_metadata(F.col("f.content")) & ((stated == "") | (stated == F.col("f._sha"))))
+    return source.select("path").join(good.select("path", "f.content"), "path", "left")
+
+
 def metadata_for_ranges(ranges: DataFrame, blocks: DataFrame) -> DataFrame:
     """Each range with the block of its file that shares most lines; the first of equals; null without overlap."""
     shared = F.least("r.end_line", "b.end_line") - F.greatest("r.start_line", "b.start_line") + 1

@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import evidence, guidance
+from tessera.operators import claims, evidence, guidance, matching
 from tessera.plans.answers import ROLES
 from tessera.sources import corpus
 
@@ -90,3 +90,121 @@ def test_batches_that_run_again_replace_themselves(spark, tmp_path):
     for _ in range(2):
         out.write.mode("overwrite").parquet(f"{tmp_path}/out/batch=0")
     assert spark.read.parquet(f"{tmp_path}/out").count() == 1
+
+
+def test_compatibility_forms(spark):
+    rows = spark.createDataFrame([("規程（別添）　Ａ-１", "あ［E3］い [E3]。ｱ"), ("Schöne Straße", None), (None, "")], "a string, b string")
+    got = rows.select(matching.normalize_title(F.col("a")).alias("a"), matching.normalize_line(F.col("b")).alias("b")).collect()
+    assert [tuple(r) for r in got] == [("規程別添a1", "あE3いア"), ("schönestraße", None), ("", "")]
+
+
+@pytest.mark.parametrize(
+    ("given", "number"),
+    [("12", 12), ("一二", 12), ("十", 10), ("十二", 12), ("二十", 20), ("百三", 103), ("三百四十五", 345), ("千二百", 1200), ("二千〇三", 2003), ("零", 0), ("2十3", 3 + 20)],
+)
+def test_numerals(spark, given, number):
+    assert spark.range(1).select(matching.numeral(F.lit(given))).first()[0] == number
+
+
+def test_provisions_in_order_of_naming(spark):
+    text = "第二十一条第３項及び第 4 号、第21条、第百二款"
+    assert spark.range(1).select(matching.provisions(claims.nfkc(F.lit(text)))).first()[0] == ["第21条", "第3項", "第4号", "第102款"]
+
+
+@pytest.mark.parametrize(
+    ("text", "dated"),
+    [
+        ("本通知は、令和６年４月１日から適用する。", True),
+        ("この要綱は令和元年 5月1日より施行する。", True),
+        ("令和6年4月1日から適用する", False),
+        ("なお、令和6年4月1日から適用する。", False),
+        ("令和6年4月から適用する。", False),
+    ],
+)
+def test_operative_dates(spark, text, dated):
+    assert spark.range(1).select(matching.operative_date(F.lit(text))).first()[0] is dated
+
+
+def test_follow_through_needs_exactly_one_sentence(spark):
+    duty = "申請の真正性を確認したうえで、迅速かつ適切に処理する。"
+    cases = [["前文。" + duty, "次。"], [duty, duty], ["# " + duty], ["> " + duty, "x"], []]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i long, ls array<string>")
+    got = rows.select("i", matching.follow_through(F.col("ls"))).orderBy("i").collect()
+    assert [r[1] for r in got] == [duty, "", "", "", ""]
+
+
+@pytest.mark.parametrize(
+    ("given", "path"),
+    [
+        ("rules/travel.md", "rules/travel.md"),
+        (" rules\\travel.md ", "rules/travel.md"),
+        ("/rules/travel.md", None),
+        ("//host/x.md", None),
+        ("c:/x.md", None),
+        ("x.md:stream", None),
+        ("a/../x.md", None),
+        ("./x.md", None),
+        ("a//x.md", None),
+        ("", None),
+        (".git/x.md", None),
+        ("NODE_MODULES/x.md", None),
+        ("a/secrets.yaml", None),
+        ("x.exe", None),
+    ],
+)
+def test_reference_paths(spark, given, path):
+    assert spark.range(1).select(matching.reference_path(F.lit(given))).first()[0] == path
+
+
+@pytest.mark.parametrize(
+    ("content", "valid"),
+    [
+        ('{"schemaVersion": 1, "sourcePath": "a", "pages": []}', True),
+        ('{"schemaVersion": 1, "sourcePath": "a", "pages": [{}, {"blocks": []}], "warnings": []}', True),
+        ('{"schemaVersion": 1, "sourcePath": "a", "pages": [{"blocks": [{"lineStart": 1, "lineEnd": null}]}], "warnings": ["w"]}', True),
+        ('{"schemaVersion": 1, "sourcePath": "a", "pages": [{"blocks": [{"lineStart": true}]}]}', False),
+        ('{"schemaVersion": 1, "sourcePath": "a", "pages": [{"blocks": [{"lineStart": "1"}]}]}', False),
+        ('{"schemaVersion": 1, "sourcePath": "a", "pages": [{"blocks": [{"lineEnd": 1.5}]}]}', False),
+        ('{"schemaVersion": 1, "sourcePath": "a", "pages": [{"blocks": ["x"]}]}', False),
+        ('{"schemaVersion": 1, "sourcePath": "a", "pages": [{"blocks": {}}]}', False),
+        ('{"schemaVersion": 1, "sourcePath": "a", "pages": ["x"]}', False),
+        ('{"schemaVersion": 1, "sourcePath": "a", "pages": {}}', False),
+        ('{"schemaVersion": 1, "sourcePath": "a"}', False),
+        ('{"schemaVersion": 1, "sourcePath": "a", "pages": [], "warnings": [1]}', False),
+        ('{"schemaVersion": 1, "sourcePath": "a", "pages": [], "warnings": "w"}', False),
+        ('{"schemaVersion": 1, "sourcePath": "", "pages": []}', False),
+        ('{"schemaVersion": 2, "sourcePath": "a", "pages": []}', False),
+        ('{"schemaVersion": "1", "sourcePath": "a", "pages": []}', False),
+        ('["x"]', False),
+        ("no json", False),
+    ],
+)
+def test_sidecar_rules(spark, content, valid):
+    assert spark.createDataFrame([(content,)], "c string").select(corpus.valid_metadata(F.col("c"))).first()[0] is valid
+
+
+@pytest.mark.parametrize(
+    ("kind", "gates", "still", "removed", "corrected", "state"),
+    [
+        ("answer", ["passed"] * 4, [], 0, 0, "passed"),
+        ("fallback", ["passed"] * 4, [], 0, 0, "failed"),
+        ("answer", ["passed"] * 4, [""], 0, 0, "passed"),
+        ("answer", ["passed"] * 4, ["期限"], 0, 0, "partial"),
+        ("answer", ["failed", "passed", "passed", "passed"], ["期限"], 1, 0, "partial"),
+        ("answer", ["passed", "passed", "passed", "failed"], ["期限"], 0, 0, "needs_review"),
+        ("answer", ["passed"] * 4, [], 1, 0, "needs_review"),
+        ("answer", ["passed"] * 4, [], 0, 1, "needs_review"),
+        ("answer", ["passed", None, "passed", "passed"], [], 0, 0, "needs_review"),
+    ],
+)
+def test_quality_states(spark, kind, gates, still, removed, corrected, state):
+    rows = spark.createDataFrame([(kind, *gates, still, removed, corrected)], "k string, a string, b string, c string, d string, s array<string>, r int, x int")
+    assert rows.select(claims.quality_state(F.col("k"), [F.col(c) for c in "abcd"], F.col("s"), F.col("r"), F.col("x"))).first()[0] == state
+
+
+def test_pinned_documents_are_whole_or_nothing(spark):
+    rows = spark.createDataFrame([(1, "a", "a1"), (1, "b", "b1"), (1, "c", "c1"), (2, "a", "a1"), (3, "d", "d1"), (4, "a", "a1")], "query_id long, path string, chunk_id string")
+    members = spark.createDataFrame([(1, "a", "A"), (1, "b", "B"), (2, "a", "A"), (2, "b", "old"), (3, "d", "D")], "query_id long, path string, sha256 string")
+    present = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "path string, sha256 string")
+    got = matching.restrict_to_documents(rows, members, present).collect()
+    assert sorted((r.query_id, r.path) for r in got) == [(1, "a"), (1, "b")]
