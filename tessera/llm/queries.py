@@ -1,18 +1,18 @@
-"""The queries of the ten operators, applied to their whole tables."""
+"""The queries of the thirteen operators, applied to their whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, lm, media, quality, secrets, simhash, spread, toxicity
+from . import bpe, decontaminate, langid, lexical, lm, media, quality, secrets, simhash, spread, tokenfile, toxicity, vectors
 from .common import read
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path(name)
 
 
 def op1_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,5 +63,21 @@ def op10_decontam_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_fm, op2_secret_markov, op3_line_spread, op4_media_tiles, op5_simhash_vptree, op6_bpe_codec, op7_toxicity_automata, op8_lm_attention, op9_langid_subword, op10_decontam_index)}
-ORACLES: dict[str, str] = {"op3_line_spread": spread.ORACLE}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_files(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.compress(read(spark, sf_dir, "embeddings"))[0]
+
+
+def op13_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
+
+
+_EVERY = (
+    op1_quality_fm, op2_secret_markov, op3_line_spread, op4_media_tiles, op5_simhash_vptree, op6_bpe_codec, op7_toxicity_automata, op8_lm_attention, op9_langid_subword, op10_decontam_index,
+    op11_token_files, op12_vector_codes, op13_best_position,
+)
+QUERIES = {f.__name__: f for f in _EVERY}
+ORACLES: dict[str, str] = {"op3_line_spread": spread.ORACLE, "op12_vector_codes": vectors.ORACLE, "op13_best_position": lexical.ORACLE}
