@@ -16,9 +16,11 @@ Files are written by pyarrow's file systems (local, HDFS, S3, GCS) and read by S
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,50 +70,89 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int, step: int = 1 << 20) -
     return out
 
 
+#: Words that the vocabulary's rules leave in one piece, whatever stands beside them: small Latin letters, composed.
+ONE_PIECE = re.compile("[a-zß-öø-ÿ]+").fullmatch
+#: A mark after a letter begins a piece of its own.
+MARKED = re.compile(rb"([a-z])([.,;:!?])").sub
+
+
 class Encoder:
     """Token ids of texts by the tokenizers library; words between ASCII white space are encoded apart and remembered.
 
-    The vocabulary drops white space and no step of it looks past it, so the ids are those of whole texts.
+    The vocabulary drops white space and no step of it looks past it, so the ids are those of whole texts. It also lower-cases, and takes a mark
+    apart from the letter before it, so both may be done first: fewer words are new then. Only texts that may hold special tokens, which are
+    looked for in the text as it is, are left alone.
     """
 
-    def __init__(self, path: str, most: int = 200_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 500_000, longest: int = 64):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
-
-    def __call__(self, text: str | None) -> bytes:
-        words = (text or "").encode("utf-8", "replace").split()
-        fresh = [w for w in set(words).difference(self.known)]
+        self.last = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)  # ids that end a piece
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, words: list[bytes]) -> None:
+        """Learns words: those of one piece many at a time, cut where a piece ends."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = [k for k, t in enumerate(texts) if ONE_PIECE(t)]
+        rest = set(range(len(words))).difference(plain)
+        parts = [plain[at : at + 500] for at in range(0, len(plain), 500)]
+        for part, ids in zip(parts, self._ids([" ".join(texts[k] for k in part) for part in parts])):
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):
+                rest.update(part)
+                continue
+            size, whole = ids.itemsize, ids.tobytes()
+            begin = 0
+            for k, end in zip(part, (ends * size).tolist()):
+                self.known[words[k]] = whole[begin:end]
+                begin = end
+        left = sorted(rest)
+        for at in range(0, len(left), 5000):
+            own = left[at : at + 5000]
+            self.known.update((words[k], ids.tobytes()) for k, ids in zip(own, self._ids([texts[k] for k in own])))
+
+    def words(self, text: str | None) -> list[bytes]:
+        raw = (text or "").encode("utf-8", "replace")
+        return raw.split() if b"<|" in raw else MARKED(rb"\1 \2", raw.lower()).split()
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        cut = [self.words(t) for t in texts]
+        met = set().union(*cut)
+        fresh = met.difference(self.known)
         if len(self.known) + len(fresh) > self.most:
-            self.known, fresh = {}, list(set(words))
-        for at in range(0, len(fresh), 10_000):
-            part = fresh[at : at + 10_000]
-            self.known.update(zip(part, self._encode(part)))
-        out = b"".join(map(self.known.__getitem__, words))
+            self.known = {w: self.known[w] for w in met.difference(fresh)}  # words that go on occurring
+        self._new(list(fresh))
+        out = [b"".join(map(self.known.__getitem__, words)) for words in cut]
         for w in fresh:
             if len(w) > self.longest:
                 del self.known[w]
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """This worker's encoder: the words it knows serve its next tasks too."""
+    return Encoder(path)
+
+
 def encode(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored (key, digest, number, wide, ids): ids of every text and the end id, as little-endian unsigned integers of two or four bytes."""
 
     def start():
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         end = np.array([end_id], encoder.kind).tobytes()
         task, row = TaskContext.get().partitionId(), iter(range(1 << 40))
 
         def work(cols):
             keys, texts = cols
-            ids = [encoder(t) + end for t in texts]
+            ids = [x + end for x in encoder(texts)]
             return [keys, [zlib.crc32(x) for x in ids], [(task << 40) + next(row) for _ in ids], [encoder.kind == "<u4"] * len(ids), ids]
 
         return work

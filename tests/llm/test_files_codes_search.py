@@ -114,7 +114,18 @@ def test_token_files_damage_is_seen():
 def test_encoder_forgets_and_stays_right():
     few = tokenfile.Encoder(WORDS, most=5, longest=6)
     for t in TEXTS:
-        assert np.frombuffer(few(t), few.kind).tolist() == slow_ids(t)[:-1]
+        assert np.frombuffer(few([t])[0], few.kind).tolist() == slow_ids(t)[:-1]
+
+
+def test_encoder_is_the_librarys_on_random_strings():
+    import random
+
+    rng, own = random.Random(2), tokenfile.Encoder(WORDS, most=2000)
+    letters = "abcIİéE\u0301ßΣς' .,;:!?\n\u00a0\u001c<|>12²漢字🙂-)ſK"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["<|endoftext|> A.b <|ENDOFTEXT|>", "THE Cat's, isn't.) we'LL!?"]
+    for at in range(0, len(texts), 100):
+        part = texts[at : at + 100]
+        assert [np.frombuffer(x, own.kind).tolist() for x in own(part)] == [slow_ids(t)[:-1] for t in part]
 
 
 # ---- vector codes
