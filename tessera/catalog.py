@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import answers, claims, corpus, evaluation, evidence, guidance, index, ranking, rules, state, structure, text  # noqa: F401  (importing registers)
+from .plans import answers, claims, corpus, evaluation, evidence, guidance, index, quotes, ranking, rules, state, structure, text, units  # noqa: F401  (importing registers)
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "hybrid_flagship"

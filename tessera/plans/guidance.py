@@ -66,15 +66,6 @@ def role_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.classify_role(own).select("chunk_id", "role", "confidence")
 
 
-@query()
-def section_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far the top sections of every file are read within 1000 characters."""
-    rows = base.md(spark, sf_dir)
-    whole = rows.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", (F.length("line") + 1).alias("n")))), lambda x: x["n"]).alias("ls"))
-    units = base.sections(spark, sf_dir).where("level = 2").join(whole, "path").select("path", F.col("line_no").alias("start_line"), F.col("section_end").alias("end_line"), F.slice("ls", F.col("line_no").cast("int"), (F.col("section_end") - F.col("line_no") + 1).cast("int")).alias("costs"))
-    return G.share_budget(units, 1000)
-
-
 @query(
     "WITH "
     + base.FILES
