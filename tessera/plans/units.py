@@ -10,7 +10,8 @@ from ..registry import query
 from . import base
 
 #: A line of a notice from a document's line; the same text in both dialects.
-NOTICE_LINE = """CASE WHEN doc_id % 11 = 3 AND line_no IN (1, 4) THEN '---'
+NOTICE_LINE = """CASE WHEN doc_id % 5 = 1 AND line_no BETWEEN 3 AND 5 THEN CASE line_no WHEN 3 THEN '## 3 適用日' WHEN 4 THEN '令和6年4月1日から適用する。' ELSE '## 取扱い' END
+ WHEN doc_id % 11 = 3 AND line_no IN (1, 4) THEN '---'
  WHEN line_no = 1 + doc_id % 2 AND doc_id % 3 = 0 THEN '# ' || line
  WHEN line_no % 6 = 0 AND doc_id % 9 <> 2 THEN '## ' || CASE (doc_id + line_no) % 4 WHEN 0 THEN '照会先' WHEN 1 THEN '3 適用日' WHEN 2 THEN '取扱い' ELSE line END
  WHEN line_no % 10 = 9 AND doc_id % 9 <> 2 THEN '### ' || line
