@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import index
+from ..operators import build, index, structure
 from ..registry import query, table
+from ..session import shared_folder
+from ..sources import corpus
 from . import base
 
 OLD = (
@@ -73,3 +77,31 @@ def index_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), index.valid_vector(F.col("embedding"), 64).alias("right_size"))
     first = base.pages(spark, sf_dir).where(F.col("chunk_id").endswith("#0001")).select("path", "chunk_id").join(own, "path")
     return first.join(vectors, "doc_id", "left").select("chunk_id", F.col("right_size").isNotNull().alias("has_vector"), "right_size")
+
+
+@query(
+    "WITH "
+    + base.PAGES.replace("FROM documents)", "FROM documents WHERE doc_id % 9 <> 5)", 1)
+    + ", old AS (SELECT path FROM files WHERE doc_id % 10 <> 3 AND doc_id % 7 <> 0) SELECT c.path, c.chunk_id, sha256(c.text) AS text_sha256, sha256(f.text) AS file_sha256, CAST(16 AS INT) AS dimension, o.path IS NOT NULL AS reused FROM chunks c JOIN files f USING (path) LEFT JOIN old o USING (path)"
+)
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index built over files of which every tenth isn't there yet and every seventh reads otherwise, then brought up to the files as they are.
+
+    The builds are told apart by their vectors' first components: what the second one embeds has a fixed one.
+    """
+    own, k = base.files(spark, sf_dir), F.col("doc_id")
+    before = own.where(k % 10 != 3).withColumn("text", F.when(k % 7 == 0, F.concat(F.lit("old"), "text")).otherwise(F.col("text")))
+    root = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    kept = build.Index(spark, root)
+    kept.build(_chunks(before), build.Model("stand-in", "1", index.hashed_embedding))
+    kept.build(_chunks(own.where(k % 9 != 5)), build.Model("stand-in", "1", marked_embedding))
+    return kept.entries().select("path", "chunk_id", "text_sha256", "file_sha256", F.size("embedding").alias("dimension"), (F.get("embedding", F.lit(0)) != 1000).alias("reused"))
+
+
+def marked_embedding(texts: list[str]) -> list[list[float]]:
+    return [[1000.0, *v[1:]] for v in index.hashed_embedding(texts)]
+
+
+def _chunks(files: DataFrame) -> DataFrame:
+    pages = structure.page_chunks(corpus.with_headings(corpus.lines(files))).select("path", "chunk_id", F.sha2("text", 256).alias("text_sha256"), "text")
+    return pages.join(files.select("path", F.sha2("text", 256).alias("file_sha256")), "path").select(*build.CHUNK, "text")
