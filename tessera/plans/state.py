@@ -77,3 +77,35 @@ def session_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def state_machine_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest states kept by a stateful stream operator."""
     return jobs.state_stream(spark, sf_dir)
+
+
+@query(
+    "WITH RECURSIVE "
+    + JOBS
+    + """, n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ts, event_id) AS i FROM jobs),
+w AS (SELECT job, event_id, i, state, true AS taken FROM n WHERE i = 1
+ UNION ALL SELECT n.job, n.event_id, n.i, CASE WHEN t.ok THEN n.state ELSE w.state END, t.ok FROM w JOIN n ON n.job = w.job AND n.i = w.i + 1,
+  LATERAL (SELECT CASE WHEN w.state = 'cancelling' THEN n.state IN ('cancelling', 'cancelled') WHEN w.state IN ('ready', 'cancelled', 'failed') THEN n.state IN (w.state, 'building') ELSE true END AS ok) t)
+SELECT event_id, job, taken FROM w"""
+)
+def status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which events a stream takes as the next state of their job: refused ones leave it as it is."""
+    return jobs.status_answers(spark, sf_dir)
+
+
+@query()
+def confirmation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of every user's store of confirmations (held against a replay in the tests)."""
+    return jobs.answers(spark, sf_dir, "confirmations")
+
+
+@query()
+def job_table_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of every user's table of jobs."""
+    return jobs.answers(spark, sf_dir, "jobs")
+
+
+@query()
+def conversation_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of every user's store of conversations."""
+    return jobs.answers(spark, sf_dir, "conversations")
