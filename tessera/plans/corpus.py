@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import chunk
+from ..operators import chunk, reading
 from ..registry import query, table
 from ..sources import corpus
 from . import base
@@ -45,17 +45,19 @@ def lines_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH "
+    "WITH RECURSIVE "
     + base.LINES
-    + """, run AS (SELECT path, line_no, sum(length(line) + 1) OVER (PARTITION BY path ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS upto, length(line) + 1 AS cost FROM lines)
-SELECT path, CAST((upto - cost) // 4000 + 1 AS BIGINT) AS page, min(line_no) AS start_line, max(line_no) AS end_line, CAST(sum(cost) AS BIGINT) AS n_chars FROM run GROUP BY path, (upto - cost) // 4000"""
+    + """, run AS MATERIALIZED (SELECT path, line_no, length(line) AS n, sum(length(line) + 1) OVER (PARTITION BY path ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS past FROM lines), tops AS (SELECT path, max(line_no) AS n_lines FROM run GROUP BY path),
+pages AS (SELECT path, CAST(0 AS BIGINT) AS portion, CAST(1 AS BIGINT) AS next_line, CAST(0 AS BIGINT) AS next_char, CAST(0 AS BIGINT) AS start_line, CAST(0 AS BIGINT) AS end_line, CAST(0 AS BIGINT) AS char_start, CAST(0 AS BIGINT) AS char_end FROM tops
+ UNION ALL SELECT p.path, p.portion + 1, CASE WHEN cut THEN p.next_line ELSE last + 1 END, CASE WHEN cut THEN p.next_char + 4000 ELSE 0 END, p.next_line, last, p.next_char, CASE WHEN cut THEN p.next_char + 4000 ELSE last_n END
+  FROM pages p, LATERAL (SELECT a.n - p.next_char > 4000 AS cut, CASE WHEN a.n - p.next_char > 4000 THEN a.line_no ELSE max(b.line_no) END AS last, arg_max(b.n, b.line_no) AS last_n FROM run a LEFT JOIN run b ON b.path = a.path AND b.line_no >= a.line_no AND b.past - a.past + a.n - p.next_char <= 4000 WHERE a.path = p.path AND a.line_no = p.next_line GROUP BY a.line_no, a.n))
+SELECT path, portion, start_line, end_line, char_start, char_end FROM pages WHERE portion > 0"""
 )
 def line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of whole lines: a line belongs to the page in which it begins."""
-    order = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    cost = F.length("line") + 1
-    run = base.lines(spark, sf_dir).withColumn("page", F.floor((F.sum(cost).over(order) - cost) / 4000) + 1)
-    return run.groupBy("path", "page").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.sum(cost).cast("long").alias("n_chars"))
+    """Files in pages of at most 4000 characters: whole lines, or a part of a longer line, of which the rest begins the next page."""
+    rows = base.lines(spark, sf_dir)
+    whole = rows.groupBy(F.col("path").alias("range_id"), "path").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"))
+    return reading.portions(rows, whole, reading.fold_pages).withColumnRenamed("range_id", "path")
 
 
 # The fold of chunk_lines as a recursion over line numbers: one step a line, which closes no, one or two chunks.
