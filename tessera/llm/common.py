@@ -41,6 +41,15 @@ def materialize(df: DataFrame, name: str, compression: str | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_names(taken: list[str], n: int) -> list[str]:
+    """`n` column names that aren't among `taken` (column names don't tell capitals apart)."""
+    lower = {c.lower() for c in taken}
+    stem = "__own"
+    while any(c.startswith(stem) for c in lower):
+        stem += "_"
+    return [f"{stem}{k}" for k in range(n)]
+
+
 def _cuts(batch: pa.RecordBatch, rows: int, size: int) -> list[int]:
     """Where slices begin: of at most `rows` rows and of about `size` bytes, or of one row."""
     cuts, held = [0], 0

@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, join_by_class, map_batches, materialize
+from .common import fresh_names, give_back, join_by_class, map_batches, materialize
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 
@@ -223,6 +223,21 @@ def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(words[i : i + size]), SEED) for i in range(max(1, len(words) - size + 1))] if words else [], np.uint64))
 
 
+SKETCH = 256
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many members of a set fall into each of 256 parts of the hashes' range. Two sets share no more members than the lesser counts add up to."""
+    return np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=SKETCH).astype("<u4").tobytes()
+
+
+def may_be_similar(x: list[bytes], y: list[bytes], similarity: float) -> np.ndarray:
+    """Whether the sketches of two sets leave room for the similarity."""
+    a, b = (np.frombuffer(b"".join(side), "<u4").reshape(-1, SKETCH).astype(np.int64) for side in (x, y))
+    most = np.minimum(a, b).sum(1)
+    return most >= similarity * (a.sum(1) + b.sum(1) - most) - 1e-9
+
+
 def prefix_size(n: int, similarity: float) -> int:
     """Sets of the similarity share one of so many first members at least, in any order that holds for all sets."""
     return n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
@@ -322,7 +337,7 @@ def similar_rows(docs: DataFrame, id_col: str, text_col: str, words: int, simila
         hot, count = shared.value
 
         def work(cols):
-            keys, sizes, firsts = [], [], []
+            keys, sizes, firsts, sketches = [], [], [], []
             for t in cols[2]:
                 h = shingle_hashes(t.encode("utf-8", "surrogatepass"), words)
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()))
@@ -332,12 +347,13 @@ def similar_rows(docs: DataFrame, id_col: str, text_col: str, words: int, simila
                     times = np.where(hot[at] == h, count[at], 0)
                 sizes.append(len(h))
                 firsts.append(h[np.lexsort((h, times))[: prefix_size(len(h), similarity)]].view(np.int64))
-            return [cols[0], cols[1], cols[3], keys, sizes, firsts]
+                sketches.append(sketch(h))
+            return [cols[0], cols[1], cols[3], keys, sizes, firsts, sketches]
 
         return work
 
     numbered = made.withColumn("row", F.monotonically_increasing_id())
-    marked = materialize(map_batches(numbered, f"i {kind}, th string, row long, key binary, n long, first array<long>", start, 128), "marked")
+    marked = materialize(map_batches(numbered, f"i {kind}, th string, row long, key binary, n long, first array<long>, sketch binary", start, 128), "marked", "zstd")
     classes = materialize(marked.groupBy("key").agg(F.min("row").alias("r"), F.count("*").alias("n")), "keys")
     points = marked.join(classes.select(F.col("r").alias("row")), "row", "left_semi")
     postings = points.select(F.col("row").alias("r"), "n", F.posexplode("first").alias("p", "h")).select("h", "n", F.col("p").cast("long").alias("p"), "r")
@@ -351,15 +367,36 @@ def similar_rows(docs: DataFrame, id_col: str, text_col: str, words: int, simila
     listed = lambda df: df.repartition("h").sortWithinPartitions("h", "n", "r")
     lists = materialize(listed(postings).mapInArrow(met, "h long, n long, p long, r long"), "lists")
 
+    def of_rows(table: DataFrame, key: Column, rows: DataFrame) -> DataFrame:
+        """Rows of a table whose key is among the rows' k: what isn't needed isn't moved if they are few."""
+        return table.join(F.broadcast(rows) if rows.count() <= 1_000_000 else rows.hint("shuffle_hash"), key == F.col("k"), "left_semi")
+
+    def ends(links: DataFrame) -> DataFrame:
+        return materialize(links.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "ends")
+
+    def room_left(batches):
+        for batch in batches:
+            keep = may_be_similar(batch.column(2).to_pylist(), batch.column(3).to_pylist(), similarity) if batch.num_rows else np.zeros(0, bool)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    def close(links: DataFrame) -> DataFrame:
+        """Links that the sketches of their ends allow."""
+        own = of_rows(marked.select("row", "sketch"), F.col("row"), ends(links))
+        both = links.join(own.select(F.col("row").alias("a"), F.col("sketch").alias("x")), "a").join(own.select(F.col("row").alias("b"), F.col("sketch").alias("y")), "b")
+        return materialize(both.select("a", "b", "x", "y").mapInArrow(room_left, "a long, b long"), "close")
+
     def whole():
         return lambda cols: [cols[0], [shingle_hashes(t.encode("utf-8", "surrogatepass"), words).view(np.int64) for t in cols[1]]]
 
-    members = materialize(marked.join(lists.select(F.col("r").alias("row")).distinct(), "row", "left_semi").select("row", "th"), "members")
-    some = made
-    if members.count() <= 1_000_000:  # few: hashes of their texts go to the tasks, and other texts aren't moved
-        some = made.join(F.broadcast(members.select(F.xxhash64("th").alias("k")).distinct()), F.xxhash64(made["th"]) == F.col("k"), "left_semi")
-    texts = some.join(members.select("th").distinct().hint("shuffle_hash"), "th", "left_semi").groupBy("th").agg(F.min("t").alias("t"))
-    sets = materialize(map_batches(texts.join(members, "th").select("row", "t"), "r long, s array<long>", whole, 64), "sets")
+    def similar(links: DataFrame) -> DataFrame:
+        """Links that hold on the whole sets of their ends, worked out anew from the texts."""
+        members = materialize(of_rows(marked.select("row", "th"), F.col("row"), ends(links)), "members")
+        some = of_rows(made, F.xxhash64("th"), members.select(F.xxhash64("th").alias("k")).distinct())
+        texts = some.join(members.select("th").distinct().hint("shuffle_hash"), "th", "left_semi").groupBy("th").agg(F.min("t").alias("t"))
+        sets = materialize(map_batches(texts.join(members, "th").select("row", "t"), "r long, s array<long>", whole, 64), "sets")
+        both = links.join(sets.select(F.col("r").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("r").alias("b"), F.col("s").alias("y")), "b")
+        shared_by = F.size(F.array_intersect("x", "y"))
+        return materialize(both.where(shared_by >= similarity * (F.size("x") + F.size("y") - shared_by) - 1e-9).select("a", "b"), "sure")
 
     roots = spark.createDataFrame([], "node long, root long")
     tried, low, high, more = spark.createDataFrame([], "a long, b long"), 0, 4, True
@@ -377,9 +414,7 @@ def similar_rows(docs: DataFrame, id_col: str, text_col: str, words: int, simila
         found = materialize(found.join(tried, ["a", "b"], "left_anti"), "pairs")
         more = bool(found.where("a < 0").limit(1).count())
         found = found.where("a >= 0")
-        both = found.join(sets.select(F.col("r").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("r").alias("b"), F.col("s").alias("y")), "b")
-        shared_by = F.size(F.array_intersect("x", "y"))
-        sure = materialize(both.where(shared_by >= similarity * (F.size("x") + F.size("y") - shared_by) - 1e-9).select("a", "b"), "sure")
+        sure = similar(close(found))
         if sure.limit(1).count():
             roots = components(sure.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         tried, low, high = tried.unionByName(found), high, 8 * high
@@ -393,8 +428,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     component_id is the least id of the component, null if nobody in it has one.
     """
     rows = materialize(similar_rows(docs, id_col, text_col, words, similarity), "classes")
-    least = rows.groupBy("root").agg(F.min("i").alias("component_id"))
-    return rows.join(least, "root").select(F.col("i").alias(id_col), "component_id")
+    least = materialize(rows.groupBy("root").agg(F.min("i").alias("component_id"), F.count("*").alias("n")), "least")
+    return join_by_class(rows, least, "root", rows.count()).select(F.col("i").alias(id_col), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -404,9 +439,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """
     rows = materialize(similar_rows(docs, id_col, text_col, words, similarity), "classes")
     own = F.struct(F.col("i").isNull().alias("none"), "i", "th")
-    least = rows.groupBy("root").agg(F.min(own).alias("kept"))
-    out = rows.join(least, "root").where(~own.eqNullSafe(F.col("kept"))).select(F.col("i").alias("__k"), F.col("th").alias("__t")).distinct()
-    th = F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary"))
-    kept = docs.join(out.hint("shuffle_hash"), (th == out["__t"]) & docs[id_col].eqNullSafe(out["__k"]), "left_anti")  # keys are small beside texts
+    least = materialize(rows.groupBy("root").agg(F.min(own).alias("kept"), F.count("*").alias("n")), "least")
+    key, th = fresh_names(docs.columns, 2)
+    out = join_by_class(rows, least, "root", rows.count()).where(~own.eqNullSafe(F.col("kept"))).select(F.col("i").alias(key), F.col("th").alias(th)).distinct()
+    of_text = F.md5(F.coalesce(docs[f"`{text_col}`"], F.lit("")).cast("binary"))
+    kept = docs.join(out.hint("shuffle_hash"), (of_text == out[th]) & docs[f"`{id_col}`"].eqNullSafe(out[key]), "left_anti")  # keys are small beside texts
     repeated = rows.groupBy("i", "th").count().where("count > 1").limit(1).count()
-    return kept.withColumn("__t", F.md5(F.coalesce(text_col, F.lit("")).cast("binary"))).dropDuplicates([id_col, "__t"]).drop("__t") if repeated else kept
+    return kept.withColumn(th, F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))).dropDuplicates([id_col, th]).drop(th) if repeated else kept

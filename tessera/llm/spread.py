@@ -5,8 +5,9 @@ is clearly above the threshold are cross-site boilerplate, those clearly below a
 exact distinct counts. Of a boilerplate line the first occurrence (least id, then position) stays, the others go.
 
 Lines are compared as they are, by two independent 64-bit hashes; lines of blanks only never go. A null text has no lines
-and stays null; a null site is a site of its own. Rows repeated under one id share what they lose; a row without an id is
-treated like any id. All columns of the input are kept, whatever their names; an empty table stays empty.
+and stays null; a null site is a site of its own. Rows are told apart by id, site and text, so rows without an id and rows repeated under one id with
+another text or site each lose their own lines; only rows equal in all three share what they lose (of ids in order missing ones
+come first, then places by text). All columns of the input are kept, whatever their names; an empty table stays empty. Texts are read whole, however long.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh_names, materialize
 
 LG_K = 12
 #: Five standard errors of a sketch of 2^12 registers, and one site more for small counts.
@@ -27,15 +28,22 @@ def _hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
+def _row_key(text: Column, site: Column) -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(text, F.coalesce(site.cast("string"), F.lit("\x00")))
+
+
 def line_table(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """(id, pos, h1, h2, site): a row for every line that isn't blank."""
-    cut = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(site_col).cast("string"), F.lit("\x00")).alias("site"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
-    return cut.where(F.trim("line") != "").select("id", "pos", *_hashes(F.col("line")), F.xxhash64("site").alias("site"))
+    """(id, key, pos, h1, h2, site): a row for every line that isn't blank."""
+    site = F.coalesce(F.col(f"`{site_col}`").cast("string"), F.lit("\x00"))
+    cut = docs.select(F.col(f"`{id_col}`").alias("id"), _row_key(F.col(f"`{text_col}`"), F.col(f"`{site_col}`")).alias("key"), site.alias("site"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n", -1)).alias("pos", "line"))
+    return cut.where(F.trim("line") != "").select("id", "key", "pos", *_hashes(F.col("line")), F.xxhash64("site").alias("site"))
 
 
 def line_spread(lines: DataFrame) -> DataFrame:
-    """(h1, h2, n, est, first): occurrences, estimated sites, and the first place of every line."""
-    seen = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min(F.struct("id", "pos")).alias("first"))
+    """(h1, h2, n, est, first): occurrences, estimated sites, and the first place of every line (its key too, if lines have one)."""
+    place = F.struct(*(c for c in ("id", "pos", "key") if c in lines.columns))
+    seen = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min(place).alias("first"))
     return seen.select("h1", "h2", "n", F.hll_sketch_estimate("sketch").alias("est"), "first")
 
 
@@ -55,22 +63,26 @@ def drop_spread_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     total = lines.count()
     hot = found.where(F.col("n") * HOT > total)
     rest = found.where(F.col("n") * HOT <= total)
-    place = ["id", "pos", "h1", "h2", "first"]
+    place = ["id", "key", "pos", "h1", "h2", "first"]
     met = lines.join(F.broadcast(hot), ["h1", "h2"]).select(place).unionByName(lines.join(rest, ["h1", "h2"]).select(place))
-    gone = met.where(~F.struct("id", "pos").eqNullSafe(F.col("first"))).groupBy("id").agg(F.collect_set(F.struct("pos", "h1", "h2")).alias("__gone")).select(F.col("id").alias("__id"), "__gone")
+    # Own columns take names that the input doesn't have.
+    own_id, own_key, gone_at, cut, at = fresh_names(docs.columns, 5)
+    gone = met.where(~F.struct("id", "pos", "key").eqNullSafe(F.col("first"))).groupBy("id", "key").agg(F.collect_set(F.struct("pos", "h1", "h2")).alias(gone_at)).select(F.col("id").alias(own_id), F.col("key").alias(own_key), gone_at)
     base = docs.drop("n_lines", "n_dropped")
     # Places to drop are small beside texts: hashing them spares sorting the texts.
-    joined = base.join(gone.hint("shuffle_hash"), base[id_col].eqNullSafe(gone["__id"]), "left")
-    joined = joined.withColumn("__cut", F.split(F.col(text_col), "\n", -1))
-    held = lambda g: F.struct(g["pos"].alias("pos"), *_hashes(F.get("__cut", g["pos"]))) == g  # noqa: E731  rows of one id may differ in text
-    joined = joined.withColumn("__at", F.coalesce(F.transform(F.filter(F.array_sort("__gone"), held), lambda g: g["pos"]), F.array().cast("array<int>")))
-    size, n = F.size("__cut"), F.size("__at")
+    same = (_row_key(base[f"`{text_col}`"], docs[f"`{site_col}`"]) == gone[own_key]) & base[f"`{id_col}`"].eqNullSafe(gone[own_id])
+    joined = base.join(gone.hint("shuffle_hash"), same, "left")
+    text = F.col(f"`{text_col}`")
+    joined = joined.withColumn(cut, F.split(text, "\n", -1))
+    held = lambda g: F.struct(g["pos"].alias("pos"), *_hashes(F.get(cut, g["pos"]))) == g  # noqa: E731  keys are hashes: the lines themselves decide
+    joined = joined.withColumn(at, F.coalesce(F.transform(F.filter(F.array_sort(gone_at), held), lambda g: g["pos"]), F.array().cast("array<int>")))
+    size, n = F.size(cut), F.size(at)
     # What stays are the runs of lines between dropped places, so a text costs in proportion to its lines.
-    after = lambda k: F.when(k == 0, 0).otherwise(F.get("__at", k - 1) + 1)
-    runs = F.transform(F.sequence(F.lit(0), n), lambda k: F.slice("__cut", after(k) + 1, F.coalesce(F.get("__at", k), size) - after(k)))
-    kept = F.when(n == 0, F.col(text_col)).otherwise(F.array_join(F.flatten(runs), "\n"))
+    after = lambda k: F.when(k == 0, 0).otherwise(F.get(at, k - 1) + 1)
+    runs = F.transform(F.sequence(F.lit(0), n), lambda k: F.slice(cut, after(k) + 1, F.coalesce(F.get(at, k), size) - after(k)))
+    kept = F.when(n == 0, text).otherwise(F.array_join(F.flatten(runs), "\n"))
     names = [F.col(f"`{c}`") if c != text_col else kept.alias(text_col) for c in base.columns]
-    return joined.select(*names, F.when(F.col(text_col).isNull(), 0).otherwise(size).cast("long").alias("n_lines"), n.cast("long").alias("n_dropped"))
+    return joined.select(*names, F.when(text.isNull(), 0).otherwise(size).cast("long").alias("n_lines"), n.cast("long").alias("n_dropped"))
 
 
 ORACLE = """
