@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence
+from ..operators import evidence, expand, structure
 from ..registry import query
 from . import base
 from .text import COMPACT, COMPACT_RAW, GRAMS
@@ -156,3 +156,20 @@ def excerpt_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base.lines(spark, sf_dir).select(F.col("doc_id").alias("ref_id"), "line_no", "line")
     focus = base.dealt(spark, sf_dir).select(F.col("doc_id").alias("ref_id"), F.col("query").alias("focus"))
     return evidence.best_window(rows, focus, 500)
+
+
+@query()
+def parent_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files found by keywords whose title stands over sections: what is shown of these instead (held against brute force in the tests).
+
+    Every eighth line begins a title, the one after it and the fourth after that a section; pairs of lines are chunks.
+    """
+    n = F.col("line_no")
+    mark = F.when(n % 8 == 1, "# ").when(n % 8 == 2, "## ").when(n % 8 == 5, "## ").otherwise("")
+    rows = base.lines(spark, sf_dir).select("path", "line_no", F.concat(mark, "line").alias("line"))
+    own = structure.sections(structure.headings(rows), rows.groupBy("path").agg(F.count("*").alias("n_lines")))
+    files = base.files(spark, sf_dir).select("path", F.sha2("text", 256).alias("file_sha256"))
+    chunks = structure.page_chunks(rows, 2).join(files, "path").select("path", "chunk_id", "start_line", "end_line", "file_sha256")
+    hits = base.keyword_list(spark, sf_dir).select("query_id", "path", "chunk_id", "rank0").withColumn("start_line", F.lit(1).cast("long")).join(files, "path")
+    made = expand.expand(hits, rows, own, chunks, files)[0]
+    return made.select("query_id", "chunk_id", "path", "start_line", "end_line", F.sha2("snippet", 256).alias("snippet_sha256"), "group_order", "group_priority", F.array_join("group_partial_reasons", ",").alias("reasons"))
