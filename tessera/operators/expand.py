@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from . import evidence, structure
 from .reading import introductions
 
@@ -120,16 +121,16 @@ def expand(matches: DataFrame, rows: DataFrame, sections: DataFrame, chunks: Dat
     standing = standing_parents(rows, sections)
     same = matches.join(files.select("path", F.col("file_sha256").alias("now")), "path").where("file_sha256 is null or lower(file_sha256) = lower(now)")
     stale = chunks.join(files.select("path", F.col("file_sha256").alias("now")), "path").where("lower(file_sha256) <> lower(now)").select("path").distinct()
-    found = same.join(stale, "path", "left_anti").join(standing, (same.path == standing.path) & (same.start_line == standing.line_no)).drop(standing.path)
+    found = same.join(stale, "path", "left_anti").withColumn("line_no", F.col("start_line")).join(standing, ["path", "line_no"])
     group = F.substring(F.sha2(F.concat_ws(":", "now", "path", F.col("line_no").cast("string")), 256), 1, 16)
-    eligible = found.select("query_id", F.col("chunk_id").alias("expanded_from"), "path", "rank0", F.col("now").alias("file_sha256"), "line_no", "heading", "first_line", "last_line", group.alias("group_id"))
+    eligible = stored(found.select("query_id", F.col("chunk_id").alias("expanded_from"), "path", "rank0", F.col("now").alias("file_sha256"), "line_no", "heading", "first_line", "last_line", group.alias("group_id")), "parents")
     held, pieces = child_pieces(eligible.select("path", "line_no").distinct(), sections, chunks)
     order = ordered_sections(eligible, sections, held, scores).where(F.col("place") <= each)
     per_parent = budget // parents if parents else 0
     apart = pieces.withColumn("line_no", F.explode(F.sequence("start_line", F.least("end_line", F.col("start_line") + per_parent + 1))))
     sized = apart.join(rows.select("path", "line_no", F.length("line").cast("long").alias("n")), ["path", "line_no"]).groupBy("path", "parent_line", "section_line", "start_line", "end_line").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "n"))), lambda x: x["n"]).alias("sizes"))
     offered = eligible.join(order, ["query_id", "expanded_from"]).join(sized.withColumnRenamed("parent_line", "line_no"), ["path", "line_no", "section_line"])
-    chosen = offered.groupBy("query_id").applyInPandas(_choose(per_parent, parents, each, most), PART)
+    chosen = stored(offered.groupBy("query_id").applyInPandas(_choose(per_parent, parents, each, most), PART), "expanded")
     # Lines below a parent that aren't blank, as runs.
     wanted = eligible.select("group_id", "path", "first_line", "last_line").distinct()
     runs = structure.paragraphs(rows.join(wanted.select("path").distinct(), "path", "left_semi")).drop("n_lines").withColumnRenamed("path", "p")

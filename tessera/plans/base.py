@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rank, structure
 from ..registry import table
+from ..session import stored
 from ..sources import corpus
 
 FILES = "files AS (SELECT doc_id, source || '/' || lang || '/doc-' || printf('%06d', doc_id) || '.md' AS path, lang, source, text FROM documents)"
@@ -112,12 +113,23 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def number_rows(rows: DataFrame, order: str) -> DataFrame:
+    """rows with row_no, from 0 in the order of a column: sorted into ranges, counted by range, and numbered within; no task sees all rows."""
+    sorted_rows = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    placed = stored(sorted_rows.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33)), "numbered")
+    counts = sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect())  # one row a range
+    before, done = {}, 0
+    for part, n in counts:
+        before[part], done = done, done + n
+    offsets = rows.sparkSession.createDataFrame(list(before.items()), "_part int, _before long")
+    return placed.join(F.broadcast(offsets), "_part").withColumn("row_no", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+
+
 def dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, path, query): documents dealt over all benchmark items, by the items' order (as if the items were a user's questions)."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
     n = items.count()
-    order = Window.orderBy("item_id")
-    numbered = items.withColumn("k", (F.row_number().over(order) - 1).cast("long"))
+    numbered = number_rows(items, "item_id").withColumnRenamed("row_no", "k")
     return files(spark, sf_dir).select("doc_id", "path", (F.col("doc_id") % F.lit(max(n, 1))).alias("k")).join(numbered, "k").select("doc_id", "path", "query")
 
 

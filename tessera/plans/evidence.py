@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evidence, expand, structure
+from ..session import stored
 from ..registry import query
 from . import base
 from .text import COMPACT, COMPACT_RAW, GRAMS
@@ -166,7 +167,7 @@ def parent_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     n = F.col("line_no")
     mark = F.when(n % 8 == 1, "# ").when(n % 8 == 2, "## ").when(n % 8 == 5, "## ").otherwise("")
-    rows = base.lines(spark, sf_dir).select("path", "line_no", F.concat(mark, "line").alias("line"))
+    rows = stored(base.lines(spark, sf_dir).select("path", "line_no", F.concat(mark, "line").alias("line")), "lines")
     own = structure.sections(structure.headings(rows), rows.groupBy("path").agg(F.count("*").alias("n_lines")))
     files = base.files(spark, sf_dir).select("path", F.sha2("text", 256).alias("file_sha256"))
     chunks = structure.page_chunks(rows, 2).join(files, "path").select("path", "chunk_id", "start_line", "end_line", "file_sha256")
