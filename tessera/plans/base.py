@@ -67,7 +67,7 @@ kw AS (SELECT * FROM (SELECT query_id, path, path || '#0001' AS chunk_id, score,
 vecs AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 cos AS (SELECT q.vec_id AS q, i.vec_id, round(list_dot_product(q.v, i.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(i.v, i.v))), 4) AS score
         FROM vecs q JOIN vecs i ON q.vec_id % 20 = 0),
-asks AS (SELECT query_id, 20 * (query_id % (SELECT count(*) FROM vecs WHERE vec_id % 20 = 0)) AS q FROM questions),
+asks AS (SELECT q.query_id, v.vec_id AS q FROM questions q JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k, count(*) OVER () AS n FROM vecs WHERE vec_id % 20 = 0) v ON v.k = q.query_id % v.n),
 em AS (SELECT * FROM (SELECT qq.query_id, f.path, f.path || '#0001' AS chunk_id, c.score, row_number() OVER (PARTITION BY qq.query_id ORDER BY c.score DESC, c.vec_id) - 1 AS rank0
        FROM asks qq JOIN cos c ON c.q = qq.q AND c.score >= 0.1 JOIN files f ON f.doc_id = c.vec_id) WHERE rank0 < 20)"""
 )
@@ -143,7 +143,8 @@ def linked_vectors(spark: SparkSession, sf_dir: str, linked: DataFrame, top_k: i
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     own = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     near = rank.cosine_scores(own, vectors.join(linked.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi"), top_k, least)
-    asks = questions(spark, sf_dir).select("query_id", (20 * (F.col("query_id") % F.lit(max(own.count(), 1)))).alias("q"))
+    asked = number_rows(own.select(F.col("query_id").alias("q")), "q")
+    asks = questions(spark, sf_dir).select("query_id", (F.col("query_id") % F.lit(max(own.count(), 1))).alias("row_no")).join(asked, "row_no").select("query_id", "q")
     return asks.join(near.withColumnRenamed("query_id", "q"), "q").select("query_id", F.col("vec_id").alias("doc_id"), "score", "rank0")
 
 

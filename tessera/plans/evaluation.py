@@ -91,13 +91,13 @@ def expansion_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH i AS (SELECT item_id, item_id % 4 AS category, item_id % 3 = 0 AS critical, list_filter(string_split(lower(text), ' '), lambda w: length(w) >= 6)[1:3] AS need FROM benchmark), f AS (SELECT DISTINCT unnest(need) AS w FROM i), h AS (SELECT f.w, count(*) AS n FROM f JOIN documents d ON contains(lower(d.text), f.w) GROUP BY f.w), u AS (SELECT item_id, category, critical, unnest(need) AS w FROM i), c AS (SELECT u.item_id, u.category, u.critical, bool_and(coalesce(h.n, 0) >= 2) AS covered FROM u LEFT JOIN h USING (w) GROUP BY ALL) SELECT category, count(*) AS items, count(*) FILTER (covered) AS covered, count(*) FILTER (critical AND NOT covered) AS critical_misses FROM c GROUP BY category"
+    "WITH i AS (SELECT item_id, item_id % 4 AS category, item_id % 3 = 0 AS critical, list_filter(string_split(lower(text), ' '), lambda w: length(w) >= 6) AS need FROM benchmark), f AS (SELECT DISTINCT unnest(need) AS w FROM i), h AS (SELECT f.w, count(*) AS n FROM f JOIN documents d ON contains(lower(d.text), f.w) GROUP BY f.w), u AS (SELECT item_id, category, critical, unnest(need) AS w FROM i), c AS (SELECT u.item_id, u.category, u.critical, bool_and(coalesce(h.n, 0) >= 2) AS covered FROM u LEFT JOIN h USING (w) GROUP BY ALL) SELECT category, count(*) AS items, count(*) FILTER (covered) AS covered, count(*) FILTER (critical AND NOT covered) AS critical_misses FROM c GROUP BY category"
 )
 def coverage_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items all of whose required terms two documents or more have, by category."""
     from ..operators import rank
 
-    items = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 4).alias("category"), (F.col("item_id") % 3 == 0).alias("critical"), F.explode(F.slice(F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) >= 6), 1, 3)).alias("term"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 4).alias("category"), (F.col("item_id") % 3 == 0).alias("critical"), F.explode(F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) >= 6)).alias("term"))
     whole = base.files(spark, sf_dir).select("path", F.col("path").alias("chunk_id"), F.lit("").alias("heading"), "text")
     found = rank.document_frequency(rank.term_hits(whole, items.select("term"), F.col("text")))
     each = items.join(found, "term", "left").groupBy("item_id", "category", "critical").agg(F.bool_and(F.coalesce("df", F.lit(0)) >= 2).alias("ok"))

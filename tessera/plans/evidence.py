@@ -42,7 +42,7 @@ CASES = [
 @query(
     "WITH v AS (SELECT * FROM (VALUES "
     + ", ".join(f"({i}, '{q}', E'{e}')".replace("\n", "\\n") for i, q, e in CASES)
-    + ") v(query_id, query, evidence)), base AS (SELECT query_id, query, evidence FROM v UNION ALL SELECT item_id + 1000, array_to_string(string_split(text, ' ')[1:10], ' '), replace(text, '.', '。対象外 ') FROM benchmark), q AS (SELECT query_id, evidence, "
+    + ") v(query_id, query, evidence)), base AS (SELECT query_id, query, evidence FROM v UNION ALL SELECT item_id + 1000, text, replace(text, '.', '。対象外 ') FROM benchmark), q AS (SELECT query_id, evidence, "
     + COMPACT.format("query")
     + " AS c FROM base), g AS (SELECT query_id, evidence, list_filter(list_distinct("
     + GRAMS.format("c", 4)
@@ -53,7 +53,7 @@ CASES = [
 def constraint_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..registry import table
 
-    own = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1000).alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 10), " ").alias("query"), F.replace("text", F.lit("."), F.lit("。対象外 ")).alias("evidence"))
+    own = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1000).alias("query_id"), F.col("text").alias("query"), F.replace("text", F.lit("."), F.lit("。対象外 ")).alias("evidence"))
     rows = own.unionByName(spark.createDataFrame(CASES, "query_id long, query string, evidence string"))
     return rows.select("query_id", evidence.conflicts(F.col("query"), F.col("evidence")).alias("conflict"))
 

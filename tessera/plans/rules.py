@@ -42,7 +42,7 @@ def provision_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""WITH """
     + base.LINES
     + r""", c AS (SELECT path, line_no, CASE line_no % 5 WHEN 0 THEN '本通知は、令和6年4月1日から適用する。' WHEN 1 THEN '平成 30年 10月 1日より施行する。' WHEN 2 THEN '令和6年から適用する。' ELSE line END AS line FROM lines),
-s AS (SELECT path, line_no, CASE WHEN line_no % 9 = 4 THEN '申請の真正性を' || substr(path, 1, 20) || '確認した上で、迅速かつ適切に対応する。' || line ELSE line END AS line FROM lines WHERE line_no <= 6),
+s AS (SELECT path, line_no, CASE WHEN line_no % 97 = 4 THEN '申請の真正性を' || substr(path, 1, 20) || '確認した上で、迅速かつ適切に対応する。' || line ELSE line END AS line FROM lines),
 f AS (SELECT path, trim(unnest(regexp_extract_all(line, '[^。！？\n]+。'))) AS x FROM s WHERE NOT regexp_matches(ltrim(line), '^(#|\||>|```)')),
 o AS (SELECT path, CASE WHEN count(*) = 1 THEN min(x) END AS duty FROM f WHERE regexp_matches(x, '真正性.{0,300}確認した(?:上|うえ)で[、,]?\s*迅速かつ適切に') GROUP BY path)
 SELECT c.path, count(*) FILTER (regexp_matches(regexp_replace(line, '\s+', '', 'g'), '^(?:(?:本|この)(?:通知|規程|要綱|要領|通達|事務連絡)は[、,]?)?(?:(?:令和|平成|昭和)?(?:元|[0-9]+)年)[0-9]+月[0-9]+日(?:から|より)(?:適用|施行|実施)する。$')) AS dates, coalesce(min(o.duty), '') AS duty FROM c LEFT JOIN o USING (path) GROUP BY c.path"""
@@ -54,7 +54,7 @@ def dates_and_duties(spark: SparkSession, sf_dir: str) -> DataFrame:
     dated = F.when(n % 5 == 0, "本通知は、令和6年4月1日から適用する。").when(n % 5 == 1, "平成 30年 10月 1日より施行する。").when(n % 5 == 2, "令和6年から適用する。").otherwise(F.col("line"))
     dates = own.select("path", matching.operative_date(dated).alias("d")).groupBy("path").agg(F.count_if("d").alias("dates"))
     asks = F.concat(F.lit("申請の真正性を"), F.substring("path", 1, 20), F.lit("確認した上で、迅速かつ適切に対応する。"), "line")
-    few = own.where("line_no <= 6").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", F.when(n % 9 == 4, asks).otherwise(F.col("line")).alias("l")))).alias("ls"))
+    few = own.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", F.when(n % 97 == 4, asks).otherwise(F.col("line")).alias("l")))).alias("ls"))
     duty = few.select("path", matching.follow_through(F.transform("ls", lambda x: x["l"])).alias("duty"))
     return dates.join(duty, "path", "left").select("path", "dates", F.coalesce("duty", F.lit("")).alias("duty"))
 
