@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import answers as A
-from ..operators import structure
+from ..operators import quotes, structure
 from ..registry import query, table
 from ..sources import corpus
 from . import base
+from .claims import NORM
 from .text import GRAMS
 
 
@@ -100,15 +101,17 @@ def focus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "WITH "
     + base.LINES
-    + r""", plain AS (SELECT doc_id, line_no, regexp_replace(lower(line), '\s+', '', 'g') AS t FROM lines WHERE trim(line) <> ''),
+    + ", plain AS (SELECT doc_id, line_no, "
+    + NORM.format("line")
+    + r""" AS t FROM lines WHERE trim(line) <> ''),
 n AS (SELECT doc_id, count(*) AS n_lines FROM plain GROUP BY doc_id),
 g AS (SELECT doc_id, line_no, unnest(list_distinct(list_transform(range(1, length(t) - 8), lambda i: substr(t, i, 10)))) AS gram FROM plain WHERE length(t) >= 10),
 c AS (SELECT doc_id, max(k) AS most FROM (SELECT doc_id, gram, count(*) AS k FROM g GROUP BY doc_id, gram) GROUP BY doc_id)
 SELECT n.doc_id, n_lines, coalesce(most, 0) AS most, n_lines >= 5 AND coalesce(most, 0) >= greatest(4, CAST(floor(n_lines * CAST(0.6 AS DOUBLE)) AS BIGINT)) AS repeated FROM n LEFT JOIN c ON c.doc_id = n.doc_id"""
 )
 def repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a run of ten characters, spaces aside, occurs in most lines of a document (four at least); hashes travel, not texts."""
-    own = corpus.lines(base.files(spark, sf_dir)).where(F.trim("line") != "").select("doc_id", F.regexp_replace(F.lower("line"), r"\s+", "").alias("t"))
+    """Whether a run of ten characters, in the form in which quotes are compared, occurs in most lines of a document (four at least); hashes travel, not texts."""
+    own = corpus.lines(base.files(spark, sf_dir)).where(F.trim("line") != "").select("doc_id", quotes.normal(F.col("line")).alias("t"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 9), lambda i: F.xxhash64(F.substring(F.col("t"), i, F.lit(10)))))
     counts = own.where("length(t) >= 10").select("doc_id", F.explode(grams).alias("h")).groupBy("doc_id", "h").agg(F.count("*").alias("k")).groupBy("doc_id").agg(F.max("k").alias("most"))
     out = own.groupBy("doc_id").agg(F.count("*").alias("n_lines")).join(counts, "doc_id", "left").withColumn("most", F.coalesce("most", F.lit(0)))

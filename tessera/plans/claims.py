@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import claims
+from ..operators import claims, quotes
 from ..registry import query, table
 from . import base
 
@@ -57,10 +57,11 @@ def dup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.drop_duplicate_lines(base.lines(spark, sf_dir), "path").select("path", "line_no")
 
 
-@query("WITH " + base.LINES + ", p AS (SELECT path, substr(line, 1, 12) AS prefix, count(*) AS n FROM lines WHERE length(line) >= 12 GROUP BY 1, 2) SELECT * FROM p WHERE n >= 3")
+@query("WITH " + base.LINES + ", t AS (SELECT path, " + NORM.format("line") + " AS t FROM lines), p AS (SELECT path, substr(t, 1, 12) AS prefix, count(*) AS n FROM t WHERE length(t) >= 12 GROUP BY 1, 2) SELECT * FROM p WHERE n >= 3")
 def repeated_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beginnings of 12 characters that three lines of a file share."""
-    return base.lines(spark, sf_dir).where(F.length("line") >= 12).groupBy("path", F.substring("line", 1, 12).alias("prefix")).agg(F.count("*").alias("n")).where("n >= 3")
+    """Beginnings of 12 characters, in the form in which quotes are compared, that three lines of a file share."""
+    own = base.lines(spark, sf_dir).select("path", quotes.normal(F.col("line")).alias("t"))
+    return own.where(F.length("t") >= 12).groupBy("path", F.substring("t", 1, 12).alias("prefix")).agg(F.count("*").alias("n")).where("n >= 3")
 
 
 @query(
