@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import answers, claims, corpus, evaluation, evidence, guidance, index, quotes, ranking, reading, rules, scopes, state, structure, text, titles, units  # noqa: F401  (importing registers)
+from .plans import answers, claims, corpus, evaluation, evidence, guidance, index, limits, quotes, ranking, reading, rules, scopes, state, structure, text, titles, units  # noqa: F401  (importing registers)
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "hybrid_flagship"
