@@ -21,8 +21,8 @@ from ..functions.text import path_stem, query_ngrams, split_terms
 
 #: Most distinct terms, and most vector components, that one pass over the corpus broadcasts.
 TERMS_AT_ONCE, NUMBERS_AT_ONCE = 200_000, 4_000_000
-#: Most cells of a table of texts by questions that a task holds.
-CELLS = 2_000_000
+#: Most cells of a table of texts by questions that a task holds, and texts after which the best so far are known anew.
+CELLS, ROWS_AT_ONCE = 2_000_000, 512
 CJK_TERM = r"^([\x{3400}-\x{9fff}々]{2,}|[ァ-ヶー]{2,})$"
 
 
@@ -149,7 +149,7 @@ def _best_of_block(rows: DataFrame, block: list[tuple], rarity: Callable, worth:
         best: list[list[tuple]] = [[] for _ in block]
         least = np.zeros(len(block))  # what a chunk must reach to be among the best so far
         for batch in batches:
-            step = max(1, CELLS // max(1, len(block)))
+            step = max(1, min(ROWS_AT_ONCE, CELLS // max(1, len(block))))
             for a in range(0, batch.num_rows, step):
                 own = list(zip(*(c.to_pylist() for c in batch.slice(a, step).columns)))
                 table, hits = np.zeros((len(own), len(block))), np.zeros((len(own), len(block)), np.int32)
@@ -157,8 +157,8 @@ def _best_of_block(rows: DataFrame, block: list[tuple], rarity: Callable, worth:
                     if found := count(text):
                         value = [worth(n, weight[t], t in heading, t in stem) for t, n in found.items()]
                         table[k], hits[k] = ask(np.fromiter(map(number.__getitem__, found), np.int64, len(found)), np.array(value))
-                    if shares:
-                        table[k] += 0.1 * shares(text)
+                if shares:
+                    table += 0.1 * _shared_grams(shares, [r[4] for r in own], table, least, top_k)
                 table = np.floor(table * 1e4 + 0.5) / 1e4
                 good = (table > 0) & (table >= least)
                 if len(own) > top_k:
@@ -190,8 +190,21 @@ class _Askers:
         return np.bincount(owner, np.repeat(values, size), self.n), np.bincount(owner, minlength=self.n)
 
 
+def _shared_grams(shares: _Grams, texts: list[str], table: np.ndarray, least: np.ndarray, top_k: int) -> np.ndarray:
+    """Shared n-grams, up to ten, of every text and question; those of over three characters are only counted where they could matter.
+
+    Ten of them add no more than 1 to a score, so a text whose score and 1 stay below what the question's best texts have for certain isn't among them.
+    """
+    n = np.stack([shares(t) for t in texts])
+    sure = table + 0.1 * np.minimum(n, 10)
+    bound = least if len(texts) <= top_k else np.maximum(least, -np.partition(-sure, top_k - 1, axis=0)[top_k - 1])
+    for k, q in zip(*np.nonzero((n > 0) & (n < 10) & (table + 1.001 >= bound))):
+        n[k, q] += shares.longer(q, texts[k], 10 - n[k, q])
+    return np.minimum(n, 10)
+
+
 class _Grams:
-    """How many distinct 3- to 8-grams of each question a text has, up to ten."""
+    """How many distinct 3-grams of each question a text has, and how many longer ones."""
 
     def __init__(self, bare: list[str]):
         self.bare = bare
@@ -204,10 +217,11 @@ class _Grams:
         own = np.unique(_threes(text))
         at = np.searchsorted(self.keys, own)
         at = at[self.keys[np.minimum(at, len(self.keys) - 1)] == own] if len(self.keys) else at[:0]
-        n = self.ask(at, np.zeros(len(at)))[1]
-        for q in np.flatnonzero((n > 0) & (n < 10)):  # a longer gram can only be there if its first three characters are
-            n[q] += self._longer(self.bare[q], text, 10 - n[q])
-        return np.minimum(n, 10)
+        return self.ask(at, np.zeros(len(at)))[1]
+
+    def longer(self, question: int, text: str, enough: int) -> int:
+        """Distinct 4- to 8-grams, until there are enough; one can only be there if its first three characters are."""
+        return self._longer(self.bare[question], text, enough)
 
     @staticmethod
     def _longer(bare: str, text: str, enough: int) -> int:
