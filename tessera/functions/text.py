@@ -73,8 +73,12 @@ def bigram_coverage(haystack: Column, needle: Column) -> Column:
 
 def lexical_anchor(needle: Column, haystack: Column, least: int = 4, most: int = 12) -> Column:
     """Length of the longest substring of `least` to `most` characters that compact needle and haystack share, else 0."""
-    fits = [F.when(F.exists(windows(needle, n), lambda g: haystack.contains(g)), F.lit(n)) for n in range(most, least - 1, -1)]
-    return F.coalesce(*fits, F.lit(0))
+    # A run of a length holds runs of all lesser ones: the first length that isn't shared ends the search.
+    shared = lambda n: F.exists(windows(needle, n), lambda g: haystack.contains(g))
+    ladder = F.when(~F.coalesce(shared(least), F.lit(False)), 0)
+    for n in range(least + 1, most + 1):
+        ladder = ladder.when(~F.coalesce(shared(n), F.lit(False)), n - 1)
+    return ladder.otherwise(most)
 
 
 def occurrences(haystack: Column, term: Column) -> Column:
