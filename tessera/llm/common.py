@@ -6,7 +6,7 @@ import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,17 +99,22 @@ def give_back() -> None:
         pass
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, per_class: int) -> DataFrame:
-    """At most `per_class` labelled training rows of each class, chosen by the hash of the id: (text, label).
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, per_class: int, keep: Sequence[str] = ()) -> DataFrame:
+    """At most `per_class` labelled training rows of each class, chosen by the hash of the id: (__id, __h, __text, __y) and the columns to keep.
 
     Rows of fold 0 (held out), rows without a label and labels other than 0 or 1 are left out.
-    An id that several labels name takes the smallest of them.
+    An id that several labels name takes the smallest of them. Rows that repeat an id with another text (or other kept columns) count each, rows equal
+    in all of it once; the bound holds after that.
     """
     marks = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y")).where("__y in (0, 1)").groupBy("__id").agg(F.min("__y").alias("__y"))
     marks = marks.where(fold(F.col("__id")) != 0).withColumn("__h", F.xxhash64("__id"))
-    chosen = marks.where("__y = 0").orderBy("__h", "__id").limit(per_class).unionByName(marks.where("__y = 1").orderBy("__h", "__id").limit(per_class))
-    found = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(F.broadcast(chosen), "__id")
-    return found.select("__id", "__h", "__text", "__y")
+    first = lambda rows, *order: rows.where("__y = 0").orderBy(*order).limit(per_class).unionByName(rows.where("__y = 1").orderBy(*order).limit(per_class))
+    own = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), *(F.col(f"`{c}`") for c in keep))
+    own = own.withColumn("__th", F.xxhash64("__text", *(F.col(f"`{c}`") for c in keep)))
+    ids = first(marks, "__h", "__id")
+    chosen = first(own.select("__id", "__th").join(F.broadcast(ids), "__id").distinct(), "__h", "__id", "__th")
+    found = own.join(F.broadcast(chosen), ["__id", "__th"]).dropDuplicates(["__id", "__th"])
+    return found.select("__id", "__h", "__text", "__y", *(f"`{c}`" for c in keep))
 
 
 def join_by_class(rows: DataFrame, classes: DataFrame, key: str, total: int, hot: int = 2000) -> DataFrame:

@@ -120,8 +120,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def search_index(index: DataFrame, queries: Queries, slack: int = 0) -> DataFrame:
     """One row a document and segment: id string, n_words, items (sorted), spans binary (pairs of word positions, half open).
 
-    With a slack, occurrences are proximity matches instead of exact phrases.
+    With a slack, occurrences are proximity matches instead of exact phrases. It must be so small that no match can reach from one document into the next.
     """
+    size = queries.table.shape[1]
+    if not 0 <= slack < (GAP - size) / 2:
+        raise ValueError(f"a slack of 0 to {(GAP - size - 1) // 2} is possible for windows of {size} words")
     shared = index.sparkSession.sparkContext.broadcast(queries)
 
     def start():

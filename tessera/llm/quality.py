@@ -121,9 +121,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, epo
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", metadata: Sequence[str] = (), per_class: int = 3000) -> dict:
     marked = labels.where(F.col(label).isin(0, 1) & (fold(F.col(id_col)) != 0)).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0)).alias("ones")).first()
-    meta = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), *(F.col(c).cast("double").alias(f"__m{j}") for j, c in enumerate(metadata)))
-    sample = labelled_sample(docs.select(id_col, F.lit("").alias(text_col)), labels, label, id_col, text_col, per_class).select("__id", "__h", "__y").distinct()
-    rows = meta.join(F.broadcast(sample), "__id").drop("__id")
+    own = docs.select(F.col(id_col), F.col(text_col), *(F.col(c).cast("double").alias(f"__m{j}") for j, c in enumerate(metadata)))
+    rows = labelled_sample(own, labels, label, id_col, text_col, per_class, [f"__m{j}" for j in range(len(metadata))])
     columns = ["__text", "__h", "__y", *(f"__m{j}" for j in range(len(metadata)))]
 
     def start():

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, map_batches
+from .common import fold, labelled_sample, map_batches, materialize
 
 STRIP = "\"'“”„«»‹›‘’.,;:!?()[]{}<>*_~`|#$%&-"
 OPEN, CLOSE = "“„«‹‘", "”»›’"
@@ -133,10 +133,10 @@ class Lexicon:
         return self.known[token]
 
 
-def quoted_at(words: list[str], at: list[int], longest: int = 60) -> list[bool]:
-    """Whether each place is between quotation marks that close within `longest` words, or follows a reporting word.
+def quoted_at(words: list[str], at: list[int]) -> list[bool]:
+    """Whether each place is between a pair of quotation marks, however long the quotation, or follows a reporting word.
 
-    A straight mark before a word opens and one after a word closes; a mark that finds no partner in reach means nothing.
+    A straight mark before a word opens and one after a word closes; a mark that finds no partner, or that another opening mark follows first, means nothing.
     """
     spans, begin = [], None
     for i, word in enumerate(words):
@@ -147,8 +147,7 @@ def quoted_at(words: list[str], at: list[int], longest: int = 60) -> list[bool]:
         if any(c in OPEN or c == '"' for c in lead):
             begin = i
         if any(c in CLOSE or c == '"' for c in tail) and begin is not None:
-            if i - begin < longest:
-                spans.append((begin, i))
+            spans.append((begin, i))
             begin = None
     starts = [a for a, _ in spans]
     out = []
@@ -211,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     Rows are halved by hash. Three lexicons are learned, of either half and of all rows; the regression learns from each half measured by the other
     half's lexicon, and the lexicon of all rows goes with it.
     """
-    sample = labelled_sample(docs, labels, label, id_col, text_col, per_class).withColumn("__half", F.pmod("__h", F.lit(2)).cast("int"))
+    sample = materialize(labelled_sample(docs, labels, label, id_col, text_col, per_class).withColumn("__half", F.pmod("__h", F.lit(2)).cast("int")), "labelled")
     sizes = {(r["__y"], r["__half"]): r["n"] for r in sample.groupBy("__y", "__half").agg(F.count("*").alias("n")).collect()}
     n = {y: [sizes.get((y, 0), 0), sizes.get((y, 1), 0), sizes.get((y, 0), 0) + sizes.get((y, 1), 0)] for y in (0, 1)}
     if not n[0][2] or not n[1][2]:

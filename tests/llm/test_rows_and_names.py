@@ -52,3 +52,35 @@ def test_sketches_never_rule_out_similar_sets():
         assert not similar or simhash.may_be_similar([simhash.sketch(x)], [simhash.sketch(y)], 0.8)[0]
     a, b = (np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64) << np.uint64(1)) for _ in range(2))
     assert not simhash.may_be_similar([simhash.sketch(a)], [simhash.sketch(b)], 0.8)[0]
+
+
+def test_labelled_samples_are_bounded_whatever_repeats(spark):
+    from tessera.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"text {n}", n) for n in range(50)] + [(2, "same", 7)] * 50 + [(i, f"t{i}", i) for i in range(3, 40)], "doc_id long, text string, m long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = labelled_sample(docs, labels, "quality", "doc_id", "text", 3).collect()
+    assert all(len([r for r in got if r["__y"] == y]) <= 3 for y in (0, 1)) and len({(r["__id"], r["__text"]) for r in got}) == len(got)
+    wide = labelled_sample(docs, labels, "quality", "doc_id", "text", 1000, ["m"]).collect()
+    assert len({(r["__id"], r["__text"], r["m"]) for r in wide}) == len(wide) and {r["__y"] for r in wide} == {0, 1}
+    assert len([r for r in wide if r["__id"] == 2]) <= 1
+
+
+def test_quotations_of_any_length():
+    from tessera.llm import toxicity
+
+    for n in (3, 60, 70, 5000):
+        words = ["“said"] + ["word"] * n + ["end”", "after"]
+        assert toxicity.quoted_at(words, [1, n // 2, len(words) - 1]) == [True, True, False]
+    assert toxicity.quoted_at(["“open"] + ["word"] * 5, [2]) == [False]
+
+
+def test_slack_stays_within_a_document():
+    import pytest
+    from tessera.llm import decontaminate
+
+    class Index:
+        pass
+
+    with pytest.raises(ValueError, match="slack"):
+        decontaminate.search_index(Index(), decontaminate.Queries([("a", "one two three")]), 60)
