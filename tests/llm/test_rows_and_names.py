@@ -70,9 +70,9 @@ def test_quotations_of_any_length():
     from tessera.llm import toxicity
 
     for n in (3, 60, 70, 5000):
-        words = ["“said"] + ["word"] * n + ["end”", "after"]
+        words = ["“he"] + ["stone"] * n + ["end”", "after"]
         assert toxicity.quoted_at(words, [1, n // 2, len(words) - 1]) == [True, True, False]
-    assert toxicity.quoted_at(["“open"] + ["word"] * 5, [2]) == [False]
+    assert toxicity.quoted_at(["“open"] + ["stone"] * 5, [2]) == [False]
 
 
 def test_slack_stays_within_a_document():
