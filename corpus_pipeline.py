@@ -36,7 +36,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of every group of near copies."""
+    """The document of least id of every group of near copies: links of the vantage-point tree first, those outside its radius after them, all checked."""
     ready(spark)
     return simhash.keep_one(docs, words=5, similarity=0.8)
 

@@ -41,18 +41,25 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
         starts = np.concatenate([[0], ends[:-size] + 1]).tolist()
         parts = [joined[a:b] for a, b in zip(starts, ends[size - 1 :].tolist())]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(p, SEED) for p in parts], ">u8")
-    counts = np.zeros(64, np.int64)
+    return majority(np.array([digest(p, SEED) for p in parts], ">u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits: each is 1 if over half of the hashes have it."""
+    hashes, counts = hashes.astype(">u8", copy=False), np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         counts += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
+def signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long): the fingerprint's bits as a signed long."""
 
     def start():
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
         return lambda cols: [cols[0], [signed(fingerprint(t.encode("utf-8", "surrogatepass"))) for t in cols[1]]]
 
     return map_batches(docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__t")), f"{id_col} {dict(docs.dtypes)[id_col]}, fp long", start, 256)
@@ -118,22 +125,25 @@ class Tree:
             yield who[near], self.order[point[near]]
 
 
-def shard_links(home: np.ndarray, visitors: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among home points, and of those to visitors."""
+def shard_links(home: np.ndarray, visitors: np.ndarray, radius: int = RADIUS, direct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among home points, and of those to visitors: every point with its root or, if `direct`, links themselves."""
     queries = np.concatenate([home, visitors])
     n = len(queries)
     if n < 2 or not len(home):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     root = np.arange(n)
-    tree = Tree(home, int(home[len(home) // 2]))
+    tree, used = Tree(home, int(home[len(home) // 2])), [np.zeros((2, 0), np.int64)]
     for a, b in tree.within(queries, radius):
-        root = _join(root, a, b)
+        root = _join(root, a, b, used if direct else None)
+    if direct:
+        a, b = np.concatenate(used, axis=1)
+        return queries[a], queries[b]
     other = np.flatnonzero(root != np.arange(n))
     return queries[other], queries[root[other]]
 
 
-def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Union of pairs by hooking larger roots to smaller ones and halving paths."""
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray, used: list[np.ndarray] | None = None) -> np.ndarray:
+    """Union of pairs by hooking larger roots to smaller ones and halving paths; `used` takes the pair behind every hook."""
     while True:
         x, y = root[a], root[b]
         apart = x != y
@@ -142,12 +152,16 @@ def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         a, b = a[apart], b[apart]
         x, y = x[apart], y[apart]
         np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        if used is not None:
+            hooks = np.flatnonzero(root[np.maximum(x, y)] == np.minimum(x, y))
+            hooks = hooks[np.unique(np.maximum(x, y)[hooks], return_index=True)[1]]
+            used.append(np.stack([a[hooks], b[hooks]]))
         while not np.array_equal(root, up := root[root]):
             root = up
 
 
-def links(points: DataFrame, radius: int = RADIUS, shard_points: int = 60_000) -> DataFrame:
-    """(a long, b long): links between distinct fingerprints whose components are those of all pairs within the radius.
+def links(points: DataFrame, radius: int = RADIUS, shard_points: int = 60_000, direct: bool = False) -> DataFrame:
+    """(a long, b long): links between distinct fingerprints whose components are those of all pairs within the radius; such pairs themselves if `direct`.
 
     points: distinct fp long. The number of shard levels grows until no shard is home to over `shard_points` points:
     four levels of 17 distances to a vantage point, then four to a second one, each vantage point with a triangle bound of its own.
@@ -177,7 +191,7 @@ def links(points: DataFrame, radius: int = RADIUS, shard_points: int = 60_000) -
     def search(table: pa.Table) -> pa.Table:
         fp = table["fp"].to_numpy().astype(np.int64).view(np.uint64)
         here = table["home"].to_numpy()
-        a, b = shard_links(fp[here], fp[~here], radius)
+        a, b = shard_links(fp[here], fp[~here], radius, direct)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return rows.groupBy(keys).applyInArrow(search, "a long, b long")
@@ -213,7 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return join_by_class(marked, joined, "fp", marked.count()).select(id_col, "fp", "component_id")
 
 
-# ---- word-shingle similarity: an exact prefix join, checked links, components
+# ---- word-shingle similarity: links of the tree, an exact prefix join for what lies outside its radius, all checked, components
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -318,12 +332,27 @@ def frequent_shingles(texts: DataFrame, words: int, sample: int = 20_000, most:
     return hot[order], count[order]
 
 
+def tree_pairs(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): pairs of classes with fingerprints within the radius, as many as keep the components of all such pairs; the lesser number first.
+
+    classes: r, a number, and fp. Classes of one fingerprint are paired with the least of them, fingerprints that the tree links by their least classes.
+    """
+    points = materialize(classes.groupBy("fp").agg(F.min("r").alias("least"), F.count("*").alias("n")), "points")
+    equal = join_by_class(classes.select("fp", "r"), points, "fp", classes.count()).where("r > least").select(F.col("least").alias("a"), F.col("r").alias("b"))
+    near = links(points.select("fp"), radius, direct=True)
+    for end in ("a", "b"):
+        near = near.join(points.select(F.col("fp").alias(end), F.col("least").alias(f"of_{end}")), end)
+    return equal.unionByName(near.select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"))).distinct()
+
+
 def similar_rows(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
     """(i: id, th: MD5 of the text, row: a stored number, root: the same for all rows of a component), one row a row of docs.
 
-    Rows of equal sets of shingles are one point. Two sets of the similarity share one of their first members (prefix_size) in an order
+    Rows of equal sets of shingles are one point. The vantage-point tree gives the pairs of points whose fingerprints (bits that over half of a set's
+    hashes have) lie within RADIUS bits; those that hold on the whole sets unite points first. What lies outside the radius is found exactly:
+    two sets of the similarity share one of their first members (prefix_size) in an order
     that holds for all sets: frequent shingles last, then by hash. Points therefore meet in the lists of those members. Pairs of
-    a list are checked on the whole sets and only links that hold unite points. Pairs a few places apart come first, then further ones, where
+    a list that the tree left apart are checked on the whole sets too, and only links that hold unite points. Pairs a few places apart come first, then further ones, where
     their ends are still apart: every pair that a list holds has been checked or is connected in the end, and a group of copies is
     connected before its pairs are many.
     """
@@ -337,7 +366,7 @@ def similar_rows(docs: DataFrame, id_col: str, text_col: str, words: int, simila
         hot, count = shared.value
 
         def work(cols):
-            keys, sizes, firsts, sketches = [], [], [], []
+            keys, sizes, firsts, sketches, bits = [], [], [], [], []
             for t in cols[2]:
                 h = shingle_hashes(t.encode("utf-8", "surrogatepass"), words)
                 keys.append(xxhash.xxh3_128_digest(h.tobytes()))
@@ -348,13 +377,14 @@ def similar_rows(docs: DataFrame, id_col: str, text_col: str, words: int, simila
                 sizes.append(len(h))
                 firsts.append(h[np.lexsort((h, times))[: prefix_size(len(h), similarity)]].view(np.int64))
                 sketches.append(sketch(h))
-            return [cols[0], cols[1], cols[3], keys, sizes, firsts, sketches]
+                bits.append(signed(majority(h)))
+            return [cols[0], cols[1], cols[3], keys, sizes, firsts, sketches, bits]
 
         return work
 
     numbered = made.withColumn("row", F.monotonically_increasing_id())
-    marked = materialize(map_batches(numbered, f"i {kind}, th string, row long, key binary, n long, first array<long>, sketch binary", start, 128), "marked", "zstd")
-    classes = materialize(marked.groupBy("key").agg(F.min("row").alias("r"), F.count("*").alias("n")), "keys")
+    marked = materialize(map_batches(numbered, f"i {kind}, th string, row long, key binary, n long, first array<long>, sketch binary, fp long", start, 128), "marked", "zstd")
+    classes = materialize(marked.groupBy("key").agg(F.min("row").alias("r"), F.count("*").alias("n"), F.min("fp").alias("fp")), "keys")
     points = marked.join(classes.select(F.col("r").alias("row")), "row", "left_semi")
     postings = points.select(F.col("row").alias("r"), "n", F.posexplode("first").alias("p", "h")).select("h", "n", F.col("p").cast("long").alias("p"), "r")
 
@@ -399,7 +429,10 @@ def similar_rows(docs: DataFrame, id_col: str, text_col: str, words: int, simila
         return materialize(both.where(shared_by >= similarity * (F.size("x") + F.size("y") - shared_by) - 1e-9).select("a", "b"), "sure")
 
     roots = spark.createDataFrame([], "node long, root long")
-    tried, low, high, more = spark.createDataFrame([], "a long, b long"), 0, 4, True
+    tried, low, high, more = materialize(tree_pairs(classes), "tree"), 0, 4, True
+    sure = similar(close(tried))
+    if sure.limit(1).count():
+        roots = components(sure)
     while more:
 
         def pairs(batches, low=low, high=high):
