@@ -72,17 +72,18 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int, step: int = 1 << 20) -
 
 #: Words that the vocabulary's rules leave in one piece, whatever stands beside them: small Latin letters, composed.
 ONE_PIECE = re.compile("[a-zß-öø-ÿ]+").fullmatch
-#: A mark after a letter begins a piece of its own.
-LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
+#: Between a letter and a mark a piece ends, and between a mark and a letter too (the apostrophe may begin a piece with letters). Of bytes after 0xC3 all but two end letters.
+LETTER, MARK, LATIN = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 LETTER[list(b"abcdefghijklmnopqrstuvwxyz")] = True
-MARK[list(b".,;:!?")] = True
+MARK[list(b'.,;:!?%$&*#@()[]{}"/\\-_+=~^|<>`')] = True
+LATIN[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
 
 
 class Encoder:
     """Token ids of texts by the tokenizers library; words between ASCII white space are encoded apart and remembered.
 
-    The vocabulary drops white space and no step of it looks past it, so the ids are those of whole texts. It also lower-cases, and takes a mark
-    apart from the letter before it, so both may be done first: fewer words are new then. Only texts that may hold special tokens, which are
+    The vocabulary drops white space and no step of it looks past it, so the ids are those of whole texts. It also lower-cases, and takes marks
+    apart from letters beside them, so both may be done first: fewer words are new then. Only texts that may hold special tokens, which are
     looked for in the text as it is, are left alone.
     """
 
@@ -122,23 +123,30 @@ class Encoder:
 
     @staticmethod
     def words(texts: list[str | None]) -> list[list[bytes]]:
-        """Words of all texts, marks after letters being words of their own; one pass over the texts' joined bytes."""
+        """Words of all texts, cut between letters and marks; one pass over the texts' joined bytes."""
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
         left = [b"<|" in x for x in raw]
         flat = np.frombuffer(b"".join(b"" if own else x.lower() for x, own in zip(raw, left)), np.uint8)
         ends = np.cumsum([0 if own else len(x) for x, own in zip(raw, left)])
-        at = np.flatnonzero(LETTER[flat[:-1]] & MARK[flat[1:]]) + 1  # a word that begins the next text with a mark gets a blank too, which is dropped
+        mark = np.flatnonzero(MARK[flat])
+        before, after = flat[np.maximum(mark - 1, 0)], flat[np.minimum(mark + 1, len(flat) - 1)]
+        ended = (mark > 0) & (LETTER[before] | LATIN[before] & (mark > 1) & (flat[np.maximum(mark - 2, 0)] == 0xC3))
+        at = np.union1d(mark[ended], mark[LETTER[after] & (mark < len(flat) - 1)] + 1)  # a blank between two texts is dropped
         wide, after = np.insert(flat, at, 32).tobytes(), (ends + np.searchsorted(at, ends)).tolist()
         return [x.split() if own else wide[a:b].split() for x, own, a, b in zip(raw, left, [0, *after], after)]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         cut = self.words(texts)
-        met = set().union(*cut)
-        fresh = met.difference(self.known)
+        coded = [list(map(self.known.get, words)) for words in cut]
+        missing = [[k for k, x in enumerate(ids) if x is None] for ids in coded]
+        fresh = {words[k] for words, places in zip(cut, missing) for k in places}
         if len(self.known) + len(fresh) > self.most:
-            self.known = {w: self.known[w] for w in met.difference(fresh)}  # words that go on occurring
+            self.known = {w: x for words, ids in zip(cut, coded) for w, x in zip(words, ids) if x is not None}  # words that go on occurring
         self._new(list(fresh))
-        out = [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        for words, ids, places in zip(cut, coded, missing):
+            for k in places:
+                ids[k] = self.known[words[k]]
+        out = list(map(b"".join, coded))
         for w in fresh:
             if len(w) > self.longest:
                 del self.known[w]
