@@ -200,6 +200,16 @@ def test_nearest_range_is_that_of_all_ranges(spark):
     assert {r.quote_id: (r.start_line, r.end_line) for r in quotes.snap(lines, asked).collect()} == good
 
 
+def test_range_ends_where_enough_is_met_first(spark):
+    """The line at which the range begins lies across places 45 to 62: twice as many characters as a range may have, 52, are not a border to it."""
+    lines = ["0" * 45, "abcdefghijklmnopqr", "stabcdefgh"]
+    quote = "abcdefghijklmnopqrst"
+    rows = quotes.normal_lines(spark.createDataFrame([("s", i + 1, x) for i, x in enumerate(lines)], "source string, line_no long, line string"))
+    asked = spark.createDataFrame([("q", "s", quote)], "quote_id string, source string, q string")
+    assert nearest(lines, quote) == (1, 1)
+    assert [tuple(r) for r in quotes.nearest_ranges(rows, asked).collect()] == [("q", 2, 2, 17, 19, 18)]
+
+
 def test_quotes_of_whole_files(spark):
     """The registered query against brute force."""
     from tests.conftest import SMALL
