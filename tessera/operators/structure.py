@@ -64,10 +64,10 @@ def sections(heads: DataFrame, sizes: DataFrame) -> DataFrame:
     return heads.withColumn("next", end).withColumn("parent_line", parent).join(sizes, "path").select("path", "line_no", "level", "heading", F.coalesce(F.col("next") - 1, "n_lines").alias("section_end"), "parent_line")
 
 
-def innermost(rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """Every line with the heading line of its innermost section: the last heading at or before it (as-of by a window)."""
+def innermost(rows: DataFrame, heads: DataFrame, *keep: str) -> DataFrame:
+    """Every line with the heading line of its innermost section: the last heading at or before it (as-of by a window); and the columns to keep."""
     marked = rows.join(heads.select("path", "line_no", F.col("line_no").alias("here")), ["path", "line_no"], "left")
-    return marked.select("path", "line_no", F.last("here", ignorenulls=True).over(by_line().rowsBetween(Window.unboundedPreceding, 0)).alias("section_line"))
+    return marked.select("path", "line_no", *keep, F.last("here", ignorenulls=True).over(by_line().rowsBetween(Window.unboundedPreceding, 0)).alias("section_line"))
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:

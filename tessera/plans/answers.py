@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import answers as A
-from ..operators import quotes, structure
+from ..operators import structure
 from ..registry import query, table
 from ..sources import corpus
 from . import base
@@ -94,7 +94,7 @@ def expansion_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def focus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = base.md(spark, sf_dir)
-    own = structure.innermost(rows.select("path", "line_no"), structure.headings(rows)).join(rows.select("path", "line_no", "line"), ["path", "line_no"])
+    own = structure.innermost(rows, structure.headings(rows), "line")
     return A.focus_lines(own, base.dealt(spark, sf_dir).select("path", "query"))
 
 
@@ -110,11 +110,9 @@ c AS (SELECT doc_id, max(k) AS most FROM (SELECT doc_id, gram, count(*) AS k FRO
 SELECT n.doc_id, n_lines, coalesce(most, 0) AS most, n_lines >= 5 AND coalesce(most, 0) >= greatest(4, CAST(floor(n_lines * CAST(0.6 AS DOUBLE)) AS BIGINT)) AS repeated FROM n LEFT JOIN c ON c.doc_id = n.doc_id"""
 )
 def repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a run of ten characters, in the form in which quotes are compared, occurs in most lines of a document (four at least); hashes travel, not texts."""
-    own = corpus.lines(base.files(spark, sf_dir)).where(F.trim("line") != "").select("doc_id", quotes.normal(F.col("line")).alias("t"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 9), lambda i: F.xxhash64(F.substring(F.col("t"), i, F.lit(10)))))
-    counts = own.where("length(t) >= 10").select("doc_id", F.explode(grams).alias("h")).groupBy("doc_id", "h").agg(F.count("*").alias("k")).groupBy("doc_id").agg(F.max("k").alias("most"))
-    out = own.groupBy("doc_id").agg(F.count("*").alias("n_lines")).join(counts, "doc_id", "left").withColumn("most", F.coalesce("most", F.lit(0)))
+    """Whether a run of ten characters, in the form in which quotes are compared, occurs in most lines of a document (four at least)."""
+    own = corpus.lines(base.files(spark, sf_dir)).where(F.trim("line") != "").groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.collect_list("line").alias("l"))
+    out = own.select("doc_id", "n_lines", A.most_lines(F.col("l")).alias("most"))
     return out.withColumn("repeated", (F.col("n_lines") >= 5) & (F.col("most") >= F.greatest(F.lit(4), F.floor(F.col("n_lines") * 0.6))))
 
 
