@@ -233,14 +233,18 @@ class Index:
                 return self.current()
             else:
                 raise BuildError("BUSY", "the index is being built")
+        folder = f"chunks-{uuid.uuid4().hex}"  # what the chunks are made of is read once; they are counted, hashed, dealt and compared from here
         try:
-            return self._build(chunks, model, mode, batch_chunks, now, cancelled, progress)
+            chunks.select(*CHUNK, "text").write.parquet(f"{self.root}/{folder}/all")
+            own = self.spark.read.schema(chunks.select(*CHUNK, "text").schema).parquet(f"{self.root}/{folder}/all")
+            return self._build(own, model, mode, batch_chunks, now, cancelled, progress, folder)
         finally:
+            self.store.remove(folder)
             held = self.store.read("lock")
             if held == json.loads(mine):
                 self.store.remove("lock")
 
-    def _build(self, chunks, model, mode, batch_chunks, now, cancelled, progress) -> dict:
+    def _build(self, chunks, model, mode, batch_chunks, now, cancelled, progress, scratch) -> dict:
         generation, total = generation_of(chunks, model), chunks.count()
         state = {"state": "building", "generation": generation, "model": model.name, "total": total, "processed": 0, "reused": 0, "generated": 0, "failed": 0, "checkpointed": 0}
 
@@ -250,6 +254,9 @@ class Index:
             progress(dict(state))
 
         kept = self.reusable(chunks, model) if mode == "incremental" else None
+        if kept is not None:
+            kept.write.parquet(f"{self.root}/{scratch}/kept")
+            kept = self.spark.read.schema(kept.schema).parquet(f"{self.root}/{scratch}/kept")
         folder = f"building/{generation}"
         terms = {"mode": mode, "version": VERSION, "based_on": (self.current() or {}).get("folder") if mode == "incremental" else None}
         plan = self.store.read(f"{folder}/plan") or {}
@@ -263,7 +270,11 @@ class Index:
         reused = 0 if kept is None else kept.count()
         done = {int(p.rsplit("=", 1)[1]) for p in self._batches(generation)}
         tell(reused=reused, checkpointed=len(done), processed=reused)
-        dealt = pending.withColumn("batch", F.pmod(F.xxhash64("chunk_id"), F.lit(plan["batches"])))
+        hashed, times = F.xxhash64("chunk_id"), plan["batches"]
+        dealt = pending.select(*CHUNK, "text", F.pmod(hashed, F.lit(times)).alias("batch"))
+        if times > 1:  # a folder a batch, so that each batch reads its own chunks; some files in each, for as many tasks
+            dealt.repartition(F.pmod(hashed, F.lit(16 * times))).write.partitionBy("batch").parquet(f"{self.root}/{scratch}/dealt")
+            dealt = self.spark.read.schema(dealt.schema).parquet(f"{self.root}/{scratch}/dealt")
         try:
             for n in range(plan["batches"]):
                 if n in done:
