@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunk, evidence, rank
+from ..operators import chunk, evidence, rank, titles
 from ..registry import query, table
 from ..session import stored
 from . import base
@@ -184,15 +184,13 @@ SELECT query_id, path, strength, coverage, count(*) FILTER (strength = 2) OVER (
 )
 def title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose title is in the question (2) or shares half its 2-grams (1); one strong match alone is confirmed."""
-    from pyspark.sql import Window
-
     asked = base.questions(spark, sf_dir).select("query_id", T.compact_raw(F.col("query")).alias("q"))
-    own = base.files(spark, sf_dir).select("path", T.compact_raw(F.regexp_extract("text", r"^[^\n]*", 0)).alias("core")).where("length(core) >= 4").withColumn("g", T.bigrams(F.col("core")))
-    share = F.size(F.filter("g", lambda x: F.contains(F.col("q"), x))) / F.size("g")
-    met = own.join(F.broadcast(asked)).withColumn("share", share)
-    scored = met.select("query_id", "path", F.when(F.contains("q", "core"), 2).when(F.col("share") >= 0.5, 1).otherwise(0).cast("long").alias("strength"), F.round("share", 4).alias("coverage")).where("strength > 0")
-    alone = F.count_if(F.col("strength") == 2).over(Window.partitionBy("query_id")) == 1
-    return scored.withColumn("confirmed", alone & (F.col("strength") == 2))
+    own = base.files(spark, sf_dir).select("path", T.compact_raw(F.regexp_extract("text", r"^[^\n]*", 0)).alias("core")).where("length(core) >= 4")
+    scored = titles.share_of_grams(own, asked)
+    # Rows are not moved: strong ones are counted by question, and questions are the small side.
+    alone = scored.where("strength = 2").groupBy("query_id").count().where("count = 1").select("query_id", F.lit(True).alias("alone"))
+    out = scored.join(F.broadcast(alone), "query_id", "left")
+    return out.select("query_id", "path", "strength", F.round("coverage", 4).alias("coverage"), (F.coalesce("alone", F.lit(False)) & (F.col("strength") == 2)).alias("confirmed"))
 
 
 # ---- evidence
