@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize
+from .common import LARGE_ROWS, map_batches, materialize
 
 WINDOW = 13
 GAP = 64  # positions between documents of a segment
@@ -114,7 +114,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return work
 
     kept = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    return materialize(map_batches(kept, SEGMENT, start, block, size), "postings")
+    return materialize(map_batches(kept, SEGMENT, start, block, size), "postings", options=LARGE_ROWS)
 
 
 def search_index(index: DataFrame, queries: Queries, slack: int = 0) -> DataFrame:

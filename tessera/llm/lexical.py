@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import give_back, map_batches, materialize
+from .common import LARGE_ROWS, give_back, map_batches, materialize
 from .decontaminate import words_of
 
 #: A score's fixed point, and the share of length normalisation in hundredths.
@@ -61,7 +61,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return work
 
     schema = f"ids array<{kind}>, lengths array<long>, terms array<binary>, bounds array<long>, docs binary, counts binary"
-    return materialize(map_batches(docs.select(F.col(id_col), F.col(text_col)), schema, start, block, size), "impact-index")
+    return materialize(map_batches(docs.select(F.col(id_col), F.col(text_col)), schema, start, block, size), "impact-index", options=LARGE_ROWS)
 
 
 def corpus_size(index: DataFrame) -> tuple[int, int]:

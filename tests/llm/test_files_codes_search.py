@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import lexical, queries, tokenfile, vectors
 
@@ -261,3 +262,19 @@ def test_registered_queries_run(spark, same):
         same(queries.QUERIES[name](spark, SMALL), queries.ORACLES[name])
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     assert sorted(map(tuple, queries.op11_token_files(spark, SMALL).collect())) == files_brute(rows)
+
+
+def test_large_rows_lie_in_blocks_of_their_own(spark):
+    """Segments are rows of some MB: a hundred of them in one block of a file would have to fit into a task's memory."""
+    from urllib.parse import unquote, urlparse
+
+    import pyarrow.parquet as pq
+
+    from tessera.llm import decontaminate
+
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(120_000)), lambda k: F.hex(k * 7919 + F.col("id") * 104_729)), " ")
+    docs = spark.range(0, 24, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    for index in (decontaminate.build_index(docs, size=900_000), lexical.build_index(docs, size=900_000)):
+        groups = [g for f in index.inputFiles() for m in [pq.ParquetFile(unquote(urlparse(f).path)).metadata] for g in (m.row_group(i) for i in range(m.num_row_groups))]
+        assert index.count() == sum(g.num_rows for g in groups) == 24
+        assert max(g.total_byte_size for g in groups) < 24 << 20 and len(groups) > 1
