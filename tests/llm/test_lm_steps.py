@@ -1,5 +1,7 @@
 """The language model's words are worked out once a worker, its batches go through one set of buffers, and its windows share one order."""
 
+import zlib
+
 import numpy as np
 import pytest
 
@@ -73,3 +75,29 @@ def test_rare_words_are_sorted_once(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"alpha beta w{i % 3} gamma") for i in range(20)], "doc_id long, text string")
     plan = lm.score(df, PATH)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("+- Window") == 3 and plan.count("Sort [light") == 1
+
+
+def test_all_of_a_text_tells_its_topic(spark):
+    """Two texts with the same beginning of thirteen words and other words after it are counted under the topics of these."""
+    starts, share = lm.starts_of(PATH), np.full((lm.VOCAB, lm.TOPICS), 1e-6)
+    for k, word in ((2, b" water"), (5, b" engine")):
+        share[lm._library(PATH)._core_bpe.encode_single_piece(word), k] = 0.1
+    model = {"share": share, "prior": np.full(lm.TOPICS, 1 / lm.TOPICS), "starts": starts}
+    begin = "one two three four five six seven eight nine ten eleven twelve thirteen "
+    texts = [begin + "water " * 30 + "alpha", begin + "engine " * 30 + "beta", "", None]
+    keys = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5 != 1][: len(texts)]
+    df = spark.createDataFrame(list(zip(keys, texts)), "doc_id long, text string").repartition(1)
+    for hold in (1, 300_000):
+        got = {}
+        for r in lm.word_counts(df, model, PATH, "doc_id", "text", hold).collect():
+            got[bytes(r["word"])] = [r[f"c{k}"] for k in range(lm.TOPICS)]
+            assert r["n"] == r["every"] == sum(got[bytes(r["word"])])
+        at = lambda word: dict((k, n) for k, n in enumerate(got[word]) if n)
+        assert at(b"alpha") == {2: 1} and at(b"beta") == {5: 1} and at(b"water") == {2: 30} and at(b"one") == {2: 1, 5: 1} and sum(got[b""]) == 4
+    # Scoring finds the same topics from the texts' ids.
+    cut = [[*lm.words_of(t or ""), b""] for t in texts]
+    number, ids, *_ = lm.Lexicon(PATH, NONE, {})([w for words in cut for w in words])
+    parts = lm.topic_parts(model)
+    ends = np.flatnonzero(ids == lm.END)
+    by_ids = lm.add_runs(parts[0], ids, np.append(0, ends + 1)[:-1]) + parts[1][:, None]
+    assert np.array_equal(by_ids.argmax(axis=0), lm.Topics(PATH, *parts)(cut)[2])
